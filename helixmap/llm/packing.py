@@ -25,7 +25,7 @@ from helixmap.llm.tokens import VOCABULARY, token_ids
 CAPACITY = 2048
 END_ID = 1
 #: Pieces of a length that are ranked together.
-BLOCK_PIECES = 20_000
+BLOCK_PIECES = 1_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 

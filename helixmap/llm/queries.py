@@ -5,9 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixmap.llm import packing, rollups
-from helixmap.llm.common import table
+from helixmap.llm import media, mixing, packing, rollups, sharding, simhash
+from helixmap.llm.common import table, whole_text
+
+
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_describe(table(spark, sf_dir, "documents"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
+    return sharded.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(whole_text().cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +36,22 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.corpus_history(table(spark, sf_dir, "documents"), ["byte_bpe_50k", "byte_bpe_multi_50k"])
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edit_and_compare(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mixing.PRODUCTION)
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), F.round("draw", 9).alias("draw"), "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media,
+    "op2_sharding": op2_sharding,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_simhash": op9_simhash,
+    "op10_mixing": op10_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_mixing": mixing.mix_sql(mixing.PRODUCTION)}

@@ -51,7 +51,7 @@ class Rollup:
         if batch_id in self.committed():
             return False
         sums = events.groupBy(*[F.col(c).cast("string").alias(c) for c in GROUP]).agg(*[F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in MEASURES])
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch-{batch_id}")
+        sums.write.mode("overwrite").parquet(f"{self.path}/batch-{batch_id}")
         return True
 
     def totals(self) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmap.llm import media, mixing, packing, rollups, sharding, simhash
+from helixmap.llm import line_dedup, media, mixing, packing, rollups, sharding, simhash
 from helixmap.llm.common import table, whole_text
 
 
@@ -28,6 +28,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "text", "kept_chars", "removed_lines", "removed_words", "removed_text", "partners")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_sharding": op2_sharding,
+    "op4_line_dedup": op4_line_dedup,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,

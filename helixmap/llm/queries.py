@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmap.llm import line_dedup, media, mixing, packing, rollups, sharding, simhash
+from helixmap.llm import bagminhash, line_dedup, media, mixing, packing, rollups, sharding, simhash
 from helixmap.llm.common import table, whole_text
 
 
@@ -33,6 +33,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", "kept_chars", "removed_lines", "removed_words", "removed_text", "partners")
 
 
+def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_sharding": op2_sharding,
     "op4_line_dedup": op4_line_dedup,
+    "op5_bagminhash": op5_bagminhash,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,

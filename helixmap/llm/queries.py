@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmap.llm import bagminhash, line_dedup, media, mixing, packing, rollups, sharding, simhash
+from helixmap.llm import bagminhash, line_dedup, media, mixing, packing, rollups, sharding, simhash, toxicity
 from helixmap.llm.common import table, whole_text
 
 
@@ -37,6 +37,11 @@ def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op4_line_dedup": op4_line_dedup,
     "op5_bagminhash": op5_bagminhash,
+    "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmap.llm import bagminhash, line_dedup, media, mixing, packing, rollups, sharding, simhash, toxicity
+from helixmap.llm import bagminhash, line_dedup, media, mixing, ngram_lm, packing, rollups, sharding, simhash, toxicity
 from helixmap.llm.common import table, whole_text
 
 
@@ -28,6 +28,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "text", "kept_chars", "removed_lines", "removed_words", "removed_text", "partners")
@@ -62,6 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_sharding": op2_sharding,
+    "op3_ngram_lm": op3_ngram_lm,
     "op4_line_dedup": op4_line_dedup,
     "op5_bagminhash": op5_bagminhash,
     "op6_toxicity": op6_toxicity,

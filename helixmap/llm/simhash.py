@@ -37,14 +37,14 @@ def term_pairs(text: Column) -> Column:
 
 
 def vote_columns() -> list[Column]:
-    """Sums over term hashes in column ``h``: votes for bit j in the low, for bit j + 32 in the high half."""
-    return [F.sum(F.shiftrightunsigned(F.col("h"), j).bitwiseAND(F.lit(HALF))).alias(f"v{j}") for j in range(32)]
+    """Sums over term hashes in column ``__hash``: votes for bit j in the low, for bit j + 32 in the high half."""
+    return [F.sum(F.shiftrightunsigned(F.col("__hash"), j).bitwiseAND(F.lit(HALF))).alias(f"__v{j}") for j in range(32)]
 
 
 def majority() -> Column:
-    """The fingerprint from votes v0 to v31 and the number of terms n: bit set where more than half are for it."""
-    low = [F.when((F.col(f"v{j}").bitwiseAND(F.lit(0xFFFFFFFF)) * 2) > F.col("n"), F.lit(1 << j)).otherwise(F.lit(0)) for j in range(32)]
-    high = [F.when((F.shiftrightunsigned(F.col(f"v{j}"), 32) * 2) > F.col("n"), F.lit((1 << (j + 32)) - (1 << 64 if j == 31 else 0))).otherwise(F.lit(0)) for j in range(32)]
+    """The fingerprint from the votes and the number of terms: bit set where more than half are for it."""
+    low = [F.when((F.col(f"__v{j}").bitwiseAND(F.lit(0xFFFFFFFF)) * 2) > F.col("__n"), F.lit(1 << j)).otherwise(F.lit(0)) for j in range(32)]
+    high = [F.when((F.shiftrightunsigned(F.col(f"__v{j}"), 32) * 2) > F.col("__n"), F.lit((1 << (j + 32)) - (1 << 64 if j == 31 else 0))).otherwise(F.lit(0)) for j in range(32)]
     return reduce(lambda a, b: a.bitwiseOR(b), [x.cast("long") for x in low + high])
 
 
@@ -58,8 +58,8 @@ def fingerprints(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     The exploded terms are summed where they arise: if the rows are already dealt by some of the keys, nothing is
     shuffled. Rows that agree in all keys are taken for parts of one text.
     """
-    terms = df.select(*keys, F.explode(term_pairs(F.col(text))).alias("t")).select(*keys, F.xxhash64("t.a", "t.b").alias("h"))
-    return terms.groupBy(*keys).agg(F.count("*").alias("n"), *vote_columns()).select(*keys, majority().alias("fingerprint"))
+    terms = df.select(*keys, F.explode(term_pairs(F.col(text))).alias("__term")).select(*keys, F.xxhash64("__term.a", "__term.b").alias("__hash"))
+    return terms.groupBy(*keys).agg(F.count("*").alias("__n"), *vote_columns()).select(*keys, majority().alias("fingerprint"))
 
 
 def _buckets(docs: DataFrame, bucket_rows: int) -> tuple[list[int], list[int | None], int, float]:
@@ -157,11 +157,11 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int = RADIUS) -> D
     """
     tables = block_tables(radius)
     most = max(len(m) for _, m in tables)
-    spec = _literal([{"t": i, "m": _signed(mask), "no": [_signed(x) for x in no + [-1] * (most - len(no))]} for i, (mask, no) in enumerate(tables)], "struct<t:int,m:bigint,no:array<bigint>>")
+    spec = _literal([{"t": i, "m": _signed(mask), "no": [_signed(x) for x in no] + [0] * (most - len(no))} for i, (mask, no) in enumerate(tables)], "struct<t:int,m:bigint,no:array<bigint>>")
     tabled = lambda d, name: d.distinct().select(F.col("fp").alias(name), F.explode(spec).alias("x")).select(name, F.col("x.t").alias("t"), F.col(name).bitwiseAND(F.col("x.m")).alias("k"), F.col("x.no").alias("no"))
     left, right = tabled(queries.select("fp"), "q").alias("l"), tabled(fps.select("fp"), "fp").drop("no").alias("r")
     differ = F.col("l.q").bitwiseXOR(F.col("r.fp"))
-    first = reduce(lambda a, b: a & b, [(F.col("l.no")[i] == -1) | (differ.bitwiseAND(F.col("l.no")[i]) != 0) for i in range(most)])
+    first = reduce(lambda a, b: a & b, [(F.col("l.no")[i] == 0) | (differ.bitwiseAND(F.col("l.no")[i]) != 0) for i in range(most)])
     return left.join(right, (F.col("l.t") == F.col("r.t")) & (F.col("l.k") == F.col("r.k")) & (F.bit_count(differ) <= radius) & first).select("q", "fp")
 
 
@@ -174,7 +174,7 @@ def edit_and_compare(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     fingerprints; each repeated row is a row of the result; null ids order last; an empty table gives no rows.
     """
     rows = cut(describe(docs))
-    counts = rows.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.pmod("doc_id", F.lit(QUERY_STEP)) == 0).alias("asked"))
+    counts = rows.groupBy("fp").agg(F.count("*").alias("n"))
     asked = rows.where(F.pmod("doc_id", F.lit(QUERY_STEP)) == 0).select("fp").distinct()
     pairs = within_radius(asked, counts.select("fp"), radius)
     near = pairs.join(counts.select("fp", "n"), "fp").groupBy("q").agg(F.sum("n").alias("n_near"))

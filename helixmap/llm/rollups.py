@@ -66,7 +66,7 @@ class Rollup:
 
 def inserts(counted: DataFrame) -> DataFrame:
     """Events that add documents with their counts."""
-    return counted.withColumn("docs", F.lit(1).cast("long"))
+    return counted.withColumn("docs", F.lit(1).cast("long")).select(*GROUP, *MEASURES)
 
 
 def deletes(counted: DataFrame) -> DataFrame:

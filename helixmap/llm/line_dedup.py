@@ -129,6 +129,7 @@ def homes(lines: DataFrame) -> DataFrame:
     """Pairs of a document and the home of a line it has: later (doc_id, digest) and earlier (doc_id, digest)."""
     rows = lines.select(F.struct("doc_id", "digest").alias("k"), F.explode(F.array_distinct("hashes")).alias("h")).where("h <> 0")
     first = rows.groupBy("h").agg(F.min("k").alias("home"), F.count("*").alias("n")).where("n > 1").select("h", "home")
+    first = cut(first)  # a side of its own, so that a hot line's rows can be split over tasks
     return rows.join(first, "h").where("k <> home").select(F.col("k.doc_id").alias("doc_id"), F.col("k.digest").alias("digest"), F.col("home.doc_id").alias("home_id"), F.col("home.digest").alias("home_digest")).distinct()
 
 

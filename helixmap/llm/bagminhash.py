@@ -7,21 +7,23 @@ signature and, by hashed bits that descend the interval's halves, a weight; it c
 A component keeps the least time of its points, so two texts agree in it with the probability of their weighted
 Jaccard similarity, sum of minima over sum of maxima. Processes stop once their time passes all of a text's components.
 
-Signatures are banded. The texts of a band's bucket are held against the least of them, exactly, by their multisets;
-those that fail against it are held against the least of those that failed, and so on until none is left: a bucket of
-n texts makes n comparisons where all are copies of one, never n squared. Links are joined to groups by alternating
-large-star and small-star steps, cut by checkpoints.
+Signatures are banded. In each bucket every text is held against the bucket's hub, the text that shares most buckets
+with others, and the pair is verified exactly by the multisets: copies of one text make a star, never all pairs. A
+text that fails against its hub is then held against the bucket's other texts, first by four bits of each signature
+component inside the join, where pairs that lie far below the threshold, are linked already or met in an earlier band
+go no further, then exactly. Links are joined to groups by alternating large-star and small-star steps, cut by checkpoints.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmap.llm.common import cut, whole_text
@@ -29,6 +31,11 @@ from helixmap.llm.common import cut, whole_text
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
+#: Components of a signature; the bands use the first of them, the comparison of signatures all.
+SIZE = 384
+#: Standard deviations below the threshold's expectation at which a comparison of signatures gives up.
+DEVIATIONS = 3.5
+NIBBLES = 0x1111111111111111
 #: Shingles that are worked on at once, and words whose hashes a task keeps.
 BLOCK_SHINGLES = 200_000
 KEEP_WORDS = 300_000
@@ -85,7 +92,7 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, size: int = BANDS * ROWS) -> np.ndarray:
+def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, size: int = SIZE) -> np.ndarray:
     """Times by document and component; all infinite for a document without elements.
 
     ``doc``, ``element``, ``weight``: a row for each distinct element of a document, weights whole and at least 1.
@@ -131,15 +138,47 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
 
 def band_keys(times: np.ndarray) -> np.ndarray:
     """Signed 64-bit keys by document and band."""
-    bits = times.view(np.uint64).reshape(len(times), BANDS, ROWS)
+    bits = np.ascontiguousarray(times[:, : BANDS * ROWS]).view(np.uint64).reshape(len(times), BANDS, ROWS)
     key = np.broadcast_to(mix64(np.arange(1, BANDS + 1, dtype=np.uint64) * STEP), (len(times), BANDS)).copy()
     for i in range(ROWS):
         key = mix64(key * STEP + bits[:, :, i])
     return key.view(np.int64)
 
 
+def nibbles(times: np.ndarray) -> np.ndarray:
+    """Four hashed bits of each component, sixteen components in a signed 64-bit number."""
+    four = mix64(np.ascontiguousarray(times).view(np.uint64)) >> np.uint64(60)
+    shifted = four.reshape(len(times), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(shifted, axis=2).view(np.int64)
+
+
+def most_differing(threshold: float) -> int:
+    """How many components may differ in their four bits."""
+    same = threshold + (1 - threshold) / 16
+    return SIZE - math.floor(SIZE * same - DEVIATIONS * math.sqrt(SIZE * same * (1 - same)))
+
+
+def differing(a: Column, b: Column) -> Column:
+    """The number of components whose four bits differ."""
+    total = F.lit(0)
+    for i in range(SIZE // 16):
+        x = a[i].bitwiseXOR(b[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(NIBBLES)))
+    return total
+
+
+def met_before(a: Column, b: Column, band: Column) -> Column:
+    """Whether two texts share the bucket of a band before this one; ``a`` and ``b`` are their keys by band."""
+    mask = F.lit(0)
+    for i in range(BANDS):
+        mask = mask + F.when(a[i] == b[i], 1 << i).otherwise(0)
+    return mask.bitwiseAND(F.call_function("shiftleft", F.lit(1), band) - 1) != 0
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text), keys (by band; null for a text without words)."""
+    """doc_id, digest (of the text), keys (by band) and bits of the signature; both null for a text without words."""
 
     def block(words: list[np.ndarray]) -> list:
         parts = [shingles(w) for w in words]
@@ -151,8 +190,8 @@ def sketch(docs: DataFrame) -> DataFrame:
         new[1:] = (doc[1:] != doc[:-1]) | (element[1:] != element[:-1])
         at = np.flatnonzero(new)
         weight = np.diff(np.append(at, len(doc)))
-        keys = band_keys(signatures(doc[at], element[at], weight, len(parts)))
-        return [k if len(p) else None for k, p in zip(keys, parts, strict=True)]
+        times = signatures(doc[at], element[at], weight, len(parts))
+        return [(k, n) if len(p) else (None, None) for k, n, p in zip(band_keys(times), nibbles(times), parts, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -168,10 +207,10 @@ def sketch(docs: DataFrame) -> DataFrame:
                     words, size = [], 0
             if words:
                 keys += block(words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([k[i] for k in keys], pa.list_(pa.int64())) for i in (0, 1)]], ["doc_id", "digest", "keys", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(whole_text().cast("binary"))).alias("digest"), whole_text().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, digest binary, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, digest binary, keys array<long>, bits array<long>")
 
 
 class Likeness:
@@ -215,26 +254,42 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def links(sketches: DataFrame, docs: DataFrame, threshold: float) -> DataFrame | None:
-    """Verified links (a, b) of digests, b < a; None if no two texts share a bucket."""
+    """Verified links (a, b) of digests that join every class; None if no two texts share a bucket."""
     text = whole_text()
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
     classes = sketches.where("keys is not null").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id"), F.first("keys").alias("keys"))
     rows = classes.select("digest", "doc_id", F.posexplode("keys").alias("band", "key"))
-    found, done = None, None
-    while True:
-        leaders = rows.groupBy("band", "key").agg(F.min(F.struct("digest", "doc_id")).alias("l"), F.count("*").alias("n")).where("n > 1").select("band", "key", F.col("l.digest").alias("b"), F.col("l.doc_id").alias("b_id"))
-        rows = cut(rows.join(leaders, ["band", "key"]).where("digest <> b"))
-        if rows.isEmpty():
-            return found
-        pairs = rows.select(F.col("digest").alias("a"), F.col("doc_id").alias("a_id"), "b", "b_id").distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        new = cut(verify(pairs, texts, threshold))
-        done = new if done is None else done.unionByName(new)
-        good = new.where("similar").select("a", "b")
-        found = good if found is None else found.unionByName(good)
-        failed = done.where(~F.col("similar")).select(F.col("a").alias("digest"), "b")
-        rows = rows.join(failed, ["digest", "b"], "left_semi").select("digest", "doc_id", "band", "key")
+    shared = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = cut(rows.join(shared, ["band", "key"]))
+    if rows.isEmpty():
+        return None
+    degree = rows.groupBy("digest").agg(F.sum("n").alias("degree"))
+    hubs = rows.join(degree, "digest").groupBy("band", "key").agg(F.max(F.struct("degree", "digest", "doc_id")).alias("h"))
+    hubs = hubs.select("band", "key", F.col("h.digest").alias("b"), F.col("h.doc_id").alias("b_id"))
+    spokes = cut(rows.join(hubs, ["band", "key"]).where("digest <> b").select("band", "key", F.col("digest").alias("a"), F.col("doc_id").alias("a_id"), "b", "b_id"))
+    done = cut(verify(spokes.select("a", "a_id", "b", "b_id").distinct(), texts, threshold))
+    good = done.where("similar").select("a", "b")
+    failed = done.where(~F.col("similar")).select("a", "b")
+    if failed.isEmpty():
+        return good
+
+    label = components(good).withColumnRenamed("node", "digest")
+    lost = cut(spokes.join(failed, ["a", "b"]).select("band", "key", F.col("a").alias("digest"), F.col("a_id").alias("doc_id")))
+    near = rows.join(lost.select("band", "key").distinct(), ["band", "key"], "left_semi").select("band", "key", "digest", "doc_id")
+    near = near.join(lost.select("band", "key", "digest", F.lit(True).alias("lost")), ["band", "key", "digest"], "left")
+    of = near.select("digest").distinct().join(sketches.select("digest", "keys", "bits").dropDuplicates(["digest"]), "digest").join(label, "digest", "left")
+    of = of.select("digest", "keys", "bits", F.coalesce("label", "digest").alias("label"))
+    near = cut(near.join(of, "digest").withColumn("lost", F.coalesce("lost", F.lit(False))))
+    left, right = near.where("lost").alias("l"), near.alias("r")
+    col = lambda c: (F.col(f"l.{c}"), F.col(f"r.{c}"))
+    same = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key"))
+    once = (F.col("l.digest") != F.col("r.digest")) & (~F.col("r.lost") | (F.col("l.digest") > F.col("r.digest")))
+    a, b = col("label")
+    close = (a != b) & (differing(*col("bits")) <= most_differing(threshold)) & ~met_before(*col("keys"), F.col("l.band"))
+    pairs = left.join(right, same & once & close).select(F.col("l.digest").alias("a"), F.col("l.doc_id").alias("a_id"), F.col("r.digest").alias("b"), F.col("r.doc_id").alias("b_id"))
+    pairs = pairs.distinct().join(failed, ["a", "b"], "left_anti")
+    more = cut(verify(pairs, texts, threshold)).where("similar").select("a", "b")
+    return good.unionByName(more)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -267,7 +322,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     sketches = cut(sketch(docs))
     classes = sketches.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    edges = links(sketches.select("doc_id", "digest", "keys"), docs, threshold)
+    edges = links(sketches, docs, threshold)
     if edges is not None:
         found = components(edges)
         labelled = classes.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))

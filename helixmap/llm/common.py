@@ -35,9 +35,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once and cuts its lineage through the shared checkpoint folder."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Computes ``df`` once and cuts its lineage through the shared checkpoint folder.
+
+    The shuffle files of the run that wrote the checkpoint are of no more use; they are removed at its end.
+    """
+    spark = df.sparkSession
+    shared_root(spark)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan takes the setting when it is made
+    finally:
+        spark.conf.set(name, before)
 
 
 def whole_text(name: str = "text") -> Column:

@@ -442,3 +442,60 @@ def length_weighted_identity(spark, sf_dir):
 
 
 PARAMS = MapParams(k=15, w=10, codec="text2bit", scoring=Scoring(match=2, mismatch=4, gi=4, ge=2, xdrop=50), min_score=50)
+
+
+# kernels: no SQL, tests hold them against plain versions
+
+
+def _index(spark, sf_dir) -> ix.Index:
+    r = refs(spark, sf_dir).withColumn("name", F.concat(F.lit("doc"), F.col("rid")))
+    return ix.build_index(r, PARAMS)
+
+
+def _queries(spark, sf_dir) -> DataFrame:
+    return items(spark, sf_dir).withColumn("name", F.concat(F.lit("item"), F.col("qid")))
+
+
+@query("chains")
+def chains(spark, sf_dir):
+    from helixmap.operators.chains import chain_seeds
+
+    return chain_seeds(seeded(spark, sf_dir), len(FREQUENCIES), PARAMS.window)
+
+
+@query("alignments")
+def alignments(spark, sf_dir):
+    from helixmap.operators.mapping import map_queries
+
+    return map_queries(_queries(spark, sf_dir), _index(spark, sf_dir))
+
+
+def _lines(spark, sf_dir, params: MapParams) -> DataFrame:
+    from helixmap.operators.mapping import described, map_queries
+
+    index, q = _index(spark, sf_dir), _queries(spark, sf_dir)
+    return formats.lines_of(described(map_queries(q, index), q, index), params)
+
+
+@query("sam_records")
+def sam_records(spark, sf_dir):
+    return _lines(spark, sf_dir, MapParams(tags=("AS", "NM", "XS", "SA", "MD", "NH", "IH")))
+
+
+@query("maf_records")
+def maf_records(spark, sf_dir):
+    return _lines(spark, sf_dir, MapParams(format="maf"))
+
+
+@query("paf_records")
+def paf_records(spark, sf_dir):
+    return _lines(spark, sf_dir, MapParams(format="paf", tags=("AS", "ID", "NM", "CG")))
+
+
+@query("conversations_mapped")
+def conversations_mapped(spark, sf_dir):
+    """Turns of conversations onto the documents: every turn of every conversation is a query."""
+    from helixmap.operators.mapping import map_queries
+
+    c = table(spark, sf_dir, "conversations").withColumn("qid", F.col("conv_id") * 10_000 + F.col("turn"))
+    return map_queries(bases(c, "qid", "qid"), _index(spark, sf_dir))

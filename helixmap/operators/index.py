@@ -55,6 +55,16 @@ class Index:
     occ: list[int]
     params: MapParams
     n_keys: int = 0
+    #: Of an index that was just built: all minimizers, and the counts within the last threshold.
+    minimizers: DataFrame | None = None
+    kept: DataFrame | None = None
+
+    def matching(self, hashes: DataFrame) -> DataFrame:
+        """Seeds with one of the ``hashes`` (distinct). Counts are reduced first, so the other minimizers meet no shuffle
+        where few hashes are asked for."""
+        if self.kept is None:
+            return self.seeds.join(hashes, "hash", "left_semi")
+        return _counted(self.minimizers, self.kept.join(hashes, "hash", "left_semi"))
 
     def write(self, path: str, buckets: int | None = None) -> None:
         """Three Parquet tables; seeds are dealt and sorted by hash, so that readers prune by its range."""
@@ -84,6 +94,10 @@ def with_circular(refs: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return refs.withColumn("circular", flag)
 
 
+def _counted(minimizers: DataFrame, kept: DataFrame) -> DataFrame:
+    return minimizers.join(kept, "hash").select("hash", "rid", "pos", "strand", F.col("n").cast("int").alias("n"))
+
+
 def build_index(refs: DataFrame, params: MapParams) -> Index:
     """Indexes ``refs`` (rid, name, seq: base characters); one shuffle by hash and one small action.
 
@@ -92,8 +106,7 @@ def build_index(refs: DataFrame, params: MapParams) -> Index:
     refs = refs.where(F.length("seq") >= params.min_len).withColumn("len", F.length("seq"))
     refs = with_circular(refs, params.circular).select("rid", "name", "len", "circular", "seq")
     mini = sketch(refs, "rid", params.k, params.w, circular="circular", mixing=params.mixing_hash)
-    table = counts(mini)
+    table = counts(mini).persist()  # read by the thresholds and by the join; a lost part is counted anew
     occ = thresholds(table, params.frequencies)
     kept = table.where(F.col("n") <= occ[-1])
-    seeds = mini.join(kept, "hash").select("hash", "rid", "pos", "strand", F.col("n").cast("int").alias("n"))
-    return Index(refs, seeds, occ, params)
+    return Index(refs, _counted(mini, kept), occ, params, minimizers=mini, kept=kept)

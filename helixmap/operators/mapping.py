@@ -28,6 +28,8 @@ from helixmap.plans.params import MapParams
 MARGIN, MARGIN_SHARE = 64, 0.2
 #: Band widths of the first try and of those after a known end point, and seeds that are tried for a chain.
 BANDS, TRIALS = (64, 32, 16), 8
+#: Pairs times steps of a batch of extensions; a step keeps a byte for each cell of the band.
+BATCH_STEPS = 1 << 21
 
 ALIGNMENTS = (
     "qid long, rid long, aid int, seg int, strand int, rs long, re long, qs long, qe long, score long, identity double, dcnt long, matches long, gaps_r long, gaps_q long, "
@@ -87,8 +89,11 @@ class Search:
         return None
 
 
-def extend_chains(query: np.ndarray, searches: list[Search], params: MapParams) -> list[Search]:
-    """Runs all chains of one query, longest first; returns those with an alignment of the least score."""
+def extend_chains(query: np.ndarray, searches: list[Search], params: MapParams):
+    """Runs all chains of one query, longest first; returns those with an alignment of the least score.
+
+    A generator: it yields (reference codes, query codes, band) and is sent the extension of that pair.
+    """
     other = complement_codes(query)
     ends: set[tuple[int, bool, int, int]] = set()
     starts: dict[tuple[int, bool, int, int], Alignment] = {}
@@ -103,7 +108,7 @@ def extend_chains(query: np.ndarray, searches: list[Search], params: MapParams)
                 a0, b0 = r - s.slice_start - back, q - back
                 if not (0 <= a0 <= len(s.slice_codes) and 0 <= b0 <= len(oriented)):
                     continue
-                score, i, j, _ = extend([(s.slice_codes[a0:], oriented[b0:])], params.scoring, BANDS[s.narrow])[0]
+                score, i, j, _ = yield s.slice_codes[a0:], oriented[b0:], BANDS[s.narrow]
                 if score > 0:
                     break
             else:
@@ -116,7 +121,7 @@ def extend_chains(query: np.ndarray, searches: list[Search], params: MapParams)
                 s.narrow = min(s.narrow + 1, 2)
                 continue
             ends.add(end)
-            score, i, j, path = extend([(s.slice_codes[:a1][::-1], oriented[:b1][::-1])], params.scoring, BANDS[s.narrow])[0]
+            score, i, j, path = yield s.slice_codes[:a1][::-1], oriented[:b1][::-1], BANDS[s.narrow]
             if score < params.min_score:
                 continue
             path = path[::-1]
@@ -196,11 +201,11 @@ def classify(sets: list[Search], params: MapParams) -> tuple[list[Search], int,
     return [sets[i] for i in [*order, *secondary]], len(order), quality + [0] * len(secondary)
 
 
-def map_query(query: np.ndarray, by_round: dict[int, list[Search]], params: MapParams) -> tuple[list[Search], int, list[int]]:
-    """Rounds one after the other until one has a result."""
+def map_query(query: np.ndarray, by_round: dict[int, list[Search]], params: MapParams):
+    """Rounds one after the other until one has a result; a generator as ``extend_chains`` is."""
     for i in sorted(by_round):
         searches = [s for s in by_round[i] if s.left * params.coefficient >= 2.0 * params.min_score]
-        sets = extend_chains(query, searches, params)
+        sets = yield from extend_chains(query, searches, params)
         if sets:
             for s in sets:
                 if s.found[0].reverse:
@@ -209,6 +214,31 @@ def map_query(query: np.ndarray, by_round: dict[int, list[Search]], params: MapP
     return [], 0, []
 
 
+def together(searches: dict[int, object], params: MapParams) -> dict[int, object]:
+    """Runs generators side by side: the pairs that all of them wait for are extended in batches of like lengths."""
+    done, waiting = {}, {}
+
+    def step(key, value):
+        try:
+            waiting[key] = searches[key].send(value)
+        except StopIteration as end:
+            done[key] = end.value
+
+    for key in searches:
+        step(key, None)
+    while waiting:
+        pairs = sorted(((len(a) + len(b), band, key, a, b) for key, (a, b, band) in waiting.items()), key=lambda x: (x[1], x[0], x[2]))
+        waiting.clear()
+        while pairs:
+            band, n = pairs[0][1], 1
+            while n < len(pairs) and pairs[n][1] == band and (n + 1) * pairs[n][0] <= BATCH_STEPS:
+                n += 1
+            now, pairs = pairs[:n], pairs[n:]
+            for (_, _, key, _, _), result in zip(now, extend([(a, b) for _, _, _, a, b in now], params.scoring, band), strict=True):
+                step(key, result)
+    return done
+
+
 def _aligned(table: pa.Table, params: MapParams, schema: pa.Schema) -> pa.Table:
     by_query: dict[int, dict] = {}
     for row in table.to_pylist():
@@ -216,9 +246,10 @@ def _aligned(table: pa.Table, params: MapParams, schema: pa.Schema) -> pa.Table:
         search = Search(row["rid"], row["plen"], [(s["r"], s["q"]) for s in row["seeds"]], codes_of(row["slice"]), row["slice_start"], row["ref_end"])
         q["rounds"].setdefault(row["round"], []).append((row["cid"], search))
     rows = []
-    for qid, q in by_query.items():
-        query = codes_of(q["seq"])
-        sets, n_uniq, quality = map_query(query, {i: [s for _, s in sorted(x, key=lambda y: y[0])] for i, x in q["rounds"].items()}, params)
+    codes = {qid: codes_of(q["seq"]) for qid, q in by_query.items()}
+    runs_ = {qid: map_query(codes[qid], {i: [s for _, s in sorted(x, key=lambda y: y[0])] for i, x in q["rounds"].items()}, params) for qid, q in by_query.items()}
+    for qid, (sets, n_uniq, quality) in sorted(together(runs_, params).items()):
+        query = codes[qid]
         for aid, (s, mapq) in enumerate(zip(sets, quality, strict=True)):
             for seg, a in enumerate(s.found):
                 qs, qe = (len(query) - a.qe, len(query) - a.qs) if a.reverse else (a.qs, a.qe)
@@ -239,7 +270,7 @@ def map_queries(queries: DataFrame, index: Index, params: MapParams | None = Non
     params = params or index.params
     q = queries.select(F.col("qid").cast("long").alias("qid"), "seq").where((F.length("seq") >= params.k) & (F.length("seq") * F.lit(params.coefficient) >= params.min_score) & (F.length("seq") >= params.min_len))
     mini = sketch(q, "qid", params.k, params.w, mixing=params.mixing_hash)
-    seeds = join_seeds(mini, index.seeds, index.occ, params.k, lower_triangle=params.all_vs_all)
+    seeds = join_seeds(mini, index.matching(mini.select("hash").distinct()), index.occ, params.k, lower_triangle=params.all_vs_all)
     if params.circular:
         turns = index.refs.where("circular").select("rid", F.col("len").alias("turn"))
         seeds = seeds.join(turns, "rid", "left").withColumn("turn", F.coalesce("turn", F.lit(0)))
@@ -261,7 +292,7 @@ def map_queries(queries: DataFrame, index: Index, params: MapParams | None = Non
         F.substring(text, (start + 1).cast("int"), (F.least(F.col("high"), end) - start).cast("int")).alias("slice"),
     )
     n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64("qid"), F.lit(max(n * 4, 1))).cast("int")
+    bucket = F.pmod(F.xxhash64("qid"), F.lit(max(n, 1))).cast("int")
     schema = to_arrow_schema(StructType.fromDDL(ALIGNMENTS))
     return sliced.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(lambda t: _aligned(t, params, schema), ALIGNMENTS)
 

@@ -56,59 +56,86 @@ def scattered(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def kmers(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values of the k-mers at each position, forward and reverse complement, and whether they are free of N."""
+    """Values of the k-mers at each position, forward and reverse complement, and whether they are free of N.
+
+    Values of 2, 4, 8 and 16 bases are made of two of half the length, and k of those by its binary digits.
+    """
     n = len(codes) - k + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    fw, rv, bad = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
-    c = codes.astype(np.int64)
-    for j in range(k):
-        own = c[j : j + n]
-        fw = (fw << 2) | (own & 3)
-        rv |= (3 - (own & 3)) << (2 * j)
-        bad |= own > 3
-    return fw, rv, ~bad
+    f, r, bad = (codes & 3).astype(np.int64), (3 - (codes & 3)).astype(np.int64), codes > 3
+    fw, rv, wrong, at, size = None, None, None, 0, 1
+    while True:
+        if k & size:  # the part of this size follows those of smaller sizes
+            own = slice(at, at + n)
+            if fw is None:
+                fw, rv, wrong = f[own].copy(), r[own].copy(), bad[own].copy()
+            else:
+                fw = (fw << (2 * size)) | f[own]
+                rv = rv | (r[own] << (2 * at))
+                wrong |= bad[own]
+            at += size
+        if 2 * size > k:
+            return fw, rv, ~wrong
+        f, r, bad = (f[:-size] << (2 * size)) | f[size:], r[:-size] | (r[size:] << (2 * size)), bad[:-size] | bad[size:]
+        size *= 2
 
 
 def minimizers(sequences: list[np.ndarray], k: int, w: int, circular: list[bool] | None = None, mixing: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sequence number, hash, position and strand bit of the minimizers of all ``sequences``, in order.
 
-    A circular sequence goes on with its first min(length, w) bases; positions there count on past the end.
+    A circular sequence goes on with its first min(length, w) bases; positions there count on past the end. Sequences
+    lie one after the other with a gap of N between them, which no k-mer crosses and in which every window ends.
     """
-    circular = circular or [False] * len(sequences)
-    lengths = np.array([len(s) for s in sequences], np.int64)
-    whole = [np.concatenate([s, s[: min(len(s), w)]]) if c else s for s, c in zip(sequences, circular, strict=True)]
+    rings = circular is not None and any(circular)
+    whole = [np.concatenate([s, s[: min(len(s), w)]]) if c else s for s, c in zip(sequences, circular, strict=True)] if rings else sequences
     sizes = np.array([len(s) for s in whole], np.int64)
     empty = np.empty(0, np.int64)
     if not sizes.sum():
         return empty, empty, empty, empty
-    fw, rv, good = kmers(np.concatenate(whole), k)
-    owner = np.repeat(np.arange(len(whole)), sizes)[: len(fw)]
-    begins = np.cumsum(sizes) - sizes
+    gap = np.full(w + k, 4, np.uint8)
+    fw, rv, good = kmers(np.concatenate([x for s in whole for x in (s, gap)]), k)
+    spans = sizes + len(gap)
+    owner = np.repeat(np.arange(len(whole), dtype=np.int32), spans)[: len(fw)]
+    begins = np.cumsum(spans) - spans
     pos = np.arange(len(fw)) - begins[owner]
-    inside = pos + k <= sizes[owner]
-    good &= inside
     h = mixed(np.minimum(fw, rv), np.maximum(fw, rv), k)
     if mixing:
         h = scattered(h, k)
     strand = (fw >= rv).astype(np.int64)
-    turn = lengths[owner] - k + 1
-    local = np.where(pos >= turn, pos - turn, pos) % w
-    # rank by hash first, then strand, then local index: the rest fits in six bits, so shift where hashes allow it
-    if 2 * k + 6 <= 62:
-        key = np.where(good, (h << 6) | (strand << 5) | local, NONE)
-        least, where = _window(key, pos, w)
+    if rings:
+        turn = np.array([len(s) for s in sequences], np.int64)[owner] - k + 1
+        local = np.where(pos >= turn, pos - turn, pos) % w
     else:
-        rank = np.unique(np.where(good, h, NONE), return_inverse=True)[1].astype(np.int64)
-        key = np.where(good, (rank << 6) | (strand << 5) | local, NONE)
+        local = pos % w
+    # rank by hash first, then strand, then local index, which take six bits: longer hashes are ranked before
+    rank = h if 2 * k + 6 <= 62 else np.unique(np.where(good, h, NONE), return_inverse=True)[1].astype(np.int64)
+    key = np.where(good, (rank << 6) | (strand << 5) | local, NONE)
+    if rings:
         least, where = _window(key, pos, w)
-    before = np.empty_like(least)
-    before[1:] = least[:-1]
-    before[pos == 0] = NONE
-    at = np.arange(len(fw))
-    emit = inside & (least != NONE) & ((least != before) | (where == at))
-    chosen = np.unique(where[emit])
-    return owner[chosen], h[chosen], pos[chosen], strand[chosen]
+        newest = where == np.arange(len(key))
+    else:
+        least = _least(key, w)
+        newest = key == least
+    before = np.concatenate([[NONE], least[:-1]])
+    inside = pos + k <= sizes[owner]
+    emit = np.flatnonzero(inside & (least != NONE) & ((least != before) | newest))
+    if rings:
+        chosen = where[emit]
+    else:
+        chosen = emit - (pos[emit] - (least[emit] & 31)) % w  # the local index tells how far back the least one lies
+    chosen = np.unique(chosen)
+    return owner[chosen].astype(np.int64), h[chosen], pos[chosen], strand[chosen]
+
+
+def _least(key: np.ndarray, w: int) -> np.ndarray:
+    """The least of the last w keys, by minima over doubled widths."""
+    out, width = key.copy(), 1
+    while width < w:
+        step = min(width, w - width)
+        out[step:] = np.minimum(out[step:], out[:-step].copy())
+        width += step
+    return out
 
 
 def _window(key: np.ndarray, pos: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +152,7 @@ def _window(key: np.ndarray, pos: np.ndarray, w: int) -> tuple[np.ndarray, np.nd
 
 
 #: Bases that are sketched at once.
-BLOCK_BASES = 1 << 20
+BLOCK_BASES = 1 << 17
 
 
 def sketch(df: DataFrame, id_name: str, k: int, w: int, seq: str = "seq", circular: str | None = None, mixing: bool = False) -> DataFrame:

@@ -36,9 +36,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Tables up to this size may come as one block of one file; they are dealt over all cores before a kernel runs.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over as many partitions as there are cores; larger ones have blocks enough and stay as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
 def bases(df: DataFrame, key: str, name: str) -> DataFrame:
     """(name, seq) of a text table."""
-    return df.select(F.col(key).alias(name), codec.encode(F.col("text")).alias("seq"))
+    return spread(df.select(F.col(key).alias(name), "text")).select(name, codec.encode(F.col("text")).alias("seq"))
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +70,7 @@ def item_minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds of the benchmark items in the documents, with rounds."""
     mini = ref_minimizers(spark, sf_dir)
-    table_ = ix.counts(mini)
+    table_ = ix.counts(mini).persist()
     occ = ix.thresholds(table_, FREQUENCIES)
     q = item_minimizers(spark, sf_dir)
     # only keys that the items have matter from here on: rows and counts of the others end before any join of rows
@@ -291,7 +301,7 @@ AVA = f"""{INDEX},
 def self_overlap_ava(spark, sf_dir):
     """Documents against themselves, rid > qid: rare minimizers only, so a hash makes at most its threshold's pairs squared."""
     mini = ref_minimizers(spark, sf_dir)
-    table_ = ix.counts(mini)
+    table_ = ix.counts(mini).persist()
     occ = ix.thresholds(table_, FREQUENCIES)
     kept = mini.join(table_.where((F.col("n") > 1) & (F.col("n") <= occ[-1])), "hash")
     pairs = seeds.join_seeds(kept.withColumnRenamed("rid", "qid").drop("n"), kept, occ, K, lower_triangle=True)

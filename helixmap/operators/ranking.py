@@ -41,3 +41,9 @@ def identity_estimate(score: Column, gap_cost: Column, diagonals: Column, match:
 
 def edit_distance(diagonals: Column, identity: Column, gaps: Column) -> Column:
     return F.floor(diagonals * (F.lit(1.0) - identity)).cast("long") + gaps
+
+
+def quality_all_vs_all(length: Column) -> Column:
+    """Mapping quality times 16 where every sequence is a query and a reference: the error is one over the length plus one."""
+    error = F.lit(1.0) / (length + F.lit(1.0))
+    return F.least(F.greatest(F.floor(F.lit(-160.0) * F.log10(error)), F.lit(0)), F.lit(QUALITY_MOST)).cast("int")

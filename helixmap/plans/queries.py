@@ -509,3 +509,76 @@ def conversations_mapped(spark, sf_dir):
 
     c = table(spark, sf_dir, "conversations").withColumn("qid", F.col("conv_id") * 10_000 + F.col("turn"))
     return map_queries(bases(c, "qid", "qid"), _index(spark, sf_dir))
+
+
+# files: written to the session's shared folder, read back by the sources
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new path in ``spark.checkpoint.dir``, or in a temporary folder where a session has none (local mode)."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="helixmap-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+SCANNED = f"""SELECT 'd' || id AS name, CAST(length(seq) AS INTEGER) AS len, md5(seq) AS seq_md5, {{}} AS qual_len, 'kept' AS comment FROM ({DOCS}) WHERE length(seq) >= 100"""
+
+
+def _scan(spark, path: str) -> DataFrame:
+    from helixmap.sources.seqfile import read_sequences
+
+    rows = read_sequences(spark, path, min_len=100, tags="CO")
+    return rows.select("name", "len", F.md5(F.col("seq").cast("binary")).alias("seq_md5"), F.length("qual").alias("qual_len"), "comment")
+
+
+@query("fasta_scan", SCANNED.format("CAST(0 AS INTEGER)"))
+def fasta_scan(spark, sf_dir):
+    """All documents as FASTA files with lines of seventy bases, read in byte ranges."""
+    path = _folder(spark, "fasta")
+    lines = F.regexp_replace("seq", "(.{70})", "$1\n")
+    refs(spark, sf_dir).select(F.concat(F.lit(">d"), F.col("rid"), F.lit(" kept \n"), lines).alias("value")).write.text(path)
+    return _scan(spark, path)
+
+
+@query("fastq_scan", SCANNED.format("CAST(length(seq) AS INTEGER)"))
+def fastq_scan(spark, sf_dir):
+    """All documents as gzipped FASTQ files whose qualities begin with marks."""
+    path = _folder(spark, "fastq")
+    qual = F.expr("concat(substr('@+', 1, length(seq)), repeat('I', greatest(length(seq) - 2, 0)))")
+    refs(spark, sf_dir).where("length(seq) > 0").select(F.concat(F.lit("@d"), F.col("rid"), F.lit(" kept\n"), F.col("seq"), F.lit("\n+\n"), qual).alias("value")).write.option("compression", "gzip").text(path)
+    return _scan(spark, path)
+
+
+@query("index_stored", f"WITH {INDEX} SELECT hash % 64 AS part, CAST(count(*) AS BIGINT) AS n_seeds, CAST(sum(pos) AS BIGINT) AS positions, CAST(max(n) AS INTEGER) AS most FROM d GROUP BY part")
+def index_stored(spark, sf_dir):
+    """The index written as tables, dealt by ranges of the hash, and read back."""
+    path = _folder(spark, "index")
+    r = refs(spark, sf_dir).withColumn("name", F.col("rid").cast("string"))
+    ix.build_index(r, P).write(path)
+    return ix.read_index(spark, path, P).seeds.groupBy((F.col("hash") % 64).alias("part")).agg(F.count("*").alias("n_seeds"), F.sum("pos").cast("long").alias("positions"), F.max("n").alias("most"))
+
+
+@query("retained_counts", f"WITH {INDEX} SELECT CAST(i AS INTEGER) AS round, occ, CAST((SELECT count(*) FROM d_n WHERE n <= occ) AS BIGINT) AS n_keys FROM d_o")
+def retained_counts(spark, sf_dir):
+    """Keys that each round may use."""
+    table_ = ix.counts(ref_minimizers(spark, sf_dir)).persist()
+    occ = ix.thresholds(table_, FREQUENCIES)
+    sums = table_.agg(*[F.count_if(F.col("n") <= x).alias(f"k{i}") for i, x in enumerate(occ)])
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("round"), F.lit(x).cast("long").alias("occ"), F.col(f"k{i}").alias("n_keys")) for i, x in enumerate(occ)])).alias("x")
+    return sums.select(rows).select("x.*")
+
+
+@query("seed_extent", f"WITH {SEEDS} SELECT qid, rid, CAST(min(rpos) AS BIGINT) AS lb, CAST(max(rpos) AS BIGINT) AS ub, CAST(count(*) AS BIGINT) AS n, CAST(floor((1 - 1.0::DOUBLE / count(*)) * (max(u + v) - min(u + v))) AS BIGINT) AS plen FROM s WHERE round IS NOT NULL GROUP BY qid, rid")
+def seed_extent(spark, sf_dir):
+    """Bounds, number and length, by the formula of chains, of a pair's seeds."""
+    span = F.max(F.col("u") + F.col("v")) - F.min(F.col("u") + F.col("v"))
+    return seeded(spark, sf_dir).groupBy("qid", "rid").agg(F.min("rpos").alias("lb"), F.max("rpos").alias("ub"), F.count("*").alias("n"), F.floor((1 - F.lit(1.0) / F.count("*")) * span).cast("long").alias("plen"))
+
+
+@query("all_vs_all_quality", f"WITH {RANKED} SELECT qid, CAST(aid AS INTEGER) AS aid, CAST(least(greatest(floor(-160.0 * log10(1.0 / (greatest(n_seeds - xs, 0) + 1.0::DOUBLE))), 0), 960) AS INTEGER) AS mapq16 FROM k WHERE aid = 0")
+def all_vs_all_quality(spark, sf_dir):
+    """The quality of table-against-itself mapping: the margin is not squared."""
+    margin = F.greatest(F.col("n_seeds") - F.col("xs"), F.lit(0))
+    return binned(spark, sf_dir).where("aid = 0").select("qid", "aid", ranking.quality_all_vs_all(margin).alias("mapq16"))

@@ -1,39 +1,86 @@
 """Line dedup by pairwise alignment.
 
-Lines are hashed; a hash that more than one document has belongs to the earliest of them, its home. A document that
-shares a line with a home is a pair with it: rare lines and lines that a third of all documents share alike give at
-most one pair a line, so no group is ever squared. Each pair is aligned by patience diff over the line hashes: lines
-that both have once are matched along the longest increasing subsequence, and the gaps between them are aligned in the
-same way. From the later document, runs of aligned lines are deleted when they have enough words. Only hashes and
-counts are joined; a text is shuffled once, to meet the verdict on its lines.
+A line of more than ``LONG_WORDS`` words is cut into parts, after each word pair whose hash ends in zeros, so that the
+same passage is cut alike wherever it stands; below, a line is a whole short line or such a part. Lines are hashed; a
+hash that more than one document has belongs to the earliest of them, its home. A document that shares a line with a home
+is a pair with it: rare lines and lines that a third of all documents share alike give at most one pair a line, so no
+group is ever squared. Each pair is aligned by patience diff over the line hashes: lines that both have once are matched
+along the longest increasing subsequence, and the gaps between them are aligned in the same way. From the later
+document, runs of aligned lines are deleted when they have enough words. Only hashes and counts are joined; a text is
+shuffled once, to meet the verdict on its lines.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixmap.llm.bagminhash import mix64
 from helixmap.llm.common import cut, fresh, whole_text
 
 #: A run of aligned lines is deleted from this many words on.
 MIN_WORDS = 25
+#: Longer lines are cut, after about every sixteenth word pair.
+LONG_WORDS, CUT_MASK = 32, np.uint64(15)
+#: Lines with fewer words make a pair of documents only together with the two after them.
+ANCHOR_WORDS = 5
 
-LINES = "doc_id long, digest binary, hashes array<long>, words array<int>"
+LINES = "doc_id long, digest long, hashes array<long>, words array<int>, anchors array<long>"
 
 
-def line_key(line: str) -> tuple[int, int]:
-    """A signed 64-bit hash of a line, white space aside, and its number of words; lines without words hash to 0."""
-    words = line.split()
-    if not words:
-        return 0, 0
-    h = xxhash.xxh3_64_intdigest(" ".join(words).encode())
-    return h - (1 << 64) if h >> 63 else h, len(words)
+STEP = np.uint64(0x9E3779B97F4A7C15)
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Odd multipliers of the bytes of a word, by place; places beyond the table begin anew.
+PLACES = 4096
+POWERS = np.cumprod(np.full(PLACES, 0x100000001B3, np.uint64))
+WORD = re.compile(rb"[^\t-\r ]+")
+#: Bytes that are cut at once.
+BLOCK_BYTES = 1 << 20
+
+
+def cut_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (signed), number of words, line and text number of each line or part of one, in order.
+
+    Words lie between ASCII white space, which doesn't count. A line without words is one part with hash 0.
+    """
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    sizes = np.array([len(t) + 1 for t in texts])
+    space, ends = SPACE[data], np.flatnonzero(data == 10)
+    text_of = np.searchsorted(np.cumsum(sizes) - 1, ends)  # of each line
+    line_at = np.arange(len(ends)) - np.searchsorted(text_of, text_of)
+    start = ~space
+    start[1:] &= space[:-1]
+    at = np.flatnonzero(start)
+    if not len(at):
+        return np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), line_at, text_of
+    line = np.searchsorted(ends, at)
+    lengths = np.diff(np.append(at, len(data)))
+    place = (np.arange(at[0], len(data)) - np.repeat(at, lengths)) & (PLACES - 1)
+    value = np.where(space[at[0] :], np.uint64(0), (data[at[0] :] + np.uint64(1)) * POWERS[place])
+    h = mix64(np.add.reduceat(value, at - at[0]))
+    per_line = np.bincount(line, minlength=len(ends))
+    first = np.ones(len(at), bool)
+    same = line[1:] == line[:-1]
+    pair = mix64(h[:-1] * STEP + h[1:])
+    first[1:] = ~same | (((pair & CUT_MASK) == 0) & (per_line[line[1:]] > LONG_WORDS))
+    part = np.flatnonzero(first)
+    words = np.diff(np.append(part, len(at)))
+    place = (np.arange(len(at)) - np.repeat(part, words)).astype(np.uint64)
+    total = mix64(np.add.reduceat(mix64(h + mix64(place + STEP)), part) ^ words.astype(np.uint64)).view(np.int64)
+    blank = np.flatnonzero(per_line == 0)
+    lines = np.concatenate([line[part], blank])
+    order = np.argsort(lines, kind="stable")
+    lines = lines[order]
+    zeros = np.zeros(len(blank), np.int64)
+    return np.concatenate([total, zeros])[order], np.concatenate([words, zeros])[order], line_at[lines], text_of[lines]
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -94,6 +141,23 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def align(home: list[int], own: list[int], words: list[int], min_words: int) -> list[int]:
+    """Positions of ``own`` with words that are aligned with ``home``.
+
+    What one alignment leaves is aligned again, so that blocks that changed places are found too, until a pass finds
+    fewer words than a run needs.
+    """
+    rest, out = [j for j, n in enumerate(words) if n], []
+    while rest:
+        hits = [rest[j] for _, j in patience(home, [own[j] for j in rest])]
+        out += hits
+        if sum(words[j] for j in hits) < min_words:
+            break
+        gone = set(hits)
+        rest = [j for j in rest if j not in gone]
+    return sorted(out)
+
+
 def runs(covered: set[int], words: list[int], min_words: int) -> list[tuple[int, int]]:
     """Runs [start, end) of covered lines with at least ``min_words`` words; lines without words join what they part."""
     out, start, end, total = [], None, 0, 0
@@ -109,37 +173,93 @@ def runs(covered: set[int], words: list[int], min_words: int) -> list[tuple[int,
     return out
 
 
+def cut_out(text: str, covered: set[int], min_words: int) -> tuple[str, int, int, str]:
+    """The text without its long enough runs of covered lines, how many lines they touch, their words and their text.
+
+    A line of which nothing stays goes with its line end; parts go with the white space after them.
+    """
+    raw = text.encode()
+    _, words, line_of, _ = cut_lines([raw])
+    gone = runs(covered, words.tolist(), min_words)
+    if not gone:
+        return text, 0, 0, ""
+    drop = {i for a, b in gone for i in range(a, b)}
+    kept, removed, touched, part = [], [], 0, 0
+    for number, line in enumerate(raw.split(b"\n")):
+        mine = []
+        while part < len(words) and line_of[part] == number:
+            mine.append(part)
+            part += 1
+        out = [p for p in mine if p in drop]
+        if not out:
+            kept.append(line)
+            continue
+        touched += 1
+        if len(out) == len(mine):
+            removed.append(line)
+            continue
+        starts = [m.start() for m in WORD.finditer(line)]
+        edges = [0, *[starts[i] for i in np.cumsum([words[p] for p in mine])[:-1]], len(line)]
+        spans = [line[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        kept.append(b"".join(x for p, x in zip(mine, spans, strict=True) if p not in drop))
+        removed.append(b"".join(x for p, x in zip(mine, spans, strict=True) if p in drop))
+    return b"\n".join(kept).decode(), touched, int(sum(words[p] for p in drop)), b"\n".join(removed).decode()
+
+
+def anchors_of(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The distinct hashes by which a document is paired: those of lines with words enough, and of three short ones."""
+    h, words = h[words > 0], words[words > 0]
+    u = h.view(np.uint64)
+    three = mix64(mix64(u[:-2] * STEP + u[1:-1]) * STEP + u[2:]).view(np.int64) if len(u) > 2 else np.empty(0, np.int64)
+    return np.unique(np.concatenate([h[words >= ANCHOR_WORDS], three[words[: len(three)] < ANCHOR_WORDS]]))
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the text, and hash and number of words of each line."""
 
+    def block(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        h, words, _, text = cut_lines(texts)
+        edges = np.searchsorted(text, np.arange(len(texts) + 1))
+        return [(h[a:b], words[a:b], anchors_of(h[a:b], words[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [[line_key(x) for x in t.as_py().split("\n")] for t in batch.column(2)]
-            hashes, words = [[h for h, _ in k] for k in keys], [[n for _, n in k] for k in keys]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], ["doc_id", "digest", "hashes", "words"])
+            found, texts, size = [], [], 0
+            for t in batch.column(2).cast(pa.binary()):
+                texts.append(t.as_py())
+                size += len(texts[-1])
+                if size >= BLOCK_BYTES:
+                    found += block(texts)
+                    texts, size = [], 0
+            found += block(texts) if texts else []
+            arrays = []
+            for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64())):
+                ends = np.concatenate([[0], np.cumsum([len(f[i]) for f in found])]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64), kind)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "digest", "hashes", "words", "anchors"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), whole_text().alias("text")).mapInArrow(run, LINES)
 
 
 def _digest():
-    return F.unhex(F.md5(whole_text().cast("binary")))
+    return F.xxhash64(whole_text())
 
 
 def homes(lines: DataFrame) -> DataFrame:
     """Pairs of a document and the home of a line it has: later (doc_id, digest) and earlier (doc_id, digest)."""
-    rows = lines.select(F.struct("doc_id", "digest").alias("k"), F.explode(F.array_distinct("hashes")).alias("h")).where("h <> 0")
+    rows = lines.select(F.struct("doc_id", "digest").alias("k"), F.explode("anchors").alias("h"))
     first = rows.groupBy("h").agg(F.min("k").alias("home"), F.count("*").alias("n")).where("n > 1").select("h", "home")
     first = cut(first)  # a side of its own, so that a hot line's rows can be split over tasks
     return rows.join(first, "h").where("k <> home").select(F.col("k.doc_id").alias("doc_id"), F.col("k.digest").alias("digest"), F.col("home.doc_id").alias("home_id"), F.col("home.digest").alias("home_digest")).distinct()
 
 
 def _keyed(lines: DataFrame, doc: str, digest: str, suffix: str = "") -> DataFrame:
-    """The line table once a document, with a key that joins null ids too."""
+    """The line table with a key that joins null ids too."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     return lines.select(key.alias(doc), F.col("digest").alias(digest), F.col("hashes").alias("hashes" + suffix), *([F.col("words")] if not suffix else []))
 
 
-def covered_lines(docs: DataFrame) -> DataFrame:
+def covered_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """key, digest, covered: for each document with aligned lines, their indexes and the ids of the earlier documents."""
     lines = cut(line_table(docs).dropDuplicates(["doc_id", "digest"]))
     text_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
@@ -150,11 +270,11 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for home, own in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                out.append([j for i, j in patience(home, own) if own[j]])
+            for home, own, words in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+                out.append(align(home, own, words, min_words))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int32()))], ["key", "digest", "home_id", "covered"])
 
-    aligned = pairs.select("key", "digest", "home_id", "hashes_home", "hashes").mapInArrow(run, "key string, digest binary, home_id long, covered array<int>")
+    aligned = pairs.select("key", "digest", "home_id", "hashes_home", "hashes", "words").mapInArrow(run, "key string, digest long, home_id long, covered array<int>")
     return aligned.groupBy("key", "digest").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.sort_array(F.collect_set("home_id")).alias("partners"))
 
 
@@ -169,7 +289,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     docs = docs.drop("kept_chars", "removed_lines", "removed_words", "removed_text", "partners")
     key, digest, covered = fresh(docs, "__key", "__digest", "__covered")
-    verdict = covered_lines(docs.select("doc_id", "text")).select(F.col("key").alias(key), F.col("digest").alias(digest), F.col("covered").alias(covered), "partners")
+    verdict = covered_lines(docs.select("doc_id", "text"), min_words).select(F.col("key").alias(key), F.col("digest").alias(digest), F.col("covered").alias(covered), "partners")
     rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn(digest, _digest())
     rows = rows.join(verdict, [key, digest], "left").drop(key, digest)
     names = [*docs.columns, "kept_chars", "removed_lines", "removed_words", "removed_text", "partners"]
@@ -180,23 +300,10 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             texts, sizes, n_lines, n_words, removed = [], [], [], [], []
             for text, marks in zip(batch.column(at), batch.column(len(names) - 5), strict=True):
                 text, marks = text.as_py(), marks.as_py()
-                gone: list[tuple[int, int]] = []
-                if marks:
-                    lines = text.split("\n")
-                    words = [line_key(x)[1] for x in lines]
-                    gone = runs(set(marks), words, min_words)
-                if gone:
-                    drop = {i for a, b in gone for i in range(a, b)}
-                    removed.append("\n".join(lines[i] for i in sorted(drop)))
-                    n_lines.append(len(drop))
-                    n_words.append(sum(words[i] for i in drop))
-                    text = "\n".join(x for i, x in enumerate(lines) if i not in drop)
-                else:
-                    removed.append("")
-                    n_lines.append(0)
-                    n_words.append(0)
-                texts.append(text)
-                sizes.append(len(text or ""))
+                out = cut_out(text, set(marks), min_words) if marks else (text, 0, 0, "")
+                for column, value in zip((texts, n_lines, n_words, removed), out, strict=True):
+                    column.append(value)
+                sizes.append(len(out[0] or ""))
             columns = list(batch.columns[: len(names) - 5])
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(n_lines, pa.int32()), pa.array(n_words, pa.int32()), pa.array(removed, pa.string()), batch.column(len(names) - 4)], names)

@@ -95,6 +95,38 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(empty(spark)).count() == 0
 
 
+def test_passages_within_long_lines(spark):
+    passage = prose(90, 4321)
+    rows = [(1, prose(200, 1) + " " + passage + " " + prose(150, 2)), (2, prose(100, 3) + " " + passage + " " + prose(60, 4) + "\n" + prose(40, 5)), (3, prose(300, 6)), (4, passage)]
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1].text == rows[0][1] and got[3].text == rows[2][1]
+    for i in (2, 4):  # all but the ends, which hang together with what stands around them
+        left = [w for w in got[i].removed_text.split()]
+        assert len(left) >= 40 and " ".join(left) in passage
+    assert got[2].text.startswith(prose(80, 3)[:200]) and got[2].text.endswith(prose(40, 5)) and got[2].removed_words + len(got[2].text.split()) == 290
+
+
+def test_blocks_that_changed_places_are_aligned():
+    a, b = list(range(1, 11)), list(range(11, 21))
+    assert line_dedup.align(a + [99] + b, b + [50] + a, [3] * 21, 25) == [*range(10), *range(11, 21)]
+    assert line_dedup.align(a, [0, *a], [0, *[3] * 10], 25) == list(range(1, 11))
+
+
+def test_cut_lines_keep_all_words():
+    texts = ["", "\n", "a", "a b\n\n c ", prose(500, 8), lines(7, 9) + "\n" + prose(77, 10), "x " * 400, "é\u00a0ü " * 50 + "y" * 9000]
+    together = line_dedup.cut_lines([t.encode() for t in texts])
+    for i, text in enumerate(texts):
+        h, words, line, _ = line_dedup.cut_lines([text.encode()])
+        assert all((x == y[together[3] == i]).all() for x, y in zip((h, words, line), together, strict=False))
+        assert words.sum() == len(text.encode().split()) and set(line.tolist()) == set(range(len(text.split("\n")))) and ((h == 0) == (words == 0)).all()
+        whole = set(range(len(h)))
+        kept, _, n, removed = line_dedup.cut_out(text, whole, 1)
+        assert n == len(text.encode().split()) and removed.encode().split() == text.encode().split() and not kept.split()
+        some = {i for i in whole if i % 3 == 0}
+        kept, _, n, removed = line_dedup.cut_out(text, some, 1)
+        assert len(kept.encode().split()) + n == len(text.encode().split()) and n == len(removed.encode().split())
+
+
 def test_patience_is_a_common_subsequence():
     r = random.Random(2)
     for _ in range(300):

@@ -23,24 +23,33 @@ def extend(pairs: list[tuple[np.ndarray, np.ndarray]], scoring: Scoring, band: i
     """For each (reference codes, query codes) the best score, its end in both and the path to it.
 
     The alignment starts at both heads; the path's letters are M, D (a reference base alone) and I (a query base alone). Of
-    equal scores the one with the least i + j wins. A best score of 0 is the empty path.
+    equal scores the one with the least i + j wins. A best score of 0 is the empty path. Without ``trace`` paths are
+    left empty and nothing is kept for them.
     """
     n = len(pairs)
     if not n:
         return []
-    la, lb = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
-    pad_a, pad_b = (np.full((n, int(x.max()) + 1), 4, np.int64) for x in (la, lb))
+    la, lb = (np.array([len(p[k]) for p in pairs], np.int32) for k in (0, 1))
+    codes_a, codes_b = np.full((n, int(la.max()) + 2), 4, np.uint8), np.full((n, int(lb.max()) + 2), 4, np.uint8)
     for k, (a, b) in enumerate(pairs):
-        pad_a[k, : len(a)], pad_b[k, : len(b)] = a, b
-    matrix, row = scoring.matrix(), np.arange(n)[:, None]
-    cell = np.arange(band)
-    first = scoring.gi + scoring.ge
-    i0, j0 = np.full(n, band // 2), np.full(n, -(band // 2))
-    blank = np.full((n, band + 2), LOW, np.int64)
-    s, e, f, s2 = blank.copy(), blank.copy(), blank.copy(), blank.copy()
-    s[:, 1 + band // 2] = 0
-    best, best_step, best_cell = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, band // 2)
-    down_before = np.zeros(n, bool)
+        codes_a[k, : len(a)], codes_b[k, : len(b)] = a, b
+    rows, cell, half = np.arange(n), np.arange(band, dtype=np.int32), band // 2
+    matrix = scoring.matrix()
+    uniform = not scoring.bonus
+    award, cost = np.int32(scoring.match + scoring.mismatch), np.int32(scoring.mismatch)
+    first, each, short_a, short_b = (np.int32(x) for x in (scoring.gi + scoring.ge, scoring.ge, scoring.gfb, scoring.gfa))
+    i0, j0 = np.full(n, half, np.int32), np.full(n, -half, np.int32)
+    padded = lambda: np.full((n, band + 2), LOW, np.int32)
+    s, e, f = padded(), padded(), padded()
+    s[:, 1 + half] = 0
+    base = np.full((n, band + 1), LOW, np.int32)  # two steps before, as the vector before lies
+    # the codes that face each other in the cells; cell t holds (i0 - t, j0 + t)
+    own_a, own_b = (np.full((n, band), 4, np.uint8) for _ in range(2))
+    for t in range(half):
+        own_a[:, t] = codes_a[rows, np.minimum(half - t - 1, la)]
+    for t in range(half + 1, band):
+        own_b[:, t] = codes_b[rows, np.minimum(t - half - 1, lb)]
+    best, best_step, best_j = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)
     alive = np.ones(n, bool)
     ways, begins = [], [j0.copy()]
     for step in range(1, int((la + lb).max()) + 1):
@@ -48,53 +57,60 @@ def extend(pairs: list[tuple[np.ndarray, np.ndarray]], scoring: Scoring, band: i
         known = (i0 <= la) & (j0 >= 0) & (i0 - band + 1 >= 0) & (j0 + band - 1 <= lb)  # both ends inside: else keep straight on
         down = np.where(known & (head != tail), head < tail, step % 2 == 0)
         down = np.where(i0 - band + 1 >= la, True, np.where(j0 >= lb, False, down))
-        i0, j0 = np.where(down, i0, i0 + 1), np.where(down, j0 + 1, j0)
-        i, j = i0[:, None] - cell, j0[:, None] + cell
-        inside = (i >= 0) & (j >= 0) & (i <= la[:, None]) & (j <= lb[:, None])
-        at_a = cell + 1 + down[:, None]  # (i - 1, j) in the padded vector before
-        at_b = at_a - 1  # (i, j - 1)
-        at_d = cell + down[:, None] + down_before[:, None]  # (i - 1, j - 1), two vectors before
-        s_a, s_b = s[row, at_a], s[row, at_b]
-        ext_a, ext_b = e[row, at_a] - scoring.ge, f[row, at_b] - scoring.ge
-        new_e, new_f = np.maximum(s_a - first, ext_a), np.maximum(s_b - first, ext_b)
-        both = (i > 0) & (j > 0) & inside
-        score = matrix[pad_a[row, np.where(both, i - 1, 0)], pad_b[row, np.where(both, j - 1, 0)]]
-        diagonal = np.where(both, s2[row, at_d] + score, LOW)
-        options = [s_b - scoring.gfa if scoring.gfa else np.full_like(s_b, LOW), new_f, s_a - scoring.gfb if scoring.gfb else np.full_like(s_a, LOW), new_e, diagonal]
-        new_s, way = options[0], np.zeros((n, band), np.uint8)
-        for kind in range(1, 5):
-            better = options[kind] > new_s
-            new_s = np.where(better, options[kind], new_s)
-            way[better] = kind
-        way |= np.where(ext_a > s_a - first, EXTEND_A, 0).astype(np.uint8) | np.where(ext_b > s_b - first, EXTEND_B, 0).astype(np.uint8)
-        new_s = np.where(inside & alive[:, None], new_s, LOW)
-        s2, s, e, f = s, blank.copy(), blank.copy(), blank.copy()
-        s[:, 1:-1], e[:, 1:-1], f[:, 1:-1] = new_s, np.where(inside, new_e, LOW), np.where(inside, new_f, LOW)
+        i0, j0 = i0 + ~down, j0 + down
+        d = down[:, None]
+        right, lower = np.flatnonzero(~down), np.flatnonzero(down)
+        own_a[right, 1:] = own_a[right, :-1]
+        own_a[right, 0] = codes_a[right, np.minimum(i0[right] - 1, la[right])]
+        own_b[lower, :-1] = own_b[lower, 1:]
+        at = j0[lower] + band - 2
+        own_b[lower, -1] = np.where(at >= 0, codes_b[lower, np.clip(at, 0, lb[lower])], 4)
+        s_a, s_b = np.where(d, s[:, 2:], s[:, 1:-1]) - first, np.where(d, s[:, 1:-1], s[:, :-2]) - first
+        ext_a, ext_b = np.where(d, e[:, 2:], e[:, 1:-1]) - each, np.where(d, f[:, 1:-1], f[:, :-2]) - each
+        new_e, new_f = np.maximum(s_a, ext_a), np.maximum(s_b, ext_b)
+        score = ((own_a == own_b) & (own_a < 4)) * award - cost if uniform else matrix[own_a, own_b]
+        diagonal = np.where(d, base[:, 1:], base[:, :-1]) + score
+        new_s = np.maximum(np.maximum(new_f, new_e), diagonal)
+        if short_a:
+            jump_a = s_a + (first - short_a)
+            new_s = np.maximum(new_s, jump_a)
+        if short_b:
+            jump_b = s_b + (first - short_b)
+            new_s = np.maximum(new_s, jump_b)
         if trace:
+            way = np.where(new_e == new_s, np.uint8(LONG_A), np.uint8(DIAGONAL))
+            if short_a:
+                way[jump_a == new_s] = SHORT_A
+            way[new_f == new_s] = LONG_B
+            if short_b:
+                way[jump_b == new_s] = SHORT_B
+            way |= (ext_a > s_a).view(np.uint8) * np.uint8(EXTEND_A) | (ext_b > s_b).view(np.uint8) * np.uint8(EXTEND_B)
             ways.append(way)
-            begins.append(j0.copy())
+            begins.append(j0)
+        low = np.maximum(np.maximum(i0 - la, -j0), 0)
+        high = np.where(alive, np.minimum(np.minimum(i0, lb - j0), band - 1), -1)
+        new_s = np.where((cell >= low[:, None]) & (cell <= high[:, None]), new_s, LOW)
+        base = np.where(d, s[:, 1:], s[:, :-1])
+        s, e, f = padded(), padded(), padded()
+        s[:, 1:-1], e[:, 1:-1], f[:, 1:-1] = new_s, new_e, new_f
         top = new_s.argmax(axis=1)
-        value = new_s[np.arange(n), top]
+        value = new_s[rows, top]
         more = value > best
-        best, best_step, best_cell = np.where(more, value, best), np.where(more, step, best_step), np.where(more, top, best_cell)
-        down_before = down
-        alive &= new_s.max(axis=1) > LOW // 2
+        if more.any():
+            best, best_step, best_j = np.where(more, value, best), np.where(more, step, best_step), np.where(more, j0 + top, best_j)
         if step % CHECK_STEPS == 0:
-            middle = np.where(inside[:, band // 2], new_s[:, band // 2], value)
-            alive &= middle >= best - scoring.xdrop
-        if not alive.any():
-            break
+            middle = np.where((half >= low) & (half <= high), new_s[:, half], value)
+            alive &= (middle >= best - scoring.xdrop) & (value > LOW // 2)
+            if not alive.any():
+                break
     out = []
     for k in range(n):
         if best[k] <= 0:
             out.append((0, 0, 0, ""))
             continue
-        if not trace:
-            out.append((int(best[k]), int(best_step[k]) - int(0), 0, ""))
-            continue
-        j = int(begins[best_step[k]][k] + best_cell[k])
+        j = int(best_j[k])
         i = int(best_step[k]) - j
-        out.append((int(best[k]), i, j, _back(i, j, k, ways, begins)))
+        out.append((int(best[k]), i, j, _back(i, j, k, ways, begins) if trace else ""))
     return out
 
 

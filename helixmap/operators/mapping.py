@@ -29,7 +29,7 @@ MARGIN, MARGIN_SHARE = 64, 0.2
 #: Band widths of the first try and of those after a known end point, and seeds that are tried for a chain.
 BANDS, TRIALS = (64, 32, 16), 8
 #: Pairs times steps of a batch of extensions; a step keeps a byte for each cell of the band.
-BATCH_STEPS = 1 << 21
+BATCH_STEPS = 1 << 20
 
 ALIGNMENTS = (
     "qid long, rid long, aid int, seg int, strand int, rs long, re long, qs long, qe long, score long, identity double, dcnt long, matches long, gaps_r long, gaps_q long, "
@@ -92,7 +92,7 @@ class Search:
 def extend_chains(query: np.ndarray, searches: list[Search], params: MapParams):
     """Runs all chains of one query, longest first; returns those with an alignment of the least score.
 
-    A generator: it yields (reference codes, query codes, band) and is sent the extension of that pair.
+    A generator: it yields (reference codes, query codes, band, whether a path is wanted) and is sent the extension.
     """
     other = complement_codes(query)
     ends: set[tuple[int, bool, int, int]] = set()
@@ -108,7 +108,7 @@ def extend_chains(query: np.ndarray, searches: list[Search], params: MapParams):
                 a0, b0 = r - s.slice_start - back, q - back
                 if not (0 <= a0 <= len(s.slice_codes) and 0 <= b0 <= len(oriented)):
                     continue
-                score, i, j, _ = yield s.slice_codes[a0:], oriented[b0:], BANDS[s.narrow]
+                score, i, j, _ = yield s.slice_codes[a0:], oriented[b0:], BANDS[s.narrow], False
                 if score > 0:
                     break
             else:
@@ -121,7 +121,7 @@ def extend_chains(query: np.ndarray, searches: list[Search], params: MapParams):
                 s.narrow = min(s.narrow + 1, 2)
                 continue
             ends.add(end)
-            score, i, j, path = yield s.slice_codes[:a1][::-1], oriented[:b1][::-1], BANDS[s.narrow]
+            score, i, j, path = yield s.slice_codes[:a1][::-1], oriented[:b1][::-1], BANDS[s.narrow], True
             if score < params.min_score:
                 continue
             path = path[::-1]
@@ -227,15 +227,15 @@ def together(searches: dict[int, object], params: MapParams) -> dict[int, object
     for key in searches:
         step(key, None)
     while waiting:
-        pairs = sorted(((len(a) + len(b), band, key, a, b) for key, (a, b, band) in waiting.items()), key=lambda x: (x[1], x[0], x[2]))
+        pairs = sorted(((band, trace, len(a) + len(b), key, a, b) for key, (a, b, band, trace) in waiting.items()), key=lambda x: x[:4])
         waiting.clear()
         while pairs:
-            band, n = pairs[0][1], 1
-            while n < len(pairs) and pairs[n][1] == band and (n + 1) * pairs[n][0] <= BATCH_STEPS:
+            kind, n = pairs[0][:2], 1
+            while n < len(pairs) and pairs[n][:2] == kind and (n + 1) * pairs[n][2] <= BATCH_STEPS:
                 n += 1
             now, pairs = pairs[:n], pairs[n:]
-            for (_, _, key, _, _), result in zip(now, extend([(a, b) for _, _, _, a, b in now], params.scoring, band), strict=True):
-                step(key, result)
+            for one, result in zip(now, extend([x[4:] for x in now], params.scoring, *kind), strict=True):
+                step(one[3], result)
     return done
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmap.llm.common import cut, whole_text
+from helixmap.llm.common import cut, tidy, whole_text
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -37,8 +37,8 @@ SIZE = 384
 DEVIATIONS = 3.5
 NIBBLES = 0x1111111111111111
 #: Shingles that are worked on at once, and words whose hashes a task keeps.
-BLOCK_SHINGLES = 200_000
-KEEP_WORDS = 300_000
+BLOCK_SHINGLES = 60_000
+KEEP_WORDS = 150_000
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -210,7 +210,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([k[i] for k in keys], pa.list_(pa.int64())) for i in (0, 1)]], ["doc_id", "digest", "keys", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(whole_text().cast("binary"))).alias("digest"), whole_text().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, digest binary, keys array<long>, bits array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, digest binary, keys array<long>, bits array<long>")
 
 
 class Likeness:
@@ -250,7 +250,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             similar = [like(a.as_py(), b.as_py()) >= threshold for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar, pa.bool_())], ["a", "b", "similar"])
 
-    return both.mapInArrow(run, "a binary, b binary, similar boolean").distinct()
+    return both.mapInArrow(tidy(run), "a binary, b binary, similar boolean").distinct()
 
 
 def links(sketches: DataFrame, docs: DataFrame, threshold: float) -> DataFrame | None:

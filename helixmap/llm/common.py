@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +82,48 @@ def inline(spark: SparkSession, rows: list, schema: str) -> DataFrame:
         .select(F.explode(F.from_json(F.lit(text), f"array<struct<{schema}>>")).alias("r"))
         .select("r.*")
     )
+
+
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system, as workers live on between stages."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """``run``, a function of one partition's batches, of one table or of two, with ``release`` at its end."""
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def over_batches(batches):
+            try:
+                yield from run(batches)
+            finally:
+                release()
+
+        return over_batches
+    if len(inspect.signature(run).parameters) == 2:
+
+        @functools.wraps(run)
+        def over_tables(left, right):
+            try:
+                return run(left, right)
+            finally:
+                release()
+
+        return over_tables
+
+    @functools.wraps(run)
+    def over_table(table):
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return over_table

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmap.llm.bagminhash import mix64
-from helixmap.llm.common import cut, fresh, whole_text
+from helixmap.llm.common import cut, fresh, tidy, whole_text
 
 #: A run of aligned lines is deleted from this many words on.
 MIN_WORDS = 25
@@ -43,7 +43,7 @@ PLACES = 4096
 POWERS = np.cumprod(np.full(PLACES, 0x100000001B3, np.uint64))
 WORD = re.compile(rb"[^\t-\r ]+")
 #: Bytes that are cut at once.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def cut_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -238,7 +238,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                 arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64), kind)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "digest", "hashes", "words", "anchors"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), whole_text().alias("text")).mapInArrow(run, LINES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), whole_text().alias("text")).mapInArrow(tidy(run), LINES)
 
 
 def _digest():
@@ -274,7 +274,7 @@ def covered_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 out.append(align(home, own, words, min_words))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int32()))], ["key", "digest", "home_id", "covered"])
 
-    aligned = pairs.select("key", "digest", "home_id", "hashes_home", "hashes", "words").mapInArrow(run, "key string, digest long, home_id long, covered array<int>")
+    aligned = pairs.select("key", "digest", "home_id", "hashes_home", "hashes", "words").mapInArrow(tidy(run), "key string, digest long, home_id long, covered array<int>")
     return aligned.groupBy("key", "digest").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.sort_array(F.collect_set("home_id")).alias("partners"))
 
 
@@ -310,4 +310,4 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in docs.columns] + ["kept_chars long", "removed_lines int", "removed_words int", "removed_text string", "partners array<long>"])
-    return rows.select(*[f"`{c}`" for c in docs.columns], covered, "partners").mapInArrow(run, schema)
+    return rows.select(*[f"`{c}`" for c in docs.columns], covered, "partners").mapInArrow(tidy(run), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from helixmap.llm.common import shared_folder, whole_text
+from helixmap.llm.common import shared_folder, tidy, whole_text
 
 WIDTH = 64
 ARCHIVE_BYTES = 64 << 20
@@ -126,7 +126,7 @@ def write_media(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES
             yield pa.RecordBatch.from_pydict({"name": [name], "members": [members]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    done = rows.mapInArrow(run, "name string, members long").collect()
+    done = rows.mapInArrow(tidy(run), "name string, members long").collect()
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
@@ -252,7 +252,7 @@ def digests(media: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in DIGESTS.split(", ")])
 
-    return media.select("doc_id", "media").mapInArrow(run, DIGESTS)
+    return media.select("doc_id", "media").mapInArrow(tidy(run), DIGESTS)
 
 
 def store_and_describe(docs: DataFrame) -> DataFrame:

@@ -22,15 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmap.llm.common import cut, whole_text
+from helixmap.llm.common import cut, tidy, whole_text
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 10 << 20
 #: Chunks whose number this divides hold the documents that are set aside for the weights.
 SET_ASIDE = 10
 ROUNDS = 100
 #: Bins of an octave in which ratios of estimates are summed for expectation-maximisation.
 BINS = 4
-KEEP_WORDS = 300_000
+KEEP_WORDS = 150_000
 STEP = 0x9E3779B97F4A7C15
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word has a line end in it
 ONE = np.uint64(1)
@@ -142,7 +142,7 @@ def requests(chunked: DataFrame, n_targets: int) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in REQUESTS.split(", ")])
 
-    return chunked.groupBy("chunk").applyInArrow(run, REQUESTS)
+    return chunked.groupBy("chunk").applyInArrow(tidy(run), REQUESTS)
 
 
 def replies(asked: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def replies(asked: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in REPLIES.split(", ")])
 
-    return asked.groupBy("kind", "target").applyInArrow(run, REPLIES)
+    return asked.groupBy("kind", "target").applyInArrow(tidy(run), REPLIES)
 
 
 def _counts(reply: pa.Table, column: str) -> list[np.ndarray]:
@@ -217,7 +217,7 @@ def histogram(chunked: DataFrame, answers: DataFrame, n: float, v: float) -> Dat
         rows, counts = np.unique(np.stack([bucket(before), level(two / zero), level(one / zero)])[:, train], axis=1, return_counts=True)
         return pa.table([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(counts, pa.int64())], ["bucket", "pairs", "words", "n"])
 
-    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, HISTOGRAM)
+    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy(run), HISTOGRAM)
 
 
 def maximise(rows: list[tuple[int, int, int, int]], rounds: int = ROUNDS) -> dict[int, tuple[float, float, float]]:
@@ -265,7 +265,7 @@ def scores(chunked: DataFrame, answers: DataFrame, n: int, v: int, weights: dict
         columns = [table.column("doc_id").combine_chunks(), table.column("held_out").combine_chunks(), pa.array(chunk.sizes), pa.array(known), pa.array(np.full(len(known), n, np.int64)), pa.array(base), pa.array(score)]
         return pa.table(columns, [x.split()[0] for x in SCORES.split(", ")])
 
-    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, SCORES)
+    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy(run), SCORES)
 
 
 def score_corpus(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmap.llm.common import cut, whole_text
+from helixmap.llm.common import cut, tidy, whole_text
 from helixmap.llm.tokens import VOCABULARY, token_ids
 
 CAPACITY = 2048
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
                     totals.append(len(ids))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc_ids, starts, lengths, crcs, totals)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(tidy(run), PIECES)
 
 
 def fill(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -141,7 +141,7 @@ def place(cuts: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_P
             sequence, offset = table[row, 3] + since // each, table[row, 4] + since % each * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("rank").cast("long").alias("rank")).mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("rank").cast("long").alias("rank")).mapInArrow(tidy(run), f"{PIECES}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, folder: str | None = None) -> DataFrame:

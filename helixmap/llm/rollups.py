@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixmap.llm.common import cut, shared_folder, whole_text
+from helixmap.llm.common import cut, shared_folder, tidy, whole_text
 from helixmap.llm.tokens import token_ids
 
 GROUP = ["source", "lang", "tokenizer_version"]
@@ -93,7 +93,7 @@ def count_tokens(docs: DataFrame, vocabularies: list[str], folder: str | None =
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
         F.md5(text.cast("binary")).alias("text_md5"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"),
     )
-    return rows.mapInArrow(run, "doc_id long, source string, lang string, text_md5 string, n_bytes long, tokens array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, source string, lang string, text_md5 string, n_bytes long, tokens array<long>")
 
 
 def corpus_history(docs: DataFrame, vocabularies: list[str], path: str | None = None) -> DataFrame:

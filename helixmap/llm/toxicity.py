@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmap.llm.common import whole_text
+from helixmap.llm.common import tidy, whole_text
 
 WINDOW, STRIDE = 32, 16
 #: Training uses at most so many labelled documents of each label, least hash of the doc_id first.
@@ -30,7 +30,7 @@ WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN = 8_192, 16_384, 8, 8, 8
 NGRAMS = (3, 4, 5)
 ROUNDS, FIRST_ROUNDS, BATCH, RATE = 14, 4, 64, 0.01
 #: Words whose gate inputs a task keeps, and words that are read at once.
-KEEP_WORDS, CHUNK_WORDS = 250_000, 60_000
+KEEP_WORDS, CHUNK_WORDS = 100_000, 40_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 EDGES = ".,;:!?\"'()[]{}<>|*_-"
 
@@ -412,7 +412,7 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
             s = reader.score(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), whole_text().alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), whole_text().alias("text")).mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, network: Network) -> DataFrame:
@@ -426,4 +426,4 @@ def keep_clean(docs: DataFrame, network: Network) -> DataFrame:
             s = reader.score([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(s < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

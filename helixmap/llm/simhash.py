@@ -25,7 +25,7 @@ RADIUS = 3
 KEEP_BLOCKS = 3
 #: Documents of a bucket of neighbours, and the bound of cells by which ids are dealt into buckets.
 BUCKET_ROWS = 2_000
-MAX_CELLS = 65_536
+MAX_CELLS = 1 << 20
 #: How many documents one search query stands for: ids divisible by this are queries against all rows.
 QUERY_STEP = 20
 

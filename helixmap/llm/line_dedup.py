@@ -1,13 +1,15 @@
 """Line dedup by pairwise alignment.
 
 A line of more than ``LONG_WORDS`` words is cut into parts, after each word pair whose hash ends in zeros, so that the
-same passage is cut alike wherever it stands; below, a line is a whole short line or such a part. Lines are hashed; a
-hash that more than one document has belongs to the earliest of them, its home. A document that shares a line with a home
-is a pair with it: rare lines and lines that a third of all documents share alike give at most one pair a line, so no
-group is ever squared. Each pair is aligned by patience diff over the line hashes: lines that both have once are matched
-along the longest increasing subsequence, and the gaps between them are aligned in the same way. From the later
-document, runs of aligned lines are deleted when they have enough words. Only hashes and counts are joined; a text is
-shuffled once, to meet the verdict on its lines.
+same passage is cut alike wherever it stands; below, a line is a whole short line or such a part. Documents are paired by
+hashes: of lines, and of winnowed word n-grams, of which each passage as long as a run has one, whatever the lines. A hash that more than one document has belongs to the earliest
+of them, its home. A document that shares a hash with a home is a pair with it: rare lines and lines that a third of all
+documents share alike give at most one pair a line, so no group is ever squared. Each pair is aligned by patience diff over
+the line hashes: lines that both have once are matched along the longest increasing subsequence, and the gaps between them
+are aligned in the same way. It is also aligned word by word: all words of the later document are covered that lie in a
+sequence of the words of a run which the home has too, so that passages end where they end, not at a line or cut; where
+neither document has a long line there, only whole lines count. From the later document, runs of covered words are deleted when they are long enough. Only hashes and counts are joined; a
+text is shuffled once, to meet the verdict on its words.
 """
 
 from __future__ import annotations
@@ -32,8 +34,7 @@ LONG_WORDS, CUT_MASK = 32, np.uint64(15)
 #: Lines with fewer words make a pair of documents only together with the two after them.
 ANCHOR_WORDS = 5
 
-LINES = "doc_id long, digest long, hashes array<long>, words array<int>, anchors array<long>"
-
+LINES = "doc_id long, digest long, hashes array<long>, words array<int>, tokens binary, anchors array<long>"
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
@@ -51,6 +52,14 @@ def cut_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
     Words lie between ASCII white space, which doesn't count. A line without words is one part with hash 0.
     """
+    return cut_words(texts)[:4]
+
+
+def cut_words(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """What ``cut_lines`` gives, and the token and the text number of each word.
+
+    A token is 31 bits of the word's hash above one that is set in lines of more than ``LONG_WORDS`` words.
+    """
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     sizes = np.array([len(t) + 1 for t in texts])
     space, ends = SPACE[data], np.flatnonzero(data == 10)
@@ -60,7 +69,7 @@ def cut_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     start[1:] &= space[:-1]
     at = np.flatnonzero(start)
     if not len(at):
-        return np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), line_at, text_of
+        return np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), line_at, text_of, np.empty(0, np.uint32), np.empty(0, np.int64)
     line = np.searchsorted(ends, at)
     lengths = np.diff(np.append(at, len(data)))
     place = (np.arange(at[0], len(data)) - np.repeat(at, lengths)) & (PLACES - 1)
@@ -80,7 +89,47 @@ def cut_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     order = np.argsort(lines, kind="stable")
     lines = lines[order]
     zeros = np.zeros(len(blank), np.int64)
-    return np.concatenate([total, zeros])[order], np.concatenate([words, zeros])[order], line_at[lines], text_of[lines]
+    return np.concatenate([total, zeros])[order], np.concatenate([words, zeros])[order], line_at[lines], text_of[lines], (h >> np.uint64(33) << np.uint64(1)).astype(np.uint32) | (per_line[line] > LONG_WORDS), text_of[line]
+
+
+#: Base of sequence hashes, odd, and its inverse modulo 2**64.
+BASE = 0xD1342543DE82EF95
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def sequence_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of values[start:end] for each start and end; equal sequences have equal hashes wherever they stand."""
+    n = len(values) + 1
+    sums = np.zeros(n, np.uint64)
+    np.cumsum(mix64(values.astype(np.uint64) + STEP) * np.cumprod(np.full(n - 1, BASE, np.uint64)), out=sums[1:])
+    back = np.cumprod(np.full(n, INVERSE, np.uint64))
+    return mix64((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
+
+
+def shared_words(home: np.ndarray, own: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which words of ``own`` lie in a sequence of ``min_words`` words that ``home`` has too.
+
+    Second: those of them in a run of such words that on one side touches a long line.
+    """
+    if min(len(home), len(own)) < min_words:
+        return np.zeros(len(own), bool), np.zeros(len(own), bool)
+    grams, long = [], []
+    for t in (home, own):
+        at = np.arange(len(t) - min_words + 1)
+        grams.append(sequence_hashes(t >> np.uint32(1), at, at + min_words))
+        sums = np.concatenate([[0], np.cumsum(t & np.uint32(1), dtype=np.int64)])
+        long.append(sums[min_words:] > sums[:-min_words])
+    hit = np.isin(grams[1], grams[0])
+    touch = hit & long[1] | np.isin(grams[1], grams[0][long[0]])
+    change = np.zeros(len(own) + 1, np.int64)
+    change[: len(hit)] += hit
+    change[min_words:] -= hit
+    shared = np.cumsum(change[:-1]) > 0
+    kept = np.zeros(len(own), bool)
+    touches = np.concatenate([[0], np.cumsum(touch)])
+    for a, b in zip(*spans_of(shared), strict=True):
+        kept[a:b] = touches[min(b, len(touch))] > touches[min(a, len(touch))]
+    return shared, kept
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -158,69 +207,88 @@ def align(home: list[int], own: list[int], words: list[int], min_words: int) ->
     return sorted(out)
 
 
-def runs(covered: set[int], words: list[int], min_words: int) -> list[tuple[int, int]]:
-    """Runs [start, end) of covered lines with at least ``min_words`` words; lines without words join what they part."""
-    out, start, end, total = [], None, 0, 0
-    for i, n in enumerate([*words, 1]):
-        if i < len(words) and (i in covered and n):
-            if start is None:
-                start, total = i, 0
-            end, total = i + 1, total + n
-        elif n and start is not None:
-            if total >= min_words:
-                out.append((start, end))
-            start = None
-    return out
+def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values."""
+    change = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
+    return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
 
 
 def cut_out(text: str, covered: set[int], min_words: int) -> tuple[str, int, int, str]:
-    """The text without its long enough runs of covered lines, how many lines they touch, their words and their text.
+    """``drop_words`` for covered lines, given by their indexes."""
+    _, words, _, _ = cut_lines([text.encode()])
+    return drop_words(text, np.repeat(np.array([i in covered for i in range(len(words))], bool), words), min_words)
+
 
-    A line of which nothing stays goes with its line end; parts go with the white space after them.
+def drop_words(text: str, covered: np.ndarray, min_words: int) -> tuple[str, int, int, str]:
+    """The text without its long enough runs of covered words, how many lines they touch, their words and their text.
+
+    A line of which nothing stays goes with its line end; words go with the white space after them.
     """
-    raw = text.encode()
-    _, words, line_of, _ = cut_lines([raw])
-    gone = runs(covered, words.tolist(), min_words)
-    if not gone:
+    start, end = spans_of(covered)
+    long = end - start >= min_words
+    if not long.any():
         return text, 0, 0, ""
-    drop = {i for a, b in gone for i in range(a, b)}
-    kept, removed, touched, part = [], [], 0, 0
-    for number, line in enumerate(raw.split(b"\n")):
-        mine = []
-        while part < len(words) and line_of[part] == number:
-            mine.append(part)
-            part += 1
-        out = [p for p in mine if p in drop]
-        if not out:
+    drop = np.zeros(len(covered), bool)
+    for a, b in zip(start[long], end[long], strict=True):
+        drop[a:b] = True
+    kept, removed, touched, at = [], [], 0, 0
+    for line in text.encode().split(b"\n"):
+        n = len(line.split())
+        out = drop[at : at + n]
+        at += n
+        if not out.any():
             kept.append(line)
             continue
         touched += 1
-        if len(out) == len(mine):
+        if out.all():
             removed.append(line)
             continue
-        starts = [m.start() for m in WORD.finditer(line)]
-        edges = [0, *[starts[i] for i in np.cumsum([words[p] for p in mine])[:-1]], len(line)]
-        spans = [line[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        kept.append(b"".join(x for p, x in zip(mine, spans, strict=True) if p not in drop))
-        removed.append(b"".join(x for p, x in zip(mine, spans, strict=True) if p in drop))
-    return b"\n".join(kept).decode(), touched, int(sum(words[p] for p in drop)), b"\n".join(removed).decode()
-
+        edges = [0, *[m.start() for m in WORD.finditer(line)][1:], len(line)]
+        for box, mask in ((kept, ~out), (removed, out)):
+            box.append(b"".join(line[edges[a] : edges[b]] for a, b in zip(*spans_of(mask), strict=True)))
+    return b"\n".join(kept).decode(), touched, int(drop.sum()), b"\n".join(removed).decode()
 
-def anchors_of(h: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The distinct hashes by which a document is paired: those of lines with words enough, and of three short ones."""
-    h, words = h[words > 0], words[words > 0]
-    u = h.view(np.uint64)
-    three = mix64(mix64(u[:-2] * STEP + u[1:-1]) * STEP + u[2:]).view(np.int64) if len(u) > 2 else np.empty(0, np.int64)
-    return np.unique(np.concatenate([h[words >= ANCHOR_WORDS], three[words[: len(three)] < ANCHOR_WORDS]]))
 
+def anchors_of(h: np.ndarray, words: np.ndarray, text: np.ndarray, tokens: np.ndarray, text_of: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes by which documents are paired, with the text of each, in the order of texts.
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, and hash and number of words of each line."""
-
-    def block(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        h, words, _, text = cut_lines(texts)
-        edges = np.searchsorted(text, np.arange(len(texts) + 1))
-        return [(h[a:b], words[a:b], anchors_of(h[a:b], words[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    Those of lines with words enough, and of three short ones; and the least hash of word n-grams in each ``min_words``
+    words.
+    """
+    h, text, words = h[words > 0], text[words > 0], words[words > 0]
+    u, n = h.view(np.uint64), len(h)
+    found = [(u[words >= ANCHOR_WORDS], text[words >= ANCHOR_WORDS])]
+    if n > 2:
+        own = (words[:-2] < ANCHOR_WORDS) & (text[:-2] == text[2:])
+        found.append((mix64(mix64(u[:-2] * STEP + u[1:-1]) * STEP + u[2:])[own], text[:-2][own]))
+    if len(tokens) >= min_words:
+        size = (min_words + 1) // 2
+        at = np.arange(len(tokens) - size + 1)
+        least, wide = sequence_hashes(tokens >> np.uint32(1), at, at + size), 1
+        while wide < min_words - size + 1:
+            step = min(wide, min_words - size + 1 - wide)
+            least, wide = np.minimum(least[:-step], least[step:]), wide + step
+        own = text_of[: len(least)] == text_of[min_words - 1 :]
+        least, of = least[own], text_of[: len(own)][own]
+        new = np.ones(len(least), bool)
+        new[1:] = (least[1:] != least[:-1]) | (of[1:] != of[:-1])
+        found.append((least[new], of[new]))
+    value, of = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((value, of))
+    value, of = value[order], of[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
+    return value[new].view(np.int64), of[new]
+
+
+def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, digest of the text, hash and number of words of each line, token of each word, and anchors."""
+
+    def block(texts: list[bytes]) -> list[tuple]:
+        h, words, _, text, tokens, text_of = cut_words(texts)
+        anchors, of = anchors_of(h, words, text, tokens, text_of, min_words)
+        (p, q), (c, d), (e, f) = ((x[:-1], x[1:]) for x in (np.searchsorted(t, np.arange(len(texts) + 1)) for t in (text, text_of, of)))
+        return [(h[p[i] : q[i]], words[p[i] : q[i]], anchors[e[i] : f[i]], tokens[c[i] : d[i]].tobytes()) for i in range(len(texts))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +304,8 @@ def line_table(docs: DataFrame) -> DataFrame:
             for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64())):
                 ends = np.concatenate([[0], np.cumsum([len(f[i]) for f in found])]).astype(np.int32)
                 arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64), kind)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "digest", "hashes", "words", "anchors"])
+            arrays.insert(2, pa.array([f[3] for f in found], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "digest", "hashes", "words", "tokens", "anchors"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), whole_text().alias("text")).mapInArrow(tidy(run), LINES)
 
@@ -256,26 +325,37 @@ def homes(lines: DataFrame) -> DataFrame:
 def _keyed(lines: DataFrame, doc: str, digest: str, suffix: str = "") -> DataFrame:
     """The line table with a key that joins null ids too."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    return lines.select(key.alias(doc), F.col("digest").alias(digest), F.col("hashes").alias("hashes" + suffix), *([F.col("words")] if not suffix else []))
+    return lines.select(key.alias(doc), F.col("digest").alias(digest), F.col("hashes").alias("hashes" + suffix), F.col("tokens").alias("tokens" + suffix), *([F.col("words")] if not suffix else []))
 
 
 def covered_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """key, digest, covered: for each document with aligned lines, their indexes and the ids of the earlier documents."""
-    lines = cut(line_table(docs).dropDuplicates(["doc_id", "digest"]))
+    """key, digest, covered, partners: for each document with a pair, spans of covered words and the earlier documents' ids.
+
+    A span is the number of its first word, shifted by 32 bits, and the number of the first word after it.
+    """
+    lines = cut(line_table(docs, min_words).dropDuplicates(["doc_id", "digest"]))
     text_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    pairs = homes(lines).select(text_key("doc_id").alias("key"), "digest", text_key("home_id").alias("home_key"), "home_digest", "home_id")
+    pairs = cut(homes(lines).select(text_key("doc_id").alias("key"), "digest", text_key("home_id").alias("home_key"), "home_digest", "home_id"))
     pairs = pairs.join(_keyed(lines, "home_key", "home_digest", "_home"), ["home_key", "home_digest"])
     pairs = pairs.join(_keyed(lines, "key", "digest"), ["key", "digest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for home, own, words in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
-                out.append(align(home, own, words, min_words))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int32()))], ["key", "digest", "home_id", "covered"])
-
-    aligned = pairs.select("key", "digest", "home_id", "hashes_home", "hashes", "words").mapInArrow(tidy(run), "key string, digest long, home_id long, covered array<int>")
-    return aligned.groupBy("key", "digest").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.sort_array(F.collect_set("home_id")).alias("partners"))
+            for row in zip(*batch.columns[3:], strict=True):
+                home, home_tokens, own, tokens, words = (x.as_py() for x in row)
+                lines = np.zeros(len(words), bool)
+                lines[align(home, own, words, min_words)] = True
+                shared, mask = shared_words(np.frombuffer(home_tokens, np.uint32), np.frombuffer(tokens, np.uint32), min_words)
+                edges = np.concatenate([[0], np.cumsum(words)])
+                lines |= np.diff(np.concatenate([[0], np.cumsum(shared)])[edges]) == words  # whole lines in a shared sequence
+                mask |= np.repeat(lines, words)
+                start, end = spans_of(mask)
+                out.append((start << 32) | end)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int64()))], ["key", "digest", "home_id", "covered"])
+
+    aligned = pairs.select("key", "digest", "home_id", "hashes_home", "tokens_home", "hashes", "tokens", "words").mapInArrow(tidy(run), "key string, digest long, home_id long, covered array<long>")
+    return cut(aligned.groupBy("key", "digest").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.sort_array(F.collect_set("home_id")).alias("partners")))
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -300,7 +380,12 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             texts, sizes, n_lines, n_words, removed = [], [], [], [], []
             for text, marks in zip(batch.column(at), batch.column(len(names) - 5), strict=True):
                 text, marks = text.as_py(), marks.as_py()
-                out = cut_out(text, set(marks), min_words) if marks else (text, 0, 0, "")
+                out = (text, 0, 0, "")
+                if marks:
+                    mask = np.zeros(len(text.encode().split()), bool)
+                    for m in marks:
+                        mask[m >> 32 : m & 0xFFFFFFFF] = True
+                    out = drop_words(text, mask, min_words)
                 for column, value in zip((texts, n_lines, n_words, removed), out, strict=True):
                     column.append(value)
                 sizes.append(len(out[0] or ""))

@@ -369,3 +369,29 @@ def test_raking_of_missing_labels():
     f = mixing.rake({("a", "x", "t"): 10.0, ("other", "x", "t"): 30.0, ("a", "y", "t"): 0.0}, mixing.Targets(source={"a": 1.0}, lang={"x": 1.0, "z": 0.5}))
     assert f["a", "y", "t"] == 1.0 and f["a", "x", "t"] > f["other", "x", "t"]
     assert mixing.rake({("a", "x", "t"): 0.0}, mixing.Targets()) == {("a", "x", "t"): 1.0}
+
+
+def test_passages_at_random_offsets_go_to_the_word(spark):
+    r, rows, want = random.Random(31), [], {}
+    fill = lambda k: "\n".join(" ".join(f"{k}w{r.randrange(9999)}" for _ in range(r.choice([7, 30, 90]))) for _ in range(3))
+    for k in range(60):
+        passage = [f"p{k}x{j}" for j in range(r.choice([25, 32, 50, 55, 60]))]
+        at = r.randrange(5, 20)
+        wrapped = " ".join(passage) if k % 2 else " ".join(passage[:at]) + "\n" + " ".join(passage[at:])
+        rows += [(k, f"{fill('a')} {' '.join(passage)} {fill('b')}"), (1000 + k, f"{fill('c')} {wrapped} {fill('d')}")]
+        want[1000 + k] = passage
+    for x in line_dedup.dedup(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert x.removed_text.split() == want.get(x.doc_id, []), x.doc_id
+        assert x.text.split() == [w for w in dict(rows)[x.doc_id].split() if w not in want.get(x.doc_id, [])]
+
+
+def test_shared_words_match_brute_force():
+    r = random.Random(6)
+    for _ in range(200):
+        a, b = ([r.randint(0, 2) for _ in range(r.randint(0, 30))] for _ in range(2))
+        runs = {tuple(a[i : i + 4]) for i in range(len(a) - 3)}
+        flags = lambda x, p: np.array([2 * v + (r.random() < p) for v in x], np.uint32)
+        want = [any(tuple(b[i : i + 4]) in runs for i in range(max(0, j - 3), j + 1) if i + 4 <= len(b)) for j in range(len(b))]
+        assert line_dedup.shared_words(flags(a, 0.5), flags(b, 0.5), 4)[0].tolist() == want
+        assert line_dedup.shared_words(flags(a, 0), flags(b, 1), 4)[1].tolist() == line_dedup.shared_words(flags(a, 1), flags(b, 0), 4)[1].tolist() == want
+        assert not line_dedup.shared_words(flags(a, 0), flags(b, 0), 4)[1].any()

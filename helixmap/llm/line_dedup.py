@@ -2,7 +2,8 @@
 
 A line of more than ``LONG_WORDS`` words is cut into parts, after each word pair whose hash ends in zeros, so that the
 same passage is cut alike wherever it stands; below, a line is a whole short line or such a part. Documents are paired by
-hashes: of lines, and of winnowed word n-grams, of which each passage as long as a run has one, whatever the lines. A hash that more than one document has belongs to the earliest
+hashes: of lines, of the shortest sequences of lines that have the words of a run, and of winnowed word n-grams, of which
+each passage as long as a run has one, whatever the lines. A hash that more than one document has belongs to the earliest
 of them, its home. A document that shares a hash with a home is a pair with it: rare lines and lines that a third of all
 documents share alike give at most one pair a line, so no group is ever squared. Each pair is aligned by patience diff over
 the line hashes: lines that both have once are matched along the longest increasing subsequence, and the gaps between them
@@ -252,8 +253,9 @@ def drop_words(text: str, covered: np.ndarray, min_words: int) -> tuple[str, int
 def anchors_of(h: np.ndarray, words: np.ndarray, text: np.ndarray, tokens: np.ndarray, text_of: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashes by which documents are paired, with the text of each, in the order of texts.
 
-    Those of lines with words enough, and of three short ones; and the least hash of word n-grams in each ``min_words``
-    words.
+    Those of lines with words enough, and of three short ones; of the shortest sequences of lines from each line on, and up
+    to each, that have ``min_words``, so that of a longer sequence every line is in one; and the least hash of word
+    n-grams in each ``min_words`` words.
     """
     h, text, words = h[words > 0], text[words > 0], words[words > 0]
     u, n = h.view(np.uint64), len(h)
@@ -261,6 +263,16 @@ def anchors_of(h: np.ndarray, words: np.ndarray, text: np.ndarray, tokens: np.nd
     if n > 2:
         own = (words[:-2] < ANCHOR_WORDS) & (text[:-2] == text[2:])
         found.append((mix64(mix64(u[:-2] * STEP + u[1:-1]) * STEP + u[2:])[own], text[:-2][own]))
+    if n > 1:
+        sums = np.concatenate([[0], np.cumsum(words)])
+        ends = np.searchsorted(sums, sums[:-1] + min_words)
+        starts = np.searchsorted(sums, sums[1:] - min_words, "right") - 1
+        a, b = np.concatenate([np.arange(n), starts]), np.concatenate([ends, np.arange(1, n + 1)])
+        own = (a >= 0) & (b <= n) & (b - a > 1)
+        a, b = a[own], b[own]
+        own = text[a] == text[b - 1]
+        a, b = a[own], b[own]
+        found.append((sequence_hashes(u, a, b), text[a]))
     if len(tokens) >= min_words:
         size = (min_words + 1) // 2
         at = np.arange(len(tokens) - size + 1)

@@ -395,3 +395,11 @@ def test_shared_words_match_brute_force():
         assert line_dedup.shared_words(flags(a, 0.5), flags(b, 0.5), 4)[0].tolist() == want
         assert line_dedup.shared_words(flags(a, 0), flags(b, 1), 4)[1].tolist() == line_dedup.shared_words(flags(a, 1), flags(b, 0), 4)[1].tolist() == want
         assert not line_dedup.shared_words(flags(a, 0), flags(b, 0), 4)[1].any()
+
+
+def test_a_sequence_whose_lines_stood_apart_before(spark):
+    one, two, three = (prose(18, 600 + i) for i in range(3))
+    rows = [(1, "\n".join([three, prose(30, 610), two, prose(31, 611), one])), (2, "\n".join([prose(20, 612), one, two, three])), (3, "\n".join([one, two, three, prose(20, 613)]))]
+    got = {x.doc_id: x for x in line_dedup.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[3].removed_text == "\n".join([one, two, three]) and got[3].text == prose(20, 613) and got[3].partners == [1, 2]
+    assert got[2].text == rows[1][1]

@@ -1,7 +1,7 @@
 """Toxicity by a small bidirectional gated recurrent network, trained and run in numpy.
 
 A word enters as its own hashed embedding beside the mean of its hashed character n-grams' embeddings, so a word that
-was never seen is read by its parts. Two gated recurrent layers run over a window, forward and backward; attention
+was never seen is read by its parts. A word of more than 64 bytes, as in writing without spaces, enters in pieces. Two gated recurrent layers run over a window, forward and backward; attention
 pools their states to one logit. A text is read whole in windows that overlap by half; its logit is that of its worst
 window, mapped to a probability by a logistic fit on labelled documents that training didn't use.
 
@@ -12,6 +12,7 @@ task, so that a step of the recurrence is a look-up and a product with the small
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,10 +34,25 @@ ROUNDS, FIRST_ROUNDS, BATCH, RATE = 14, 4, 64, 0.01
 KEEP_WORDS, CHUNK_WORDS = 100_000, 40_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 EDGES = ".,;:!?\"'()[]{}<>|*_-"
+#: A word of more UTF-8 bytes is read in pieces: its runs of letters and digits, those of more characters than PIECE in
+#: overlapping pieces of that length.
+LONG_BYTES, PIECE, PIECE_STEP = 64, 16, 8
+RUN = re.compile(r"[^\W_]+|[\W_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    """The words of a text in lower case; the long ones in pieces that together have all their characters."""
+    words = text.lower().split()
+    if max(map(len, words), default=0) * 4 <= LONG_BYTES:
+        return words
+    return [p for w in words for p in ([w] if len(w) * 4 <= LONG_BYTES or len(core(w).encode()) <= LONG_BYTES else pieces(w))]
+
+
+def pieces(word: str) -> list[str]:
+    out = []
+    for run in RUN.findall(word):
+        out += [run[i : i + PIECE] for i in range(0, max(1, len(run) - PIECE_STEP), PIECE_STEP)]
+    return out
 
 
 def core(word: str) -> str:
@@ -46,7 +62,7 @@ def core(word: str) -> str:
 
 def features(cores: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The row of each word, the rows of all words' n-grams (of UTF-8 bytes, edges marked) and where each word's start."""
-    marked = [b"<%b>" % c.encode()[:64] for c in cores]
+    marked = [b"<%b>" % c.encode() for c in cores]
     sizes = np.array([len(m) for m in marked])
     text = np.frombuffer(b"".join(marked) + b"\0" * max(NGRAMS), np.uint8).astype(np.uint64) + np.uint64(1)
     n = int(sizes.sum())

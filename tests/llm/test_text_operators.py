@@ -403,3 +403,33 @@ def test_a_sequence_whose_lines_stood_apart_before(spark):
     got = {x.doc_id: x for x in line_dedup.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[3].removed_text == "\n".join([one, two, three]) and got[3].text == prose(20, 613) and got[3].partners == [1, 2]
     assert got[2].text == rows[1][1]
+
+
+def test_toxic_terms_late_in_a_run_without_spaces():
+    r = random.Random(15)
+    texts, labels = [], []
+    for i in range(400):
+        words = prose(r.randint(20, 120), 7000 + i).split()
+        for _ in range(2 + len(words) // 20 if i % 4 == 0 else 0):
+            words[r.randrange(len(words))] = "vile" + r.choice(["", "ness", "ly", "st", "ster"])
+        texts.append(" ".join(words))
+        labels.append(int(i % 4 == 0))
+    reader = toxicity.Reader(toxicity.train(texts, labels))
+    for joint in ("_", ",", "\u3002"):
+        clean = prose(60, 8001).replace(" ", joint)
+        late = clean + joint + joint.join(["vile", "vileness", "vilely"] * 4)
+        assert clean[:64] == late[:64] and (reader.score([clean, late]) >= 0.5).tolist() == [False, True]
+    clean = prose(60, 8002).replace(" ", "")
+    a, b = reader.worst([clean + prose(9, 8003).replace(" ", ""), clean + "vilenessvilelyvilest" * 4])
+    assert b > a
+
+
+def test_pieces_have_every_character():
+    for n in [17, 24, 25, 64, 65, 200, 5000]:
+        for mark in ("", "_", "\u3002"):
+            word = mark.join(chr(0x4E00 + i) for i in range(n))  # each letter once, three bytes
+            got = toxicity.words_of("one " + word + " two")
+            assert got[0] == "one" and got[-1] == "two" and set("".join(got[1:-1])) == set(word)
+            assert len(got) == 3 if len(word.encode()) <= 64 else all(len(p) <= toxicity.PIECE for p in got)
+            assert mark or all(any(word[i : i + 5] in p for p in got) for i in range(0, n - 4, 7))
+    assert toxicity.words_of("x" * 64 + " " + "-" * 70)[0] == "x" * 64 and toxicity.words_of("(" * 70 + "x")[0] == "(" * 70 + "x"

@@ -31,7 +31,7 @@ class Targets:
     lang: dict[str, float] = field(default_factory=dict)
     topic: dict[str, float] = field(default_factory=dict)
     rounds: int = 50
-    #: Raking moves a cell by this factor at most from its natural weight.
+    #: Only ``mix_sql`` holds factors to this bound and its inverse; ``rake`` has none.
     most: float = 16.0
 
 
@@ -78,8 +78,7 @@ def rake(cells: dict[tuple[str, str, str], float], targets: Targets) -> dict[tup
                 if k[axis] in have:
                     have[k[axis]] += v
             weight = {k: v * goal[k[axis]] / have[k[axis]] if have.get(k[axis]) else v for k, v in weight.items()}
-    factor = {k: weight[k] / (v / total) if v else 1.0 for k, v in cells.items()}
-    return {k: min(max(v, 1 / targets.most), targets.most) for k, v in factor.items()}
+    return {k: weight[k] / (v / total) if v else 1.0 for k, v in cells.items()}
 
 
 def mix(docs: DataFrame, targets: Targets, seed: int = 11) -> DataFrame:

@@ -433,3 +433,11 @@ def test_pieces_have_every_character():
             assert len(got) == 3 if len(word.encode()) <= 64 else all(len(p) <= toxicity.PIECE for p in got)
             assert mark or all(any(word[i : i + 5] in p for p in got) for i in range(0, n - 4, 7))
     assert toxicity.words_of("x" * 64 + " " + "-" * 70)[0] == "x" * 64 and toxicity.words_of("(" * 70 + "x")[0] == "(" * 70 + "x"
+
+
+def test_raking_meets_the_target_of_a_rare_source():
+    cells = {(s, c, "t"): n * (2.0 if c == "x" else 1.0) for s, n in (("rare", 1), ("a", 600), ("b", 399)) for c in "xy"}
+    f = mixing.rake(cells, mixing.Targets(source={"rare": 0.05, "a": 0.05, "b": 0.9}, lang={"x": 0.5, "y": 0.5}))
+    weight = {k: v * f[k] for k, v in cells.items()}
+    for label, share in (("rare", 0.05), ("a", 0.05), ("x", 0.5)):
+        assert abs(sum(v for k, v in weight.items() if label in k) / sum(weight.values()) - share) < 1e-9

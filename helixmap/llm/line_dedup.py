@@ -1,16 +1,18 @@
 """Line dedup by pairwise alignment.
 
-A line of more than ``LONG_WORDS`` words is cut into parts, after each word pair whose hash ends in zeros, so that the
-same passage is cut alike wherever it stands; below, a line is a whole short line or such a part. Documents are paired by
-hashes: of lines, of the shortest sequences of lines that have the words of a run, and of winnowed word n-grams, of which
-each passage as long as a run has one, whatever the lines. A hash that more than one document has belongs to the earliest
-of them, its home. A document that shares a hash with a home is a pair with it: rare lines and lines that a third of all
-documents share alike give at most one pair a line, so no group is ever squared. Each pair is aligned by patience diff over
-the line hashes: lines that both have once are matched along the longest increasing subsequence, and the gaps between them
-are aligned in the same way. It is also aligned word by word: all words of the later document are covered that lie in a
-sequence of the words of a run which the home has too, so that passages end where they end, not at a line or cut; where
-neither document has a long line there, only whole lines count. From the later document, runs of covered words are deleted when they are long enough. Only hashes and counts are joined; a
-text is shuffled once, to meet the verdict on its words.
+Documents are paired by hashes of runs of whole lines: from each line on, and up to each line, the shortest run of lines
+that has ``MIN_WORDS`` words. So that passages within longer lines are found too, all runs of half as many words are hashed,
+wherever they start, and those winnowed that are the least of their neighbours, so that each passage of ``MIN_WORDS`` words
+has at least one, which depends on nothing else. A hash belongs to the earliest document that has it, its home; every
+later one that has it makes a pair with that home. So a rare hash and one that a third of all documents have alike give
+a document one pair at most: nothing is squared, nothing capped.
+
+A pair is aligned by patience diff over the hashes that lead from one to the other: places that both have once are matched
+along the longest increasing subsequence, the gaps between them in the same way; a place that is left over moved or is
+repeated, and is aligned on its own. Each match grows word by word to both sides as far as the documents agree, so a
+block ends where the passage ends, and not at a line. Blocks of ``MIN_WORDS`` words or more, each common to the document
+and one earlier document, go from the later one. Only hashes and 16-bit words are joined; a text is shuffled once, to
+meet the verdict on its words.
 """
 
 from __future__ import annotations
@@ -28,14 +30,10 @@ from pyspark.sql import functions as F
 from helixmap.llm.bagminhash import mix64
 from helixmap.llm.common import cut, fresh, tidy, whole_text
 
-#: A run of aligned lines is deleted from this many words on.
+#: Words of the shortest block that is deleted.
 MIN_WORDS = 25
-#: Longer lines are cut, after about every sixteenth word pair.
-LONG_WORDS, CUT_MASK = 32, np.uint64(15)
-#: Lines with fewer words make a pair of documents only together with the two after them.
-ANCHOR_WORDS = 5
 
-LINES = "doc_id long, digest long, hashes array<long>, words array<int>, tokens binary, anchors array<long>"
+LINES = "doc_id long, digest long, tokens binary, hashes array<long>, places array<int>"
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
@@ -46,91 +44,130 @@ POWERS = np.cumprod(np.full(PLACES, 0x100000001B3, np.uint64))
 WORD = re.compile(rb"[^\t-\r ]+")
 #: Bytes that are cut at once.
 BLOCK_BYTES = 1 << 18
+#: Base of sequence hashes, odd, and its inverse modulo 2**64.
+BASE = 0xD1342543DE82EF95
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def cut_lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash (signed), number of words, line and text number of each line or part of one, in order.
-
-    Words lie between ASCII white space, which doesn't count. A line without words is one part with hash 0.
-    """
-    return cut_words(texts)[:4]
-
-
-def cut_words(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """What ``cut_lines`` gives, and the token and the text number of each word.
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word, the number of the line it is in, over all texts, and the number of its text.
 
-    A token is 31 bits of the word's hash above one that is set in lines of more than ``LONG_WORDS`` words.
+    Words lie between ASCII white space, lines between line ends.
     """
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts])
-    space, ends = SPACE[data], np.flatnonzero(data == 10)
-    text_of = np.searchsorted(np.cumsum(sizes) - 1, ends)  # of each line
-    line_at = np.arange(len(ends)) - np.searchsorted(text_of, text_of)
+    space = SPACE[data]
     start = ~space
     start[1:] &= space[:-1]
     at = np.flatnonzero(start)
     if not len(at):
-        return np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), line_at, text_of, np.empty(0, np.uint32), np.empty(0, np.int64)
-    line = np.searchsorted(ends, at)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     lengths = np.diff(np.append(at, len(data)))
     place = (np.arange(at[0], len(data)) - np.repeat(at, lengths)) & (PLACES - 1)
     value = np.where(space[at[0] :], np.uint64(0), (data[at[0] :] + np.uint64(1)) * POWERS[place])
-    h = mix64(np.add.reduceat(value, at - at[0]))
-    per_line = np.bincount(line, minlength=len(ends))
-    first = np.ones(len(at), bool)
-    same = line[1:] == line[:-1]
-    pair = mix64(h[:-1] * STEP + h[1:])
-    first[1:] = ~same | (((pair & CUT_MASK) == 0) & (per_line[line[1:]] > LONG_WORDS))
-    part = np.flatnonzero(first)
-    words = np.diff(np.append(part, len(at)))
-    place = (np.arange(len(at)) - np.repeat(part, words)).astype(np.uint64)
-    total = mix64(np.add.reduceat(mix64(h + mix64(place + STEP)), part) ^ words.astype(np.uint64)).view(np.int64)
-    blank = np.flatnonzero(per_line == 0)
-    lines = np.concatenate([line[part], blank])
-    order = np.argsort(lines, kind="stable")
-    lines = lines[order]
-    zeros = np.zeros(len(blank), np.int64)
-    return np.concatenate([total, zeros])[order], np.concatenate([words, zeros])[order], line_at[lines], text_of[lines], (h >> np.uint64(33) << np.uint64(1)).astype(np.uint32) | (per_line[line] > LONG_WORDS), text_of[line]
+    line = np.searchsorted(np.flatnonzero(data == 10), at)
+    return mix64(np.add.reduceat(value, at - at[0])), line, np.searchsorted(np.cumsum([len(t) + 1 for t in texts]) - 1, at)
 
 
-#: Base of sequence hashes, odd, and its inverse modulo 2**64.
-BASE = 0xD1342543DE82EF95
-INVERSE = pow(BASE, -1, 1 << 64)
+def sequence_hashes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and factors for ``run_hashes``."""
+    n = len(words) + 1
+    sums = np.zeros(n, np.uint64)
+    np.cumsum(mix64(words + STEP) * np.cumprod(np.full(n - 1, BASE, np.uint64)), out=sums[1:])
+    return sums, np.cumprod(np.full(n, INVERSE, np.uint64))
 
 
-def sequence_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of values[start:end] for each start and end; equal sequences have equal hashes wherever they stand."""
-    n = len(values) + 1
-    sums = np.zeros(n, np.uint64)
-    np.cumsum(mix64(values.astype(np.uint64) + STEP) * np.cumprod(np.full(n - 1, BASE, np.uint64)), out=sums[1:])
-    back = np.cumprod(np.full(n, INVERSE, np.uint64))
+def run_hashes(sums: np.ndarray, back: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the words from start to end, for each; equal runs have equal hashes wherever they stand."""
     return mix64((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
 
 
-def shared_words(home: np.ndarray, own: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which words of ``own`` lie in a sequence of ``min_words`` words that ``home`` has too.
+def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` over each ``width`` neighbouring values."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values, have = pick(values[:-step], values[step:]), have + step
+    return values
+
+
+def anchors(words: np.ndarray, line: np.ndarray, text: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first word (counted within its text) and text of each run that pairs documents, in the order of texts."""
+    n = len(words)
+    sums, back = sequence_hashes(words)
+    first = np.flatnonzero(np.diff(line, prepend=-1))  # words at which lines start
+    last = np.append(first[1:], n)
+    forward = np.searchsorted(last, first + min_words)  # the line that ends the shortest run from each line on
+    backward = np.searchsorted(first, last - min_words, "right") - 1  # the line that begins the shortest run up to each
+    here, there = forward < len(last), backward >= 0
+    start = np.concatenate([first[here], first[backward[there]]])
+    end = np.concatenate([last[forward[here]], last[there]])
+    within = text[start] == text[end - 1]
+    start, end = start[within], end[within]
+    size = (min_words + 1) // 2
+    width = min_words - size + 1
+    if n >= min_words:
+        at = np.arange(n - size + 1)
+        own = text[: len(at)] == text[size - 1 :]
+        h = run_hashes(sums, back, at, at + size)
+        least = sliding(h, width, np.minimum)
+        least = np.where(text[: len(least)] == text[min_words - 1 :], least, np.uint64(0))  # windows that lie in one text
+        edge = np.zeros(width - 1, np.uint64)
+        chosen = np.flatnonzero(own & (sliding(np.concatenate([edge, least, edge]), width, np.maximum) == h))
+        start, end = np.concatenate([start, chosen]), np.concatenate([end, chosen + size])
+    order = np.unique((start << 32) | end)  # a long line is found forward and backward
+    start, end = order >> 32, order & 0xFFFFFFFF
+    of = text[start]
+    return run_hashes(sums, back, start, end).view(np.int64), start - np.searchsorted(text, of), of
+
+
+def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, digest of the text, 16 bits of each word's hash, and the anchors: their hashes and first words."""
+
+    def block(texts: list[bytes]) -> list[tuple]:
+        words, line, text = words_of(texts)
+        h, place, of = anchors(words, line, text, min_words)
+        short = (words >> np.uint64(48)).astype("<u2")
+        (a, b), (c, d) = ((x[:-1], x[1:]) for x in (np.searchsorted(t, np.arange(len(texts) + 1)) for t in (text, of)))
+        return [(short[a[i] : b[i]].tobytes(), h[c[i] : d[i]], place[c[i] : d[i]]) for i in range(len(texts))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, texts, size = [], [], 0
+            for t in batch.column(2).cast(pa.binary()):
+                texts.append(t.as_py())
+                size += len(texts[-1])
+                if size >= BLOCK_BYTES:
+                    found += block(texts)
+                    texts, size = [], 0
+            found += block(texts) if texts else []
+            ends = np.concatenate([[0], np.cumsum([len(f[1]) for f in found])]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64), kind)) for i, kind in ((1, pa.int64()), (2, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.binary()), *lists], ["doc_id", "digest", "tokens", "hashes", "places"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), whole_text().alias("text")).mapInArrow(tidy(run), LINES)
+
+
+def _digest():
+    return F.xxhash64(whole_text())
+
+
+def _key(doc_id: str):
+    """A document's id, so that null ids can be joined too."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
+
+
+def homes(lines: DataFrame) -> DataFrame:
+    """Pairs of a document and the home of hashes it has, with the ``seeds``: where these runs start in both.
 
-    Second: those of them in a run of such words that on one side touches a long line.
+    Columns: key, digest, home_id, home_key, home_digest, seeds (a long each: place shifted by 32 bits, place in the home).
     """
-    if min(len(home), len(own)) < min_words:
-        return np.zeros(len(own), bool), np.zeros(len(own), bool)
-    grams, long = [], []
-    for t in (home, own):
-        at = np.arange(len(t) - min_words + 1)
-        grams.append(sequence_hashes(t >> np.uint32(1), at, at + min_words))
-        sums = np.concatenate([[0], np.cumsum(t & np.uint32(1), dtype=np.int64)])
-        long.append(sums[min_words:] > sums[:-min_words])
-    hit = np.isin(grams[1], grams[0])
-    touch = hit & long[1] | np.isin(grams[1], grams[0][long[0]])
-    change = np.zeros(len(own) + 1, np.int64)
-    change[: len(hit)] += hit
-    change[min_words:] -= hit
-    shared = np.cumsum(change[:-1]) > 0
-    kept = np.zeros(len(own), bool)
-    touches = np.concatenate([[0], np.cumsum(touch)])
-    for a, b in zip(*spans_of(shared), strict=True):
-        kept[a:b] = touches[min(b, len(touch))] > touches[min(a, len(touch))]
-    return shared, kept
+    rows = lines.select("doc_id", "digest", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select(F.col("x.hashes").alias("h"), F.struct("doc_id", "digest").alias("k"), F.col("x.places").alias("place"))
+    first = rows.groupBy("h").agg(F.min(F.struct("k", "place")).alias("home"), F.count("*").alias("n")).where("n > 1").select("h", "home")
+    first = cut(first)  # a side of its own, so that a hot hash's rows can be split over tasks
+    seed = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("home.place").cast("long"))
+    met = rows.join(first, "h").where("k <> home.k").select("k", F.col("home.k").alias("home"), seed.alias("seed"))
+    pairs = met.groupBy("k", "home").agg(F.collect_list("seed").alias("seeds"))  # at most a document's own hashes
+    return pairs.select(_key("k.doc_id").alias("key"), F.col("k.digest").alias("digest"), F.col("home.doc_id").alias("home_id"), _key("home.doc_id").alias("home_key"), F.col("home.digest").alias("home_digest"), "seeds")
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -154,8 +191,8 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Matched positions of ``a`` and ``b``, increasing in both.
 
-    Where a stretch has common lines but none that both have once, the k-th occurrence on one side is held against
-    the k-th on the other, so repeated lines align without comparing all of them with all.
+    Where a stretch has common members but none that both have once, the k-th occurrence on one side is held against
+    the k-th on the other, so repeated ones align without comparing all of them with all.
     """
     matched, todo = [], [(0, len(a), 0, len(b))]
     while todo:
@@ -191,21 +228,37 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
-def align(home: list[int], own: list[int], words: list[int], min_words: int) -> list[int]:
-    """Positions of ``own`` with words that are aligned with ``home``.
+def agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many members ``a`` and ``b`` have in common from their start on."""
+    n, at, step = min(len(a), len(b)), 0, 64
+    while at < n:
+        end = min(n, at + step)
+        differ = a[at:end] != b[at:end]
+        if differ.any():
+            return at + int(differ.argmax())
+        at, step = end, step * 8
+    return n
+
+
+def common_blocks(home: np.ndarray, own: np.ndarray, seeds: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
+    """Spans of ``own`` that are aligned with ``home``, of ``min_words`` or more, in the order they were found.
 
-    What one alignment leaves is aligned again, so that blocks that changed places are found too, until a pass finds
-    fewer words than a run needs.
+    ``seeds``: places of own and home where equal runs start, of half as many words at least. Those that patience diff
+    matches come first; each of the others that no block has is aligned on its own.
     """
-    rest, out = [j for j, n in enumerate(words) if n], []
-    while rest:
-        hits = [rest[j] for _, j in patience(home, [own[j] for j in rest])]
-        out += hits
-        if sum(words[j] for j in hits) < min_words:
-            break
-        gone = set(hits)
-        rest = [j for j in rest if j not in gone]
-    return sorted(out)
+    seeds = sorted(set(seeds))
+    chain = patience(sorted({h for _, h in seeds}), [h for _, h in seeds])
+    out: list[tuple[int, int]] = []
+    covered = np.zeros(len(own), bool)
+    size = (min_words + 1) // 2
+    for o, h in [*(seeds[j] for _, j in chain), *seeds]:
+        if covered[o : o + size].all():
+            continue
+        a, b = o - agreeing(own[:o][::-1], home[:h][::-1]), o + agreeing(own[o:], home[h:])
+        if b - a >= min_words:
+            out.append((a, b))
+            covered[a:b] = True
+    return out
 
 
 def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,24 +267,13 @@ def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
 
 
-def cut_out(text: str, covered: set[int], min_words: int) -> tuple[str, int, int, str]:
-    """``drop_words`` for covered lines, given by their indexes."""
-    _, words, _, _ = cut_lines([text.encode()])
-    return drop_words(text, np.repeat(np.array([i in covered for i in range(len(words))], bool), words), min_words)
-
-
-def drop_words(text: str, covered: np.ndarray, min_words: int) -> tuple[str, int, int, str]:
-    """The text without its long enough runs of covered words, how many lines they touch, their words and their text.
+def drop_words(text: str, drop: np.ndarray) -> tuple[str, int, int, str]:
+    """The text without marked words, how many lines they touch, their number and their text.
 
     A line of which nothing stays goes with its line end; words go with the white space after them.
     """
-    start, end = spans_of(covered)
-    long = end - start >= min_words
-    if not long.any():
+    if not drop.any():
         return text, 0, 0, ""
-    drop = np.zeros(len(covered), bool)
-    for a, b in zip(start[long], end[long], strict=True):
-        drop[a:b] = True
     kept, removed, touched, at = [], [], 0, 0
     for line in text.encode().split(b"\n"):
         n = len(line.split())
@@ -250,123 +292,30 @@ def drop_words(text: str, covered: np.ndarray, min_words: int) -> tuple[str, int
     return b"\n".join(kept).decode(), touched, int(drop.sum()), b"\n".join(removed).decode()
 
 
-def anchors_of(h: np.ndarray, words: np.ndarray, text: np.ndarray, tokens: np.ndarray, text_of: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes by which documents are paired, with the text of each, in the order of texts.
-
-    Those of lines with words enough, and of three short ones; of the shortest sequences of lines from each line on, and up
-    to each, that have ``min_words``, so that of a longer sequence every line is in one; and the least hash of word
-    n-grams in each ``min_words`` words.
-    """
-    h, text, words = h[words > 0], text[words > 0], words[words > 0]
-    u, n = h.view(np.uint64), len(h)
-    found = [(u[words >= ANCHOR_WORDS], text[words >= ANCHOR_WORDS])]
-    if n > 2:
-        own = (words[:-2] < ANCHOR_WORDS) & (text[:-2] == text[2:])
-        found.append((mix64(mix64(u[:-2] * STEP + u[1:-1]) * STEP + u[2:])[own], text[:-2][own]))
-    if n > 1:
-        sums = np.concatenate([[0], np.cumsum(words)])
-        ends = np.searchsorted(sums, sums[:-1] + min_words)
-        starts = np.searchsorted(sums, sums[1:] - min_words, "right") - 1
-        a, b = np.concatenate([np.arange(n), starts]), np.concatenate([ends, np.arange(1, n + 1)])
-        own = (a >= 0) & (b <= n) & (b - a > 1)
-        a, b = a[own], b[own]
-        own = text[a] == text[b - 1]
-        a, b = a[own], b[own]
-        found.append((sequence_hashes(u, a, b), text[a]))
-    if len(tokens) >= min_words:
-        size = (min_words + 1) // 2
-        at = np.arange(len(tokens) - size + 1)
-        least, wide = sequence_hashes(tokens >> np.uint32(1), at, at + size), 1
-        while wide < min_words - size + 1:
-            step = min(wide, min_words - size + 1 - wide)
-            least, wide = np.minimum(least[:-step], least[step:]), wide + step
-        own = text_of[: len(least)] == text_of[min_words - 1 :]
-        least, of = least[own], text_of[: len(own)][own]
-        new = np.ones(len(least), bool)
-        new[1:] = (least[1:] != least[:-1]) | (of[1:] != of[:-1])
-        found.append((least[new], of[new]))
-    value, of = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((value, of))
-    value, of = value[order], of[order]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
-    return value[new].view(np.int64), of[new]
-
-
-def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, digest of the text, hash and number of words of each line, token of each word, and anchors."""
-
-    def block(texts: list[bytes]) -> list[tuple]:
-        h, words, _, text, tokens, text_of = cut_words(texts)
-        anchors, of = anchors_of(h, words, text, tokens, text_of, min_words)
-        (p, q), (c, d), (e, f) = ((x[:-1], x[1:]) for x in (np.searchsorted(t, np.arange(len(texts) + 1)) for t in (text, text_of, of)))
-        return [(h[p[i] : q[i]], words[p[i] : q[i]], anchors[e[i] : f[i]], tokens[c[i] : d[i]].tobytes()) for i in range(len(texts))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, texts, size = [], [], 0
-            for t in batch.column(2).cast(pa.binary()):
-                texts.append(t.as_py())
-                size += len(texts[-1])
-                if size >= BLOCK_BYTES:
-                    found += block(texts)
-                    texts, size = [], 0
-            found += block(texts) if texts else []
-            arrays = []
-            for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64())):
-                ends = np.concatenate([[0], np.cumsum([len(f[i]) for f in found])]).astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64), kind)))
-            arrays.insert(2, pa.array([f[3] for f in found], pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "digest", "hashes", "words", "tokens", "anchors"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), whole_text().alias("text")).mapInArrow(tidy(run), LINES)
-
+def covered_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """key, digest, covered, partners: for each document with a pair, its blocks and the earlier documents' ids.
 
-def _digest():
-    return F.xxhash64(whole_text())
-
-
-def homes(lines: DataFrame) -> DataFrame:
-    """Pairs of a document and the home of a line it has: later (doc_id, digest) and earlier (doc_id, digest)."""
-    rows = lines.select(F.struct("doc_id", "digest").alias("k"), F.explode("anchors").alias("h"))
-    first = rows.groupBy("h").agg(F.min("k").alias("home"), F.count("*").alias("n")).where("n > 1").select("h", "home")
-    first = cut(first)  # a side of its own, so that a hot line's rows can be split over tasks
-    return rows.join(first, "h").where("k <> home").select(F.col("k.doc_id").alias("doc_id"), F.col("k.digest").alias("digest"), F.col("home.doc_id").alias("home_id"), F.col("home.digest").alias("home_digest")).distinct()
-
-
-def _keyed(lines: DataFrame, doc: str, digest: str, suffix: str = "") -> DataFrame:
-    """The line table with a key that joins null ids too."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    return lines.select(key.alias(doc), F.col("digest").alias(digest), F.col("hashes").alias("hashes" + suffix), F.col("tokens").alias("tokens" + suffix), *([F.col("words")] if not suffix else []))
-
-
-def covered_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """key, digest, covered, partners: for each document with a pair, spans of covered words and the earlier documents' ids.
-
-    A span is the number of its first word, shifted by 32 bits, and the number of the first word after it.
+    A block is the number of its first word, shifted by 32 bits, and the number of the first word after it.
     """
-    lines = cut(line_table(docs, min_words).dropDuplicates(["doc_id", "digest"]))
-    text_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    pairs = cut(homes(lines).select(text_key("doc_id").alias("key"), "digest", text_key("home_id").alias("home_key"), "home_digest", "home_id"))
-    pairs = pairs.join(_keyed(lines, "home_key", "home_digest", "_home"), ["home_key", "home_digest"])
-    pairs = pairs.join(_keyed(lines, "key", "digest"), ["key", "digest"])
+    lines = cut(line_table(docs, min_words))
+    pairs = cut(homes(lines))
+    # dealt as the joins need them, once for both; rows that repeat are one document
+    keyed = lines.select(_key("doc_id").alias("key"), "digest", "tokens").groupBy("key", "digest").agg(F.first("tokens").alias("tokens"))
+    pairs = pairs.join(keyed.select(F.col("key").alias("home_key"), F.col("digest").alias("home_digest"), F.col("tokens").alias("home")), ["home_key", "home_digest"])
+    pairs = pairs.join(keyed, ["key", "digest"]).select("key", "digest", "home_id", "seeds", "home", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in zip(*batch.columns[3:], strict=True):
-                home, home_tokens, own, tokens, words = (x.as_py() for x in row)
-                lines = np.zeros(len(words), bool)
-                lines[align(home, own, words, min_words)] = True
-                shared, mask = shared_words(np.frombuffer(home_tokens, np.uint32), np.frombuffer(tokens, np.uint32), min_words)
-                edges = np.concatenate([[0], np.cumsum(words)])
-                lines |= np.diff(np.concatenate([[0], np.cumsum(shared)])[edges]) == words  # whole lines in a shared sequence
-                mask |= np.repeat(lines, words)
-                start, end = spans_of(mask)
-                out.append((start << 32) | end)
+            at = batch.column(3).offsets.to_numpy()
+            seeds = batch.column(3).values.to_numpy()
+            for i, (home, own) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                s = seeds[at[i] : at[i + 1]]
+                found = common_blocks(np.frombuffer(home.as_buffer(), "<u2"), np.frombuffer(own.as_buffer(), "<u2"), list(zip((s >> 32).tolist(), (s & 0xFFFFFFFF).tolist(), strict=True)), min_words)
+                out.append([a << 32 | b for a, b in found])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int64()))], ["key", "digest", "home_id", "covered"])
 
-    aligned = pairs.select("key", "digest", "home_id", "hashes_home", "tokens_home", "hashes", "tokens", "words").mapInArrow(tidy(run), "key string, digest long, home_id long, covered array<long>")
+    aligned = pairs.mapInArrow(tidy(run), "key string, digest long, home_id long, covered array<long>")
     return cut(aligned.groupBy("key", "digest").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.sort_array(F.collect_set("home_id")).alias("partners")))
 
 
@@ -375,16 +324,21 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``docs`` has doc_id and text; columns with an added name are replaced. Documents are ordered by doc_id (null
     first), then by a digest of the text; rows alike in both are one document, and each such row gets its result. Of
-    an exact copy all lines go, if they have ``min_words`` words. Null and empty texts have no lines and stay as they
-    are. removed_text holds the deleted lines; partners the ids of the earlier documents aligned with. An empty table
-    gives no rows.
+    an exact copy all words go, if it has ``min_words``. Null and empty texts have no words and stay as they are;
+    texts may be of any length. removed_text holds the deleted words, by line; partners the ids of the earlier documents
+    it was aligned with. An empty table gives no rows.
+
+    A passage of ``min_words`` words that an earlier document has goes, unless each of its hashes stood in a still earlier
+    document that has fewer of its words. A word at a block's end may go wrongly with a chance of 1 in 65,536, as 16 bits
+    of its hash are compared.
     """
-    docs = docs.drop("kept_chars", "removed_lines", "removed_words", "removed_text", "partners")
+    added = ["kept_chars", "removed_lines", "removed_words", "removed_text", "partners"]
+    docs = docs.drop(*added)
     key, digest, covered = fresh(docs, "__key", "__digest", "__covered")
-    verdict = covered_lines(docs.select("doc_id", "text"), min_words).select(F.col("key").alias(key), F.col("digest").alias(digest), F.col("covered").alias(covered), "partners")
-    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn(digest, _digest())
+    verdict = covered_words(docs.select("doc_id", "text"), min_words).select(F.col("key").alias(key), F.col("digest").alias(digest), F.col("covered").alias(covered), "partners")
+    rows = docs.withColumn(key, _key("doc_id")).withColumn(digest, _digest())
     rows = rows.join(verdict, [key, digest], "left").drop(key, digest)
-    names = [*docs.columns, "kept_chars", "removed_lines", "removed_words", "removed_text", "partners"]
+    names = [*docs.columns, *added]
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,7 +351,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     mask = np.zeros(len(text.encode().split()), bool)
                     for m in marks:
                         mask[m >> 32 : m & 0xFFFFFFFF] = True
-                    out = drop_words(text, mask, min_words)
+                    out = drop_words(text, mask)
                 for column, value in zip((texts, n_lines, n_words, removed), out, strict=True):
                     column.append(value)
                 sizes.append(len(out[0] or ""))

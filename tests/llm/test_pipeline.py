@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from helixmap.llm import line_dedup, mixing, toxicity
+from helixmap.llm import mixing, toxicity
 from helixmap.llm.tokens import _exact
 
 R = random.Random(12)
@@ -54,17 +54,23 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-def plain_line_dedup(rows):
-    """Every document against every earlier one."""
-    cuts = {r[0]: [x.tolist() for x in line_dedup.cut_lines([(r[1] or "").encode()])[:2]] for r in rows}
-    out = []
-    for r in rows:
-        covered = set()
-        for q in rows:
-            if q[0] < r[0]:
-                covered |= set(line_dedup.align(cuts[q[0]][0], cuts[r[0]][0], cuts[r[0]][1], line_dedup.MIN_WORDS))
-        text, touched, _, _ = line_dedup.cut_out(r[1], covered, line_dedup.MIN_WORDS) if covered else (r[1], 0, 0, "")
-        out.append((r[0], text, r[2], r[3], len(text) if touched else r[4]))
+def plain_line_dedup(rows, n=25):
+    """Every run of so many words that an earlier document has goes; lines of which nothing is left go too."""
+    seen, out = set(), []
+    for r in sorted(rows):
+        words = (r[1] or "").split()
+        drop = {j for i in range(len(words) - n + 1) if tuple(words[i : i + n]) in seen for j in range(i, i + n)}
+        kept, at = [], 0
+        for line in (r[1] or "").split("\n"):
+            own = line.split()
+            left = [w for j, w in enumerate(own, at) if j not in drop]
+            at += len(own)
+            if left or not own:
+                tail = " " if left and len(left) < len(own) and at - 1 in drop else ""
+                kept.append(" ".join(left) + tail)
+        text = "\n".join(kept) if drop else r[1]
+        seen |= {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+        out.append((r[0], text, r[2], r[3], len(text) if drop else r[4]))
     return out
 
 

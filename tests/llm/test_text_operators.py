@@ -106,25 +106,61 @@ def test_passages_within_long_lines(spark):
     assert got[2].text.startswith(prose(80, 3)[:200]) and got[2].text.endswith(prose(40, 5)) and got[2].removed_words + len(got[2].text.split()) == 290
 
 
+def seeds_of(home, own, size):
+    first = {tuple(home[i : i + size]): i for i in reversed(range(len(home) - size + 1))}
+    return [(j, first[tuple(own[j : j + size])]) for j in range(len(own) - size + 1) if tuple(own[j : j + size]) in first]
+
+
+def blocks(home, own, min_words):
+    found = line_dedup.common_blocks(np.array(home, "<u2"), np.array(own, "<u2"), seeds_of(home, own, (min_words + 1) // 2), min_words)
+    assert all(b - a >= min_words for a, b in found)
+    return sorted({j for a, b in found for j in range(a, b)})
+
+
 def test_blocks_that_changed_places_are_aligned():
-    a, b = list(range(1, 11)), list(range(11, 21))
-    assert line_dedup.align(a + [99] + b, b + [50] + a, [3] * 21, 25) == [*range(10), *range(11, 21)]
-    assert line_dedup.align(a, [0, *a], [0, *[3] * 10], 25) == list(range(1, 11))
-
-
-def test_cut_lines_keep_all_words():
-    texts = ["", "\n", "a", "a b\n\n c ", prose(500, 8), lines(7, 9) + "\n" + prose(77, 10), "x " * 400, "é\u00a0ü " * 50 + "y" * 9000]
-    together = line_dedup.cut_lines([t.encode() for t in texts])
-    for i, text in enumerate(texts):
-        h, words, line, _ = line_dedup.cut_lines([text.encode()])
-        assert all((x == y[together[3] == i]).all() for x, y in zip((h, words, line), together, strict=False))
-        assert words.sum() == len(text.encode().split()) and set(line.tolist()) == set(range(len(text.split("\n")))) and ((h == 0) == (words == 0)).all()
-        whole = set(range(len(h)))
-        kept, _, n, removed = line_dedup.cut_out(text, whole, 1)
-        assert n == len(text.encode().split()) and removed.encode().split() == text.encode().split() and not kept.split()
-        some = {i for i in whole if i % 3 == 0}
-        kept, _, n, removed = line_dedup.cut_out(text, some, 1)
-        assert len(kept.encode().split()) + n == len(text.encode().split()) and n == len(removed.encode().split())
+    a, b = list(range(1, 31)), list(range(31, 61))
+    assert blocks(a + [99] + b, b + [50] + a, 25) == [*range(30), *range(31, 61)]
+    assert blocks(a, [0, *a, 0, *a], 25) == [*range(1, 31), *range(32, 62)]
+    assert blocks(a[:24] + b[:24], a[:24] + [0] + b[:24], 25) == []
+
+
+def test_words_and_anchors_of_a_text_do_not_depend_on_its_neighbours():
+    texts = ["", "\n", "a", "a b\n\n c ", prose(500, 8), lines(7, 9) + "\n" + prose(77, 10), "x " * 400, "é\u00a0ü " * 50 + "y" * 9000, prose(24, 11), prose(25, 12)]
+    words, line, text = line_dedup.words_of([t.encode() for t in texts])
+    h, place, of = line_dedup.anchors(words, line, text, 25)
+    for i, t in enumerate(texts):
+        assert (text == i).sum() == len(t.encode().split())
+        own, own_line, own_text = line_dedup.words_of([t.encode()])
+        assert (own == words[text == i]).all()
+        got = line_dedup.anchors(own, own_line, own_text, 25) if len(own) else ([], [], [])
+        assert list(got[0]) == h[of == i].tolist() and list(got[1]) == place[of == i].tolist()
+        assert bool(len(got[0])) == (len(own) >= 25)
+
+
+def test_every_passage_has_an_anchor_of_its_own():
+    passage = prose(25, 70)
+    alone = set(line_dedup.anchors(*line_dedup.words_of([passage.encode()]), 25)[0].tolist())
+    for k in range(40):
+        text = prose(k, 71 + k) + " " + passage + " " + prose(50, 200 + k)
+        assert alone & set(line_dedup.anchors(*line_dedup.words_of([text.encode()]), 25)[0].tolist())
+
+
+def test_lines_of_different_documents_make_no_block(spark):
+    parts = [prose(8, 800 + i) for i in range(5)]
+    rows = [(i, prose(40, 810 + i) + "\n" + p + "\n" + prose(40, 820 + i)) for i, p in enumerate(parts)] + [(9, prose(30, 830) + "\n" + "\n".join(parts))]
+    got = {x.doc_id: x for x in line_dedup.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i].text == t and got[i].removed_words == 0 for i, t in rows)
+
+
+def test_dropped_words_and_kept_words_make_the_text():
+    for i, text in enumerate(["a", "a b\n\n c ", prose(500, 8), lines(7, 9) + "\n" + prose(77, 10), "é\u00a0ü " * 50 + "y" * 900]):
+        r, n = random.Random(i), len(text.encode().split())
+        mask = np.array([r.random() < 0.4 for _ in range(n)], bool)
+        kept, _, k, removed = line_dedup.drop_words(text, mask)
+        words = text.encode().split()
+        assert kept.encode().split() == [w for w, m in zip(words, mask, strict=True) if not m] and k == mask.sum()
+        assert removed.encode().split() == [w for w, m in zip(words, mask, strict=True) if m]
+        assert line_dedup.drop_words(text, np.ones(n, bool))[0].split() == [] and line_dedup.drop_words(text, np.zeros(n, bool))[0] == text
 
 
 def test_patience_is_a_common_subsequence():
@@ -385,16 +421,21 @@ def test_passages_at_random_offsets_go_to_the_word(spark):
         assert x.text.split() == [w for w in dict(rows)[x.doc_id].split() if w not in want.get(x.doc_id, [])]
 
 
-def test_shared_words_match_brute_force():
+def test_common_blocks_match_brute_force():
     r = random.Random(6)
-    for _ in range(200):
+    for _ in range(300):
         a, b = ([r.randint(0, 2) for _ in range(r.randint(0, 30))] for _ in range(2))
-        runs = {tuple(a[i : i + 4]) for i in range(len(a) - 3)}
-        flags = lambda x, p: np.array([2 * v + (r.random() < p) for v in x], np.uint32)
-        want = [any(tuple(b[i : i + 4]) in runs for i in range(max(0, j - 3), j + 1) if i + 4 <= len(b)) for j in range(len(b))]
-        assert line_dedup.shared_words(flags(a, 0.5), flags(b, 0.5), 4)[0].tolist() == want
-        assert line_dedup.shared_words(flags(a, 0), flags(b, 1), 4)[1].tolist() == line_dedup.shared_words(flags(a, 1), flags(b, 0), 4)[1].tolist() == want
-        assert not line_dedup.shared_words(flags(a, 0), flags(b, 0), 4)[1].any()
+        runs = {tuple(a[i : i + 9]) for i in range(len(a) - 8)}
+        want = {j for i in range(len(b) - 8) if tuple(b[i : i + 9]) in runs for j in range(i, i + 9)}
+        got = blocks(a, b, 9)  # each block is common, and all that has a run's first place in the home is found
+        assert set(got) <= want and (not want or got)
+    for k in range(60):  # without repeats within a document nothing is lost
+        a = r.sample(range(1000), 60)
+        b = [x for i in range(0, 60, 10) for x in (a[i : i + 10] if r.random() < 0.7 else r.sample(range(1000, 2000), 10))]
+        if k % 2:
+            b = b[30:] + b[:30]
+        runs = {tuple(a[i : i + 9]) for i in range(len(a) - 8)}
+        assert blocks(a, b, 9) == sorted({j for i in range(len(b) - 8) if tuple(b[i : i + 9]) in runs for j in range(i, i + 9)})
 
 
 def test_a_sequence_whose_lines_stood_apart_before(spark):

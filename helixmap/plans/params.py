@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import shlex
 from dataclasses import dataclass, field, fields, replace
 
@@ -78,6 +80,8 @@ class MapParams:
     keep_qual: bool = True
     omit_secondary: bool = False
     all_vs_all: bool = False
+    base_rid: int = 0
+    base_qid: int = 0
 
     def __post_init__(self) -> None:
         if not self.w:
@@ -107,83 +111,137 @@ class MapParams:
         return float(self.scoring.match)
 
 
-def _scored(base: MapParams, min_score: int, min_ratio: float, k: int = 15, w: int = 10, **scoring: int) -> MapParams:
-    return replace(base, k=k, w=w, min_score=min_score, min_ratio=min_ratio, scoring=replace(base.scoring, **scoring))
+# The options that each preset stands for, and what the parts after it add.
+_READS = {"1d": ("",), "1dsq": ("-b6 -r4,4",), "2d": ("-b6 -r4,4",)}
+_CHEMISTRY = ("-a2", {**_READS, "1": ("", _READS)})
+PRESETS: dict[str, tuple] = {
+    "pacbio": ("-k15 -w10 -a2 -b4 -p4 -q2 -r3,3 -Y50 -s50 -m0.3", {"clr": ("",), "ccs": ("-b5 -p6 -p2",)}),
+    "ont": (
+        "-k15 -w10 -a3 -b5 -p6 -q2 -r3,3 -Y50 -s50 -m0.3",
+        {
+            "r7": ("-b4", {"1d": ("",), "2d": ("",)}),
+            "r9": ("", {**_READS, "4": _CHEMISTRY, "5": _CHEMISTRY}),
+            "1d": ("-a2",), "1dsq": ("-a2 -b6 -r4,4",), "2d": ("-a2 -b6 -r4,4",),
+        },
+    ),
+    "ava": ("-k15 -w5 -a2 -b3 -p0 -q2 -Y50 -s30 -m0.05",),
+}
 
 
-# The options that each preset stands for.
-_PACBIO = {"match": 2, "mismatch": 4, "gi": 4, "ge": 2, "gfa": 3, "gfb": 3, "xdrop": 50}
-_ONT = {"match": 3, "mismatch": 5, "gi": 6, "ge": 2, "gfa": 3, "gfb": 3, "xdrop": 50}
+def preset(name: str, base: MapParams | None = None) -> MapParams:
+    """A preset by its path, with dots or colons between the parts; from a part that is unknown on, an option file."""
+    params, level, at = base or MapParams(), PRESETS, 0
+    for part in re.split("[.:]", name):
+        if part not in level:
+            if os.path.isfile(name[at:]):
+                return load_options(name[at:], params)
+            raise ValueError(f"unknown preset {name!r}")
+        text, *below = level[part]
+        params, level, at = parse_options(text, params), below[0] if below else {}, at + len(part) + 1
+    return params
 
 
-def preset(name: str, base: MapParams | None = None) -> MapParams:
-    """A preset by its dotted path; what follows the first part refines it."""
-    base = base or MapParams()
-    head, *rest = name.split(".")
-    if head == "pacbio" and rest in ([], ["clr"]):
-        return _scored(base, 50, 0.3, **_PACBIO)
-    if head == "pacbio" and rest == ["ccs"]:
-        return _scored(base, 50, 0.3, **{**_PACBIO, "mismatch": 5, "gi": 2})
-    if head == "ont" and (not rest or rest[0] in ("r7", "r9", "1d", "1dsq", "2d")):
-        return _scored(base, 50, 0.3, **_ONT)
-    if head == "ava" and not rest:
-        return replace(_scored(base, 30, 0.05, w=5, match=2, mismatch=3, gi=0, ge=2, gfa=0, gfb=0, xdrop=50), all_vs_all=True)
-    raise ValueError(f"unknown preset {name!r}")
+@dataclass(frozen=True)
+class Command:
+    """What a command line asks for: parameters, files in order, and where an index goes (option d)."""
+
+    params: MapParams
+    files: tuple[str, ...] = ()
+    index_path: str = ""
 
 
 _OPTIONS = {
     "k": ("k", int), "w": ("w", int), "B": ("bucket_bits", int), "L": ("min_len", int), "W": ("window", int), "G": ("gap", int),
     "s": ("min_score", int), "m": ("min_ratio", float), "O": ("format", str),
 }
+_FLAGS = {"X": {"all_vs_all": True}, "A": {}, "P": {"omit_secondary": True}, "Q": {"keep_qual": True}, "h": {}}
+#: A and h change nothing. Options whose value may be left out, and those that only steer threads, buffers and logs: Spark's business here.
+_OPTIONAL, _IGNORED = "cCv", "t12v"
+_KNOWN = {*_OPTIONS, *_FLAGS, *_OPTIONAL, *_IGNORED, *"xfabepqrYTRd"}
 
 
-def parse_options(text: str, base: MapParams | None = None) -> MapParams:
-    """Options as on a command line or in an option file, separated by white space; later ones win."""
-    params = base or MapParams()
-    for word in shlex.split(text, comments=True):
+def parse_command(text: str, base: MapParams | None = None) -> Command:
+    """A command line without the program's name, or an option file; later options win.
+
+    A value follows its letter, after an equals sign if one likes, or comes as the next word. Flags may share a dash,
+    also with an option that takes a value, if it comes last. Words that belong to no option are files.
+    """
+    params, files, index_path, window_given = base or MapParams(), [], "", False
+    words = shlex.split(text, comments=True)
+    while words:
+        word = words.pop(0)
         if not word.startswith("-") or len(word) < 2:
-            raise ValueError(f"not an option: {word!r}")
-        key, value = word[1], word[2:].removeprefix("=")
-        if key == "x":
-            params = preset(value, params)
-        elif key in _OPTIONS:
-            name, kind = _OPTIONS[key]
-            params = replace(params, **{name: kind(value)})
-            if key == "k" and "-w" not in text:
-                params = replace(params, w=0)
-        elif key == "f":
-            params = replace(params, frequencies=tuple(float(x) for x in value.split(",")))
-        elif key == "c":
-            params = replace(params, circular=tuple(value.split(",")))
-        elif key == "a" or (key == "b" and value.isdigit()):
-            params = replace(params, scoring=replace(params.scoring, **{"match" if key == "a" else "mismatch": int(value)}))
-        elif key == "e":
-            pairs = tuple((x[:2].upper(), int(x[2:])) for x in value.split(","))
-            params = replace(params, scoring=replace(params.scoring, bonus=params.scoring.bonus + pairs))
-        elif key in "pqY":
-            params = replace(params, scoring=replace(params.scoring, **{{"p": "gi", "q": "ge", "Y": "xdrop"}[key]: int(value)}))
-        elif key == "r":
-            a, _, b = value.partition(",")
-            params = replace(params, scoring=replace(params.scoring, gfa=int(a), gfb=int(b or a)))
-        elif key == "T":
-            params = replace(params, tags=tuple(value.split(",")))
-        elif key == "R":
-            params = replace(params, read_group=value.removeprefix("@RG").replace("\\t", "\t").strip())
-        elif key == "Q":
-            params = replace(params, keep_qual=True)
-        elif key == "P":
-            params = replace(params, omit_secondary=True)
-        elif key == "X":
-            params = replace(params, all_vs_all=True)
-        else:
+            files.append(word)
+            continue
+        rest = word[1:]
+        while rest and rest[0] in _FLAGS:
+            params, rest = replace(params, **_FLAGS[rest[0]]), rest[1:]
+        if not rest:
+            continue
+        key, value = rest[0], rest[1:].removeprefix("=")
+        if key not in _KNOWN:
             raise ValueError(f"unknown option -{key}")
-    return params
+        if not value and words and (not words[0].startswith("-") or words[0] == "-") and (key not in _OPTIONAL or _fits(key, words[0])):
+            value = words.pop(0)
+        if not value and key not in _OPTIONAL:
+            raise ValueError(f"option -{key} needs a value")
+        if key == "d":
+            index_path = value
+        elif key == "k":
+            params = replace(params, k=int(value), **({} if window_given else {"w": 0}))
+        elif key not in _IGNORED:
+            window_given |= key in "wx"
+            params = _with_option(params, key, value)
+    return Command(params, tuple(files), index_path)
+
+
+def _fits(key: str, word: str) -> bool:
+    """Whether a word of its own is the value of an option that may have none: numbers for C and v, names for c."""
+    return bool(re.fullmatch(r"[\d,;:/*]+", word)) if key in "Cv" else not os.path.exists(word)
+
+
+def _with_option(params: MapParams, key: str, value: str) -> MapParams:
+    scored = lambda **x: replace(params, scoring=replace(params.scoring, **x))
+    if key in _OPTIONS:
+        name, kind = _OPTIONS[key]
+        return replace(params, **{name: kind(value)})
+    if key == "x":
+        return preset(value, params)
+    if key == "f":
+        return replace(params, frequencies=tuple(float(x) for x in value.split(",")))
+    if key == "c":
+        names = tuple(filter(None, re.split("[,;:/]", value)))
+        return replace(params, circular=("*",) if not names or {"*", "-"} & set(names) else names)
+    if key == "C":
+        ids = [0 if x == "*" else int(x) for x in re.split("[,;:/]", value) if x]
+        return replace(params, base_rid=ids[0] if ids else 0, base_qid=ids[min(1, len(ids) - 1)] if ids else 0)
+    if key == "e":
+        return scored(bonus=params.scoring.bonus + tuple((x[:2].upper(), int(x[2:])) for x in value.split(",")))
+    if key == "r":
+        a, _, b = value.partition(",")
+        return scored(gfa=int(a), gfb=int(b or a))
+    if key == "T":
+        return replace(params, tags=tuple(value.split(",")))
+    if key == "R":
+        line = value.removeprefix("@RG").replace("\\t", "\t").strip()
+        if not any(x.startswith("ID:") for x in line.split("\t")):
+            raise ValueError("a read group needs an ID")
+        return replace(params, read_group=line)
+    return scored(**{{"a": "match", "b": "mismatch", "p": "gi", "q": "ge", "Y": "xdrop"}[key]: int(value)})
+
+
+def parse_options(text: str, base: MapParams | None = None) -> MapParams:
+    """The parameters of a command line or option file that names no files."""
+    command = parse_command(text, base)
+    if command.files:
+        raise ValueError(f"not an option: {command.files[0]!r}")
+    return command.params
 
 
 def load_options(path: str, base: MapParams | None = None) -> MapParams:
-    """An option file."""
+    """An option file; file names in it are left aside."""
     with open(path) as f:
-        return parse_options(f.read(), base)
+        return parse_command(f.read(), base).params
 
 
 def describe(params: MapParams) -> str:

@@ -2,8 +2,8 @@
 
 An alignment row has: qname, qlen, qseq, qual, rname, rlen, strand (1: reverse), rs, re, qs, qe (0-based, half open, on
 the query's own strand), score, identity, dcnt (diagonals), gaps, cigar (array of op and len along the reference), aid (rank
-in its query from 0), is_uniq, n_all, xs (second score) and mapq16. Lines keep the order (ordinal, aid) only where a
-sink sorts; expressions don't.
+in its query from 0), seg (its place in a set of several, from 0; left out where there is one), is_uniq, n_all, xs (second
+score) and mapq16. Lines keep the order (ordinal, aid, seg) only where a sink sorts; expressions don't.
 """
 
 from __future__ import annotations
@@ -92,9 +92,13 @@ def read_group_id(params: MapParams) -> str:
     return "1"
 
 
-def flags() -> Column:
-    """0 for the first record of a query, supplementary for other unique ones, secondary after, and the strand."""
-    kind = F.when(F.col("aid") == 0, 0).when(F.col("is_uniq"), SUPPLEMENTARY).otherwise(SECONDARY)
+def flags(seg: Column | None = None) -> Column:
+    """0 for the first record of a query alone, supplementary for other unique ones, secondary after, and the strand.
+
+    ``seg``: the place of a record in its set, if sets can have several.
+    """
+    first = (F.col("aid") == 0) & (F.lit(0) if seg is None else seg).eqNullSafe(F.lit(0))
+    kind = F.when(first, 0).when(F.col("is_uniq"), SUPPLEMENTARY).otherwise(SECONDARY)
     return kind.bitwiseOR(F.when(F.col("strand") == 1, REVERSE).otherwise(0)).cast("int")
 
 
@@ -118,7 +122,9 @@ def sam(alignments: DataFrame, params: MapParams) -> DataFrame:
 
     With tag SA, supplementary records are told by the first one and not printed themselves.
     """
-    flag = flags()
+    seg = F.col("seg") if "seg" in alignments.columns else F.lit(0)
+    first = (F.col("aid") == 0) & (seg == 0)
+    flag = flags(seg)
     hard = flag.bitwiseAND(SECONDARY | SUPPLEMENTARY) != 0
     reverse = F.col("strand") == 1
     start = F.when(hard, F.col("qs")).otherwise(0)
@@ -133,7 +139,7 @@ def sam(alignments: DataFrame, params: MapParams) -> DataFrame:
         "IH": F.concat(F.lit("IH:i:"), F.col("aid")),
         "AS": F.concat(F.lit("AS:i:"), F.col("score")),
         "NM": F.concat(F.lit("NM:i:"), edits()),
-        "XS": F.when(F.col("aid") == 0, F.concat(F.lit("XS:i:"), F.col("xs"))),
+        "XS": F.when(first, F.concat(F.lit("XS:i:"), F.col("xs"))),
         "MD": F.concat(F.lit("MD:Z:"), F.col("md")) if "md" in alignments.columns else F.lit(None),
     }
     out = alignments
@@ -141,14 +147,14 @@ def sam(alignments: DataFrame, params: MapParams) -> DataFrame:
         out = out.where("is_uniq")
     if "SA" in params.tags:
         element = F.concat_ws(",", F.col("rname"), (F.col("rs") + 1).cast("string"), F.when(reverse, "-").otherwise("+"), clipped_cigar(F.lit(True)), F.shiftright("mapq16", QUALITY_BITS).cast("string"), edits().cast("string"))
-        others = F.collect_list(F.when(F.col("is_uniq") & (F.col("aid") > 0), F.struct("aid", F.concat(element, F.lit(";")).alias("e")))).over(Window.partitionBy("qid"))
+        others = F.collect_list(F.when(F.col("is_uniq") & ~first, F.struct(F.col("aid"), seg.alias("seg"), F.concat(element, F.lit(";")).alias("e")))).over(Window.partitionBy("qid"))
         out = out.withColumn("__sa", F.array_join(F.transform(F.sort_array(others), lambda x: x["e"]), "")).where(flag.bitwiseAND(SUPPLEMENTARY) == 0)
-        tags["SA"] = F.when((F.col("aid") == 0) & (F.col("__sa") != ""), F.concat(F.lit("SA:Z:"), F.col("__sa")))
+        tags["SA"] = F.when(first & (F.col("__sa") != ""), F.concat(F.lit("SA:Z:"), F.col("__sa")))
     line += [tags[t] for t in params.tags if t in tags]
     if "tags" in alignments.columns:
         copied = F.map_filter("tags", lambda k, _: k.isin(*params.tags) if params.tags else F.lit(False))
         own = F.array_join(F.transform(F.array_sort(F.map_entries(copied)), lambda e: F.concat(e["key"], F.lit(":"), e["value"]["type"], F.lit(":"), e["value"]["value"])), "\t")
-        line.append(F.when((F.col("aid") == 0) & (own != ""), own))
+        line.append(F.when(first & (own != ""), own))
     return out.withColumn("line", tab(*line)).drop("__sa")
 
 
@@ -174,17 +180,28 @@ def maf() -> Column:
     return F.concat(F.lit("a score="), F.col("score").cast("string"), F.lit("\n"), rows[0], F.lit("\n"), rows[1], F.lit("\n"))
 
 
-def lines_of(alignments: DataFrame, params: MapParams) -> DataFrame:
-    """ordinal, aid and line of alignments in the format that the parameters choose."""
-    if params.format == "sam":
-        return sam(alignments, params).select("ordinal", "aid", "line")
-    shown = alignments.where("is_uniq") if params.omit_secondary else alignments
-    line = {"paf": paf(params), "blast6": blast6(), "maf": maf() if params.format == "maf" else None}[params.format]
-    return shown.select("ordinal", "aid", line.alias("line"))
+def lines_of(alignments: DataFrame, params: MapParams, queries: DataFrame | None = None) -> DataFrame:
+    """ordinal, aid, seg and line of alignments in the format that the parameters choose.
+
+    With ``queries`` (qid, seq, name and qual if they have them), SAM has a line for those without alignments too.
+    """
+    seg = F.col("seg") if "seg" in alignments.columns else F.lit(0)
+    place = ["ordinal", "aid", seg.alias("seg")]
+    if params.format != "sam":
+        shown = alignments.where("is_uniq") if params.omit_secondary else alignments
+        line = {"paf": paf(params), "blast6": blast6(), "maf": maf() if params.format == "maf" else None}[params.format]
+        return shown.select(*place, line.alias("line"))
+    lines = sam(alignments, params).select(*place, "line")
+    if queries is None:
+        return lines
+    qid, has = F.col("qid").cast("long"), set(queries.columns)
+    asked = queries.select(qid.alias("qid"), (F.col("name") if "name" in has else qid.cast("string")).alias("qname"), F.col("seq").alias("qseq"), (F.col("qual") if "qual" in has else F.lit(None).cast("string")).alias("qual"))
+    left = asked.join(alignments.select("qid").distinct(), "qid", "left_anti")
+    return lines.unionByName(left.select(F.col("qid").alias("ordinal"), F.lit(0).alias("aid"), F.lit(0).alias("seg"), sam_unmapped(params).alias("line")))
 
 
 def write_lines(lines: DataFrame, path: str, header: DataFrame | None = None) -> None:
     """Writes lines in order, range by range; a header goes into files of its own that sort first."""
-    lines.orderBy("ordinal", "aid").select("line").write.mode("overwrite").text(f"{path}/body")
+    lines.orderBy("ordinal", "aid", *(["seg"] if "seg" in lines.columns else [])).select("line").write.mode("overwrite").text(f"{path}/body")
     if header is not None:
         header.orderBy("ordinal").select("line").coalesce(1).write.mode("overwrite").text(f"{path}/_head")

@@ -2,7 +2,9 @@
 
 ``spark.read.format("seqfile").load(path)``; options: ``min_len`` (shorter sequences are dropped while parsing),
 ``keep_qual``, ``tags`` (two-letter names, ``CO`` for the comment of a header line; only those are kept), ``range_bytes``.
-The type is told by the first byte. Plain FASTA files are cut into byte ranges, in each of which the records that begin
+The type is told by the first byte. ``ordinal`` is the
+record's place: the number of its file above the record's number or, in FASTA, first byte; so it is unique over all files
+of a load, and rises with their order. Plain FASTA files are cut into byte ranges, in each of which the records that begin
 there are read; other files are one task each. Files are opened through Arrow's file systems.
 """
 
@@ -21,6 +23,8 @@ from helixmap.functions.codec import PACKED, dna_bases
 
 SCHEMA = "file string, ordinal long, name string, len int, seq string, qual string, comment string, tags map<string,struct<type:string,value:string>>"
 RANGE_BYTES = 32 << 20
+#: Bits of an ordinal below the number of the file.
+FILE_BITS = 40
 BATCH_BASES = 4 << 20
 PACKED_BASES = "".join(PACKED.get(i, "N") for i in range(16))
 COMPLEMENT = str.maketrans("ACGT", "TGCA")
@@ -62,8 +66,8 @@ def sniff(head: bytes) -> str:
 
 
 class Range(InputPartition):
-    def __init__(self, path: str, kind: str, start: int, end: int):
-        self.path, self.kind, self.start, self.end = path, kind, start, end
+    def __init__(self, path: str, kind: str, start: int, end: int, number: int = 0):
+        self.path, self.kind, self.start, self.end, self.number = path, kind, start, end, number
 
 
 class SequenceFiles(DataSource):
@@ -78,6 +82,12 @@ class SequenceFiles(DataSource):
         return SequenceReader(dict(self.options))
 
 
+def marked(line: bytes, mark: bytes) -> tuple[bytes, int]:
+    """A file's first line from its mark on, where stray bytes stand before it, and their number."""
+    at = max(0, line[:4].find(mark))
+    return line[at:], at
+
+
 def header_of(line: bytes) -> tuple[str, str]:
     """Name and comment of a header line without its mark: tabs become spaces, spaces at the end of the comment go."""
     name, _, comment = line.strip(b"\r\n").lstrip(b" ").partition(b" ")
@@ -94,15 +104,15 @@ class SequenceReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         out = []
-        for path in list_files(self.path):
+        for number, path in enumerate(list_files(self.path)):
             file, size = open_file(path)
             head = file.read(4)
             packed = head[:2] == b"\x1f\x8b"
             kind = sniff(gzip.GzipFile(fileobj=self._again(file)).read(4)) if packed else sniff(head) if head else "fasta"
             if kind == "fasta" and not packed:
-                out += [Range(path, kind, a, min(a + self.range_bytes, size)) for a in range(0, size, self.range_bytes)]
+                out += [Range(path, kind, a, min(a + self.range_bytes, size), number) for a in range(0, size, self.range_bytes)]
             else:
-                out.append(Range(path, kind, 0, -1))
+                out.append(Range(path, kind, 0, -1, number))
         return out or [Range("", "", 0, 0)]
 
     @staticmethod
@@ -128,7 +138,7 @@ class SequenceReader(DataSourceReader):
             if len(seq) < self.min_len:
                 continue
             kept = {k: v for k, v in tags.items() if k in self.tags}
-            rows.append((partition.path, ordinal, name, len(seq), seq, qual if self.keep_qual else "", comment if "CO" in self.tags and comment else None, kept))
+            rows.append((partition.path, partition.number << FILE_BITS | ordinal, name, len(seq), seq, qual if self.keep_qual else "", comment if "CO" in self.tags and comment else None, kept))
             size += len(seq)
             if size >= BATCH_BASES:
                 yield self.batch(rows)
@@ -153,6 +163,8 @@ class SequenceReader(DataSourceReader):
             at = start if stream.read(1) == b"\n" else start + len(stream.readline())
         header, parts, begin = None, [], at
         while line := stream.readline():
+            if not at:
+                line, at = marked(line, b">")
             if line[:1] == b">":
                 if header is not None:
                     yield begin, *self._fasta_record(header, parts)
@@ -173,7 +185,7 @@ class SequenceReader(DataSourceReader):
     @staticmethod
     def fastq(stream) -> Iterator[tuple]:
         """The quality goes on until it is as long as the sequence, so marks within it are no marks."""
-        n, line = 0, stream.readline()
+        n, line = 0, marked(stream.readline(), b"@")[0]
         while line:
             if line[:1] != b"@":
                 line = stream.readline()

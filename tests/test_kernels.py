@@ -7,7 +7,7 @@ import pytest
 
 from helixmap.functions.codec import bases_of, codes_of, complement_codes, dna_bases
 from helixmap.operators import chains, dp, sketch
-from helixmap.plans.params import MapParams, Scoring, parse_options, preset
+from helixmap.plans.params import MapParams, Scoring, parse_command, parse_options, preset
 
 
 def naive(a, b, s, matrix=None):
@@ -199,12 +199,44 @@ def test_codecs():
 
 
 def test_parameters():
-    assert MapParams().w == 10 and preset("pacbio.ccs").scoring.gi == 2 and preset("ont.r9.4.1").scoring.match == 3 and preset("ava").w == 5
+    assert MapParams().w == 10 and preset("pacbio.ccs").scoring.gi == 2 and preset("ont.r9.4.1").scoring.match == 2 and preset("ava").w == 5
     p = parse_options("-xpacbio -k13 -f0.1,0.01 -a1 -b2 -eGA+3 -r2,4 -Opaf -TAS,NM -s30 # note\n-m0.5")
     assert (p.k, p.frequencies, p.scoring.match, p.format, p.tags, p.min_score, p.min_ratio) == (13, (0.1, 0.01), 1, "paf", ("AS", "NM"), 30, 0.5)
     assert p.scoring.matrix()[2, 0] == 1 and p.scoring.model == "combined" and Scoring(gi=0).model == "linear" and Scoring().model == "affine"
     for bad in (dict(k=1), dict(w=40), dict(frequencies=(0.1, 0.2)), dict(format="x"), dict(scoring=Scoring(match=9)), dict(min_ratio=2)):
         with pytest.raises(ValueError):
             MapParams(**bad)
-    with pytest.raises(ValueError):
-        preset("nothing")
+    for bad in ("nothing", "ont.r9.anything", "pacbio.clr.more"):
+        with pytest.raises(ValueError):
+            preset(bad)
+
+
+# Match, mismatch, gap open and short-gap cost of the presets.
+PRESETS = {
+    "pacbio": (2, 4, 4, 3), "pacbio.clr": (2, 4, 4, 3), "pacbio:ccs": (2, 5, 2, 3),
+    "ont": (3, 5, 6, 3), "ont.r7": (3, 4, 6, 3), "ont.r7.1d": (3, 4, 6, 3), "ont.r7.2d": (3, 4, 6, 3), "ont.r9": (3, 5, 6, 3), "ont.r9.1d": (3, 5, 6, 3), "ont.r9.1dsq": (3, 6, 6, 4), "ont.r9.2d": (3, 6, 6, 4),
+    "ont.r9.4": (2, 5, 6, 3), "ont.r9.4.1": (2, 5, 6, 3), "ont.r9.4.1.1d": (2, 5, 6, 3), "ont.r9.4.1.1dsq": (2, 6, 6, 4), "ont.r9.4.1.2d": (2, 6, 6, 4), "ont.r9.4.1d": (2, 5, 6, 3), "ont.r9.5.2d": (2, 6, 6, 4), "ont.r9.5.1.1dsq": (2, 6, 6, 4),
+    "ont.1d": (2, 5, 6, 3), "ont.1dsq": (2, 6, 6, 4), "ont.2d": (2, 6, 6, 4), "ava": (2, 3, 0, 0),
+}
+
+
+@pytest.mark.parametrize("name", PRESETS)
+def test_presets(name):
+    p = preset(name)
+    assert (p.scoring.match, p.scoring.mismatch, p.scoring.gi, p.scoring.gfa) == PRESETS[name] and p.scoring.gfa == p.scoring.gfb
+    assert (p.w, p.min_score, p.min_ratio) == ((5, 30, 0.05) if name == "ava" else (10, 50, 0.3))
+
+
+def test_command_lines(tmp_path):
+    c = parse_command("-t4 -xpacbio ref.fa reads.fq more.fq")
+    assert c.files == ("ref.fa", "reads.fq", "more.fq") and c.params == preset("pacbio")
+    c = parse_command("-XP -k 13 -d out.idx -C5,7 -v3 -1 1000 -2 512 -h -A ref.fa -c chrM,chr2")
+    assert (c.params.k, c.params.w, c.index_path, c.files, c.params.circular) == (13, 9, "out.idx", ("ref.fa",), ("chrM", "chr2"))
+    assert c.params.all_vs_all and c.params.omit_secondary and (c.params.base_rid, c.params.base_qid) == (5, 7)
+    assert parse_command("-k13 -w 5").params.w == 5 and parse_command("-xpacbio -k13").params.w == 10 and parse_command("-c -k13").params.circular == ("*",)
+    (tmp_path / "own.conf").write_text("-a 2\t-b3 # costs\n-s 77")
+    p = parse_options(f"-x {tmp_path}/own.conf -s78")
+    assert (p.scoring.match, p.scoring.mismatch, p.min_score) == (2, 3, 78) and preset(f"pacbio.{tmp_path}/own.conf").scoring.ge == 2
+    for bad in ("-z", "-k", "-R nothing", "-k x"):
+        with pytest.raises(ValueError):
+            parse_command(bad)

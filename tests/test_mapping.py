@@ -226,3 +226,45 @@ def test_registered_queries_have_matching_sql(spark):
         order = [d[0] for d in theirs.description]
         key = lambda r: tuple(map(str, r))
         assert sorted(map(key, mine.select(*order).collect())) == sorted(map(key, theirs.fetchall())), name
+
+
+def test_stray_bytes_and_ordinals_over_files(spark, tmp_path):
+    (tmp_path / "a.fa").write_bytes(b"x>a\nACGT\n>b\nAACC\n")
+    (tmp_path / "b.fa").write_bytes(b">c\nGGGG\n")
+    (tmp_path / "c.fq").write_bytes(b"\n@d\nAC\n+\nII\n")
+    rows = read_sequences(spark, str(tmp_path), min_len=0).orderBy("ordinal").collect()
+    assert [(x.name, x.seq) for x in rows] == [("a", "ACGT"), ("b", "AACC"), ("c", "GGGG"), ("d", "AC")] and len({x.ordinal for x in rows}) == 4
+
+
+def test_from_files_to_sam(spark, tmp_path):
+    r = random.Random(8)
+    chromosomes = [genome(6_000, 11), genome(5_000, 12)]
+    (tmp_path / "one.fa").write_text(f">c1\n{chromosomes[0]}\n")
+    (tmp_path / "two.fa").write_text(f">c2\n{chromosomes[1]}\n")
+    reads = {f"r{i}": noisy(chromosomes[i % 2][300 * i : 300 * i + 1000], 0.05, r) for i in range(8)}
+    reads["split"] = chromosomes[0][500:1500] + genome(1500, 13) + chromosomes[0][1500:2500]
+    reads["lost"] = genome(900, 14)
+    (tmp_path / "q1.fq").write_text("".join(f"@{k}\n{v}\n+\n{'I' * len(v)}\n" for k, v in list(reads.items())[:5]))
+    (tmp_path / "q2.fa").write_text("".join(f">{k} note\n{v}\n" for k, v in list(reads.items())[5:]))
+    from helixmap.plans.run import run
+
+    refs = f"{tmp_path}/one.fa,{tmp_path}/two.fa"
+    run(spark, f"-t4 -xpacbio -TAS,NM,CO {refs} {tmp_path}/q1.fq {tmp_path}/q2.fa", f"{tmp_path}/out")
+    head = [x.value for x in spark.read.text(f"{tmp_path}/out/_head/part*").collect()]
+    assert [x.split("\t")[1] for x in head if x.startswith("@SQ")] == ["SN:c1", "SN:c2"]
+    lines = [x.value.split("\t") for x in spark.read.text(f"{tmp_path}/out/body").collect()]
+    assert {x[0] for x in lines} == set(reads)
+    primary = [x[0] for x in lines if not int(x[1]) & 0x900]
+    assert sorted(primary) == sorted(reads) and [x[1] for x in lines if x[0] == "lost"] == ["4"]
+    for x in lines:
+        if x[0] in reads and x[0][1:].isdigit():
+            assert x[2] == f"c{int(x[0][1:]) % 2 + 1}"
+    assert sum(int(x[1]) & 0x800 > 0 for x in lines if x[0] == "split") >= 1 and all("H" in x[5] for x in lines if int(x[1]) & 0x800)
+    run(spark, f"-xpacbio -d {tmp_path}/index {tmp_path}/one.fa {tmp_path}/two.fa")
+    run(spark, f"-xpacbio -TSA {tmp_path}/index {tmp_path}/q1.fq {tmp_path}/q2.fa", f"{tmp_path}/again")
+    again = [x.value.split("\t") for x in spark.read.text(f"{tmp_path}/again/body").collect()]
+    assert sorted(x[:5] for x in again if not int(x[1]) & 0x100) == sorted(x[:5] for x in lines if not int(x[1]) & 0x900)
+    assert [x[11].startswith("SA:Z:c1,") for x in again if x[0] == "split"] == [True]
+    for bad in ("-xpacbio", f"-xpacbio {tmp_path}/one.fa"):
+        with pytest.raises(ValueError):
+            run(spark, bad)

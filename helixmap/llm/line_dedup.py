@@ -32,6 +32,8 @@ from helixmap.llm.common import cut, fresh, tidy, whole_text
 
 #: Words of the shortest block that is deleted.
 MIN_WORDS = 25
+#: About how many pairs one copy of a home's words serves: the home of a hot hash has many copies.
+COPY_PAIRS = 1_000
 
 LINES = "doc_id long, digest long, tokens binary, hashes array<long>, places array<int>"
 
@@ -159,15 +161,17 @@ def _key(doc_id: str):
 def homes(lines: DataFrame) -> DataFrame:
     """Pairs of a document and the home of hashes it has, with the ``seeds``: where these runs start in both.
 
-    Columns: key, digest, home_id, home_key, home_digest, seeds (a long each: place shifted by 32 bits, place in the home).
+    Columns: key, digest, home_id, home_key, home_digest, seeds (a long each: place shifted by 32 bits, place in the home),
+    copies and copy: into how many the pairs of hashes as frequent as these are split, and which of these the pair is in.
     """
     rows = lines.select("doc_id", "digest", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select(F.col("x.hashes").alias("h"), F.struct("doc_id", "digest").alias("k"), F.col("x.places").alias("place"))
-    first = rows.groupBy("h").agg(F.min(F.struct("k", "place")).alias("home"), F.count("*").alias("n")).where("n > 1").select("h", "home")
+    first = rows.groupBy("h").agg(F.min(F.struct("k", "place")).alias("home"), F.count("*").alias("n")).where("n > 1")
     first = cut(first)  # a side of its own, so that a hot hash's rows can be split over tasks
     seed = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("home.place").cast("long"))
-    met = rows.join(first, "h").where("k <> home.k").select("k", F.col("home.k").alias("home"), seed.alias("seed"))
-    pairs = met.groupBy("k", "home").agg(F.collect_list("seed").alias("seeds"))  # at most a document's own hashes
-    return pairs.select(_key("k.doc_id").alias("key"), F.col("k.digest").alias("digest"), F.col("home.doc_id").alias("home_id"), _key("home.doc_id").alias("home_key"), F.col("home.digest").alias("home_digest"), "seeds")
+    met = rows.join(first, "h").where("k <> home.k").select("k", F.col("home.k").alias("home"), seed.alias("seed"), "n")
+    pairs = met.groupBy("k", "home").agg(F.collect_list("seed").alias("seeds"), F.ceil(F.sum("n") / COPY_PAIRS).cast("int").alias("copies"))  # at most a document's own hashes
+    pairs = pairs.withColumn("copy", F.pmod(F.xxhash64("k"), F.col("copies")).cast("int"))
+    return pairs.select(_key("k.doc_id").alias("key"), F.col("k.digest").alias("digest"), F.col("home.doc_id").alias("home_id"), _key("home.doc_id").alias("home_key"), F.col("home.digest").alias("home_digest"), "seeds", "copies", "copy")
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -299,9 +303,12 @@ def covered_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     lines = cut(line_table(docs, min_words))
     pairs = cut(homes(lines))
-    # dealt as the joins need them, once for both; rows that repeat are one document
+    # dealt once by document for both joins; rows that repeat are one document
     keyed = lines.select(_key("doc_id").alias("key"), "digest", "tokens").groupBy("key", "digest").agg(F.first("tokens").alias("tokens"))
-    pairs = pairs.join(keyed.select(F.col("key").alias("home_key"), F.col("digest").alias("home_digest"), F.col("tokens").alias("home")), ["home_key", "home_digest"])
+    copies = pairs.groupBy(F.col("home_key").alias("key"), F.col("home_digest").alias("digest")).agg(F.max("copies").alias("copies"))
+    home = keyed.join(copies, ["key", "digest"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    home = home.select(F.col("key").alias("home_key"), F.col("digest").alias("home_digest"), "copy", F.col("tokens").alias("home"))
+    pairs = pairs.drop("copies").join(home, ["home_key", "home_digest", "copy"])
     pairs = pairs.join(keyed, ["key", "digest"]).select("key", "digest", "home_id", "seeds", "home", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

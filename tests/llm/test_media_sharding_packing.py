@@ -1,6 +1,7 @@
 """op1, op2 and op7: exact round trips and properties on small tables with odd rows."""
 
 import hashlib
+import math
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -9,13 +10,15 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-from helixmap.llm import media, packing, sharding
+from helixmap.llm import media, packing, queries, sharding
 from helixmap.llm.common import shared_folder
-from helixmap.llm.tokens import _exact, token_ids
+from helixmap.llm.tokens import token_ids, vocabulary_path
 
-ODD = [(1, "short text"), (2, None), (3, ""), (4, "x" * 5000), (5, "ümläut 日本語 \U0001f600 end\n\ttabs"), (6, "short text"), (6, "short text"), (None, "no id"), (7, "word " * 9000), (8, "\0\0")]
+ODD = [(1, "short text"), (2, None), (3, ""), (4, "x" * 5000), (5, "ümläut 日本語 \U0001f600 end\n\ttabs"), (6, "short text"), (6, "short text"), (None, "no id"), (7, "word " * 9000), (8, "\0\0"), (9, "one<|endoftext|>two <|endoftext|>")]
 SCHEMA = "doc_id long, text string"
+PLAIN = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
 
 
 @pytest.fixture(scope="module")
@@ -99,11 +102,42 @@ def test_communication_matrix_sums_and_law():
     assert abs(np.mean(first) - 5) < 0.1 and abs(np.var(first) - 20 * (10 / 40) * (30 / 40) * (20 / 39)) < 0.15
 
 
+def test_inversion_is_the_hypergeometric_law():
+    for good, bad, n in [(5, 7, 6), (3, 40, 10), (30, 2, 9), (4, 4, 8), (9, 0, 4), (0, 9, 4)]:
+        total = math.comb(good + bad, n)
+        p = [math.comb(good, k) * math.comb(bad, n - k) / total if n - k <= bad else 0.0 for k in range(min(n, good) + 1)]
+        edges = np.cumsum(p)
+        for k, x in enumerate(p):
+            if x > 1e-9:
+                assert sharding.inverted(edges[k] - x / 2, good, bad, n) == k
+        assert sharding.inverted(0.0, good, bad, n) == next(k for k, x in enumerate(p) if x > 0) and sharding.inverted(1 - 1e-16, good, bad, n) == max(k for k, x in enumerate(p) if x > 0)
+
+
+def test_communication_matrix_of_a_huge_table():
+    blocks = [2_500_000_000, 4_000, 0, 7_500_000_001]
+    m = sharding.communication_matrix(blocks, 40, 3)
+    assert m.sum(axis=1).tolist() == blocks and m.sum(axis=0).max() - m.sum(axis=0).min() <= 1
+    n, good, bad = 4_000, 250_000_000, 9_750_000_000
+    draw = np.random.default_rng(5)
+    got = [sharding._draw(draw, good, bad, n) for _ in range(4000)]
+    mean, var = n * good / (good + bad), n * good / (good + bad) * bad / (good + bad)
+    assert abs(np.mean(got) - mean) < 5 * (var / 4000) ** 0.5 and abs(np.var(got) / var - 1) < 0.12
+
+
+def test_sharding_query_columns(spark, odd, tmp_path):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op2_sharding(spark, str(tmp_path)).collect()
+    want = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in ODD)
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == want
+    assert {r.law for r in rows} == {"rows"} and {r.grown_shard for r in rows} == {None}
+    assert len({(r.shard, r.slot) for r in rows}) == len(ODD) and all(0 <= r.shard < 40 and r.slot == 0 for r in rows)
+
+
 def test_packing_covers_every_id_once(spark, odd):
     rows = packing.pack(odd).collect()
     want = Counter()
     for i, t in ODD:
-        ids = np.append(np.array(_exact("byte_bpe_50k", None).encode(t or "", add_special_tokens=False).ids, "<u4"), np.uint32(1)).astype("<u4")
+        ids = np.append(np.array(PLAIN.encode(t or "", add_special_tokens=False).ids, "<u4"), np.uint32(1)).astype("<u4")
         for a in range(0, len(ids), 2048):
             want[i, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes()), len(ids)] += 1
     assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == want
@@ -155,5 +189,5 @@ def test_plan_uses_every_piece_once(histogram):
 
 
 def test_both_tokenizers_agree():
-    for text in ["", " ", "a", "don't  stop\n\n12 %% é", "<|endoftext|> plain", "日本語" * 50, "x" * 3000, " " * 500 + "y"]:
-        assert token_ids(text).tolist() == _exact("byte_bpe_50k", None).encode(text, add_special_tokens=False).ids
+    for text in ["", " ", "a", "don't  stop\n\n12 %% é", "<|endoftext|> plain", " <|endoftext|><|endoftext|>", "<|endoftext |>", "日本語" * 50, "x" * 3000, " " * 500 + "y"]:
+        assert token_ids(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids

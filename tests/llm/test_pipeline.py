@@ -7,10 +7,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from helixmap.llm import mixing, toxicity
-from helixmap.llm.tokens import _exact
+from helixmap.llm.tokens import vocabulary_path
 
 R = random.Random(12)
 WORDS = ["".join(R.choice("abcdefghijkl") for _ in range(R.randint(2, 8))) for _ in range(400)]
@@ -120,8 +121,9 @@ def test_pipeline_matches_plain_stages(spark, folder):
     assert len(wrong) <= 8
     kept = plain_mix(plain_near_duplicates(plain_line_dedup(clean)), mixing.PRODUCTION)
     want = Counter()
+    plain = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
     for r in kept:
-        ids = np.append(np.array(_exact("byte_bpe_50k", None).encode(r[1] or "", add_special_tokens=False).ids, "<u4"), np.uint32(1)).astype("<u4")
+        ids = np.append(np.array(plain.encode(r[1] or "", add_special_tokens=False).ids, "<u4"), np.uint32(1)).astype("<u4")
         for a in range(0, len(ids), 2048):
             want[r[0], a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes()), len(ids)] += 1
     got = corpus_pipeline.run(spark, folder).collect()

@@ -23,9 +23,10 @@ from helixmap.llm.common import cut, whole_text
 HALF = 0x0000000100000001
 RADIUS = 3
 KEEP_BLOCKS = 3
-#: Documents of a bucket of neighbours, and the bound of cells by which ids are dealt into buckets.
+#: Documents of a bucket of neighbours, a bound of the number of buckets, and sampled ids for each.
 BUCKET_ROWS = 2_000
-MAX_CELLS = 1 << 20
+MAX_BUCKETS = 1 << 16
+SAMPLE = 16
 #: How many documents one search query stands for: ids divisible by this are queries against all rows.
 QUERY_STEP = 20
 
@@ -62,56 +63,63 @@ def fingerprints(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return terms.groupBy(*keys).agg(F.count("*").alias("__n"), *vote_columns()).select(*keys, majority().alias("fingerprint"))
 
 
-def _buckets(docs: DataFrame, bucket_rows: int) -> tuple[list[int], list[int | None], int, float]:
-    """A bucket for each cell of the range of ids, the greatest id of each bucket, the least id and the cells' width.
-
-    Cells are merged until a bucket has ``bucket_rows`` rows; the numbers of buckets and cells are bounded.
-    """
-    n, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    cells = min(MAX_CELLS, max(1, math.ceil(n / bucket_rows) * 16))
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(1.0, (high - low + 1) / cells)
-    cell = _cell(F.col("doc_id"), low, width, cells)
-    found = {r[0]: (r[1], r[2]) for r in docs.groupBy(cell.alias("c")).agg(F.count("*"), F.max("doc_id")).collect()}
-    size = max(bucket_rows, math.ceil(n / (MAX_CELLS // 16)))
-    of, heads, rows = [0] * cells, [None], 0
-    for c in range(cells):
-        k, top = found.get(c, (0, None))
-        if k and rows and rows + k > size:
-            heads.append(None)
-            rows = 0
-        rows += k
-        of[c] = len(heads) - 1
-        if top is not None:
-            heads[-1] = top
-    return of, heads, low, width
-
-
-def _cell(doc_id: Column, low: int, width: float, cells: int) -> Column:
-    at = F.floor((F.coalesce(doc_id, F.lit(low)) - F.lit(low)) / F.lit(width)).cast("int")
-    return F.least(F.greatest(at, F.lit(0)), F.lit(cells - 1))
-
-
 def _literal(values: list, kind: str) -> Column:
     import json
 
     return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
+def _count_up_to(bounds: list[int], value: Column) -> Column:
+    """How many of the sorted ``bounds`` are at most ``value``: first by blocks of them, then within one block."""
+    width = max(1, math.isqrt(len(bounds)))
+    blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    if not blocks:
+        return F.lit(0)
+    block = F.size(F.filter(_literal([b[0] for b in blocks], "bigint"), lambda x: x <= value))
+    inside = F.size(F.filter(F.element_at(_literal(blocks, "array<bigint>"), F.greatest(block, F.lit(1))), lambda x: x <= value))
+    return F.when(block > 0, (block - 1) * width + inside).otherwise(0).cast("int")
+
+
+def _buckets(docs: DataFrame, bucket_rows: int) -> tuple[Column, Column, int]:
+    """The bucket of a row (doc_id, text), in the order of rows, whether the row in bucket b is its first, and their number.
+
+    Buckets of ids lie between quantiles of a bounded sample of ids, so outliers and gaps don't matter; rows without an
+    id, which come last, are dealt by their hash. The number of buckets is bounded, and so is all that comes to the driver.
+    """
+    n, low, filled = docs.agg(F.count("*"), F.min("doc_id"), F.count("doc_id")).first()
+    of_ids, of_nulls = (min(MAX_BUCKETS // 2, max(1, math.ceil(k / bucket_rows))) for k in (filled, n - filled))
+    every = max(1, filled // (SAMPLE * of_ids))
+    ids = F.col("doc_id")
+    sample = sorted(r[0] for r in docs.where(ids.isNotNull() & (F.pmod(F.xxhash64(ids), F.lit(every)) == 0)).select("doc_id").collect()) if of_ids > 1 else []
+    bounds = sorted({sample[len(sample) * i // of_ids] for i in range(1, of_ids)} - {low}) if sample else []
+    bucket = F.lit(len(bounds)) - _count_up_to(bounds, ids)
+    h = F.xxhash64("text")
+    if filled < n:
+        upper = F.shiftrightunsigned(h.bitwiseXOR(F.lit(-1 << 63)), 33)  # 31 bits that rise with the hash
+        last = F.lit(len(bounds) + 1) + F.shiftright(upper * F.lit(of_nulls), 31)
+        bucket = F.when(ids.isNull(), last).otherwise(bucket)
+    bucket = bucket.cast("int")
+    first = docs.groupBy(bucket.alias("b")).agg(F.max("doc_id"), *([F.min(F.when(ids.isNull(), h))] if filled < n else []))
+    found = sorted(tuple(r) for r in first.collect())
+    place = {r[0]: i for i, r in enumerate(found)}  # buckets without rows are left out
+    dense = F.element_at(_literal([place.get(b, 0) for b in range(max(place, default=0) + 1)], "int"), bucket + 1)
+    is_first = ids == F.element_at(_literal([r[1] for r in found], "bigint"), F.col("b") + 1)
+    if filled < n:
+        is_first = F.when(ids.isNull(), h == F.element_at(_literal([r[2] for r in found], "bigint"), F.col("b") + 1)).otherwise(is_first)
+    return dense, F.coalesce(is_first, F.lit(False)), len(found)
+
+
 def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """bucket, row, ghost, doc_id, text and next_text: each document beside the one after it, by descending doc_id.
 
-    After the last comes the first; equal ids are ordered by a hash of their texts, null ids come last. Texts are
-    shuffled once: the first document of each bucket also goes, as a ghost, to the end of the bucket before it.
+    After the last comes the first; equal ids, and rows without one, which come last, are ordered by a hash of their
+    texts. Texts are shuffled once: the first document of each bucket also goes, as a ghost, to the end of the one before.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    of, heads, low, width = _buckets(rows.select("doc_id"), bucket_rows)
-    bucket = F.element_at(_literal(of, "int"), _cell(F.col("doc_id"), low, width, len(of)) + 1)
-    head = F.element_at(_literal(heads, "bigint"), F.col("b") + 1)
-    before = F.pmod(F.col("b") + 1, F.lit(len(heads))).cast("int")  # the bucket with the next greater ids
-    copies = F.when(F.col("doc_id").eqNullSafe(head), F.array(F.struct(F.col("b").alias("bucket"), F.lit(False).alias("ghost")), F.struct(before.alias("bucket"), F.lit(True).alias("ghost"))))
-    copies = copies.otherwise(F.array(F.struct(F.col("b").alias("bucket"), F.lit(False).alias("ghost"))))
-    dealt = rows.withColumn("b", bucket).withColumn("x", F.explode(copies)).select("x.bucket", "x.ghost", "doc_id", "text")
+    bucket, is_first, n = _buckets(rows, bucket_rows)
+    before = F.pmod(F.col("b") - 1, F.lit(max(1, n))).cast("int")
+    own, ghost = (F.struct(b.alias("bucket"), F.lit(g).alias("ghost")) for b, g in ((F.col("b"), False), (before, True)))
+    dealt = rows.withColumn("b", bucket).withColumn("x", F.explode(F.when(is_first, F.array(own, ghost)).otherwise(F.array(own)))).select("x.bucket", "x.ghost", "doc_id", "text")
     order = Window.partitionBy("bucket").orderBy(F.col("ghost"), F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     return dealt.withColumn("row", F.row_number().over(order)).withColumn("next_text", F.coalesce(F.lead("text").over(order), F.lit("")))
 
@@ -162,7 +170,7 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int = RADIUS) -> D
     left, right = tabled(queries.select("fp"), "q").alias("l"), tabled(fps.select("fp"), "fp").drop("no").alias("r")
     differ = F.col("l.q").bitwiseXOR(F.col("r.fp"))
     first = reduce(lambda a, b: a & b, [(F.col("l.no")[i] == 0) | (differ.bitwiseAND(F.col("l.no")[i]) != 0) for i in range(most)])
-    return left.join(right, (F.col("l.t") == F.col("r.t")) & (F.col("l.k") == F.col("r.k")) & (F.bit_count(differ) <= radius) & first).select("q", "fp")
+    return left.join(right.hint("merge"), (F.col("l.t") == F.col("r.t")) & (F.col("l.k") == F.col("r.k")) & (F.bit_count(differ) <= radius) & first).select("q", "fp")
 
 
 def edit_and_compare(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -177,9 +185,9 @@ def edit_and_compare(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     counts = rows.groupBy("fp").agg(F.count("*").alias("n"))
     asked = rows.where(F.pmod("doc_id", F.lit(QUERY_STEP)) == 0).select("fp").distinct()
     pairs = within_radius(asked, counts.select("fp"), radius)
-    near = pairs.join(counts.select("fp", "n"), "fp").groupBy("q").agg(F.sum("n").alias("n_near"))
+    near = pairs.join(counts.select("fp", "n").hint("merge"), "fp").groupBy("q").agg(F.sum("n").alias("n_near"))
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    out = rows.join(near.withColumnRenamed("q", "fp"), "fp", "left")
+    out = rows.join(near.withColumnRenamed("q", "fp").hint("merge"), "fp", "left")  # grows with the queries: never sent to all
     return out.select(
         "doc_id", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("edited_fp").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 from helixmap.llm import bagminhash, line_dedup, mixing, ngram_lm, rollups, simhash, toxicity
 from helixmap.llm.common import shared_folder
@@ -323,8 +324,14 @@ def test_rollup_commits_are_idempotent_and_survive_a_dead_batch(spark):
     assert store.commit("empty", rollups.inserts(e.limit(0)))
 
 
-def plain_fingerprint(spark, texts):
-    return {(r.t): r.h for r in simhash.fingerprints(spark.createDataFrame([(t,) for t in texts], "t string"), ["t"], "t").select("t", simhash.F.col("fingerprint").alias("h")).collect()}
+def plain_fingerprint(text):
+    """Votes of word pairs, each hashed by xxhash64 with seed 42 and the first word's hash as the second's seed."""
+    words = re.split("[ \\t\\n\\r]+", text)
+    hashes = []
+    for a, b in zip(words, [*words[1:], None], strict=True):
+        h = xxhash.xxh64_intdigest(a.encode(), 42)
+        hashes.append(h if b is None else xxhash.xxh64_intdigest(b.encode(), h))
+    return sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in hashes) > len(hashes))
 
 
 def test_simhash(spark):
@@ -338,7 +345,7 @@ def test_simhash(spark):
     by = {r.doc_id: r for r in got if r.doc_id is not None}
     import hashlib
 
-    fps = plain_fingerprint(spark, {t or "" for _, t in rows})
+    fps = {t or "": plain_fingerprint(t or "") for _, t in rows}
     same = lambda a, b: 1 - bin((a ^ b) & (2**64 - 1)).count("1") / 64
     for k in unique:
         i, text, after = order[k][0], order[k][1] or "", order[k + 1][1] or ""
@@ -349,6 +356,7 @@ def test_simhash(spark):
         r = by[i]
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest(), i
         assert r.fingerprint == f"{fps[text] & (2**64 - 1):016x}" and r.near_next == same(fps[text], fps[after])
+        assert r.edited_fingerprint == f"{plain_fingerprint(edited):016x}" and r.near_edited == same(fps[text], plain_fingerprint(edited))
     every = [fps[t or ""] for _, t in rows]
     for r in got:
         want = None if r.doc_id is None or r.doc_id % 20 else sum(same(fps[dict(rows)[r.doc_id] or ""], f) >= 1 - 3 / 64 for f in every)
@@ -382,6 +390,19 @@ def test_simhash_buckets(spark):
     assert got == {a[0]: b[1] for a, b in zip(order, order[1:] + order[:1], strict=True)}
 
 
+def test_simhash_buckets_of_outliers_and_missing_ids(spark):
+    r = random.Random(3)
+    ids = [*range(1000, 1400), -(1 << 63), (1 << 63) - 1, 10**15, *[77] * 40]
+    rows = [(i, f"text {k} {r.random()}") for k, i in enumerate(ids)] + [(None, f"none {k}") for k in range(300)]
+    r.shuffle(rows)
+    rows_of = simhash.with_next(spark.createDataFrame(rows, SCHEMA), bucket_rows=20).where("not ghost")
+    got = Counter((x.doc_id, x.text, x.next_text) for x in rows_of.collect())
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64) * (h >> 63)
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), signed(x[1])))
+    assert got == Counter((*a, b[1]) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    assert max(x["count"] for x in rows_of.groupBy("bucket").count().collect()) <= 100
+
+
 def test_mixing_matches_sql_and_meets_the_targets(spark):
     rows = ODD + [(i, ("x | y " if i % 7 == 0 else "") + prose(20 + i % 30, i) + (" License" if i % 11 == 0 else "")) for i in range(100, 900)]
     docs = full(spark, rows)

@@ -1,7 +1,8 @@
 """Mapping of queries onto an index: seeds, chains, extension, ranking.
 
-Seeds and chains are joined by hash and grouped by query; then each chain meets the slice of its reference that its
-query can reach, never a whole reference, and the queries of a bucket are extended together. Only alignments leave.
+Seeds and chains are joined by hash and grouped by query. References are cut into tiles; each chain meets the tiles that
+its query can reach, cut to that slice, so no row holds a whole reference. Queries and slices are dealt and sorted by query and
+streamed: batches of a bounded number of bases are extended side by side. Only alignments leave.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from helixmap.functions.codec import codes_of, complement_codes, reverse_complement
+from helixmap.functions.codec import bases_of, codes_of, complement_codes
 from helixmap.operators.chains import chain_seeds
 from helixmap.operators.dp import extend, mismatch_text, rescore, runs
 from helixmap.operators.index import Index
@@ -28,12 +29,17 @@ from helixmap.plans.params import MapParams
 MARGIN, MARGIN_SHARE = 64, 0.2
 #: Band widths of the first try and of those after a known end point, and seeds that are tried for a chain.
 BANDS, TRIALS = (64, 32, 16), 8
+#: Bases of a tile of a reference, and of queries and slices that are extended together.
+TILE, BATCH_BASES = 1 << 16, 1 << 22
+#: Chains without a result, one after the other, that end a query.
+FAILURES = 50_000
 #: Pairs times steps of a batch of extensions; a step keeps a byte for each cell of the band.
 BATCH_STEPS = 1 << 20
 
 ALIGNMENTS = (
     "qid long, rid long, aid int, seg int, strand int, rs long, re long, qs long, qe long, score long, identity double, dcnt long, matches long, gaps_r long, gaps_q long, "
-    "cigar array<struct<op:string,len:int>>, md string, set_score long, is_uniq boolean, n_all int, n_uniq int, mapq16 int, clipped boolean"
+    "cigar array<struct<op:string,len:int>>, md string, set_score long, is_uniq boolean, n_all int, n_uniq int, mapq16 int, clipped boolean, "
+    "rpart string, qpart string"
 )
 
 
@@ -97,7 +103,10 @@ def extend_chains(query: np.ndarray, searches: list[Search], params: MapParams):
     other = complement_codes(query)
     ends: set[tuple[int, bool, int, int]] = set()
     starts: dict[tuple[int, bool, int, int], Alignment] = {}
+    failed = 0
     for s in searches:
+        if failed >= FAILURES:
+            break
         before = None
         while s.left > 0 and (seed := s.take(before)) is not None:
             r, q = seed
@@ -145,37 +154,33 @@ def extend_chains(query: np.ndarray, searches: list[Search], params: MapParams):
             starts[key] = own
             s.found.append(own)
             s.trials, s.narrow = TRIALS, 0
+        failed = 0 if s.found and s.score >= params.min_score else failed + 1
     return [s for s in searches if s.found and s.score >= params.min_score]
 
 
+def left_over(span: tuple[int, int], taken: list[tuple[int, int]]) -> int:
+    """How much of ``span`` none of the spans taken covers."""
+    at, left = span[0], 0
+    for low, high in sorted(taken):
+        left += max(0, min(low, span[1]) - at)
+        at = max(at, high)
+    return left + max(0, span[1] - at)
+
+
 def uniques(spans: list[tuple[int, int]]) -> list[int]:
-    """Order of the sets, and how many of them are primary or supplementary: see ``classify``."""
-    order, chosen, rest = [0], 1, list(range(1, len(spans)))
+    """The first span and those that add to it, in the order of choice.
+
+    Again and again the span with the most that no chosen one covers is taken, the earlier one of equals. Of a span that
+    may be taken all but a sixth is left over.
+    """
+    chosen, rest = [0], list(range(1, len(spans)))
     while rest:
-        best, best_gain = None, 0
-        stay = []
-        for i in rest:
-            low, high = spans[i]
-            span = high - low
-            for j in order:
-                a, b = spans[j]
-                if b < high:
-                    low = max(low, b)
-                else:
-                    high = min(high, a)
-                if 1.2 * (high - low) < span:
-                    break
-            else:
-                stay.append(i)
-                gain = 2 * (high - low) - span
-                if gain > best_gain:
-                    best, best_gain = i, gain
-        if best is None:
-            break
-        order.append(best)
-        stay.remove(best)
-        rest, chosen = stay, chosen + 1
-    return order
+        left = {i: left_over(spans[i], [spans[j] for j in chosen]) for i in rest}
+        rest = [i for i in rest if left[i] > 0 and 6 * left[i] >= 5 * (spans[i][1] - spans[i][0])]
+        if rest:
+            chosen.append(max(rest, key=lambda i: (left[i], -i)))
+            rest.remove(chosen[-1])
+    return chosen
 
 
 def classify(sets: list[Search], params: MapParams) -> tuple[list[Search], int, list[int]]:
@@ -239,26 +244,54 @@ def together(searches: dict[int, object], params: MapParams) -> dict[int, object
     return done
 
 
-def _aligned(table: pa.Table, params: MapParams, schema: pa.Schema) -> pa.Table:
-    by_query: dict[int, dict] = {}
-    for row in table.to_pylist():
-        q = by_query.setdefault(row["qid"], {"seq": row["qseq"], "rounds": {}})
-        search = Search(row["rid"], row["plen"], [(s["r"], s["q"]) for s in row["seeds"]], codes_of(row["slice"]), row["slice_start"], row["ref_end"])
-        q["rounds"].setdefault(row["round"], []).append((row["cid"], search))
+def _aligned(batch: dict[int, tuple[str, dict[tuple[int, int], dict]]], params: MapParams, schema: pa.Schema) -> pa.RecordBatch:
+    """The alignments of some queries; for each its sequence and, by round and number, its chains with their slices."""
+    codes, running = {}, {}
+    for qid, (seq, chains) in batch.items():
+        by_round: dict[int, list[Search]] = {}
+        for (i, _), c in sorted(chains.items()):
+            seeds = [(x["r"], x["q"]) for x in c["seeds"]]
+            by_round.setdefault(i, []).append(Search(c["rid"], c["plen"], seeds, codes_of("".join(c["parts"])), c["slice_start"], c["ref_end"]))
+        codes[qid] = codes_of(seq)
+        running[qid] = map_query(codes[qid], by_round, params)
     rows = []
-    codes = {qid: codes_of(q["seq"]) for qid, q in by_query.items()}
-    runs_ = {qid: map_query(codes[qid], {i: [s for _, s in sorted(x, key=lambda y: y[0])] for i, x in q["rounds"].items()}, params) for qid, q in by_query.items()}
-    for qid, (sets, n_uniq, quality) in sorted(together(runs_, params).items()):
+    shown = params.format == "maf"
+    for qid, (sets, n_uniq, quality) in sorted(together(running, params).items()):
         query = codes[qid]
         for aid, (s, mapq) in enumerate(zip(sets, quality, strict=True)):
             for seg, a in enumerate(s.found):
                 qs, qe = (len(query) - a.qe, len(query) - a.qs) if a.reverse else (a.qs, a.qe)
+                parts = (None, None)
+                if shown:
+                    oriented = complement_codes(query) if a.reverse else query
+                    parts = bases_of(s.slice_codes[a.rs - s.slice_start : a.re - s.slice_start]), bases_of(oriented[a.qs : a.qe])
                 rows.append((
                     qid, a.rid, aid, seg, int(a.reverse), a.rs, a.re, qs, qe, a.score, a.identity, a.diagonals, a.matches, a.gaps_r, a.gaps_q,
-                    [{"op": op, "len": n} for op, n in runs(a.path)], a.md, s.score, aid < n_uniq, len(sets), n_uniq, mapq, a.clipped,
+                    [{"op": op, "len": n} for op, n in runs(a.path)], a.md, s.score, aid < n_uniq, len(sets), n_uniq, mapq, a.clipped, *parts,
                 ))
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema.names)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema.names)
+
+
+def tiles(refs: DataFrame, size: int = TILE) -> DataFrame:
+    """rid, tile (its number) and bases of references (rid, circular, seq); a circular one goes round twice."""
+
+    def run(batches):
+        for batch in batches:
+            rids, numbers, texts, n = [], [], [], 0
+            for rid, ring, seq in zip(*(batch.column(i) for i in range(3)), strict=True):
+                text = seq.as_py() * (2 if ring.as_py() else 1)
+                for at in range(0, len(text), size):
+                    rids.append(rid.as_py())
+                    numbers.append(at // size)
+                    texts.append(text[at : at + size])
+                    n += size
+                    if n >= BATCH_BASES:
+                        yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())], ["rid", "tile", "bases"])
+                        rids, numbers, texts, n = [], [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())], ["rid", "tile", "bases"])
+
+    return refs.select(F.col("rid").cast("long").alias("rid"), F.coalesce("circular", F.lit(False)).alias("circular"), "seq").mapInArrow(run, "rid long, tile long, bases string")
 
 
 def map_queries(queries: DataFrame, index: Index, params: MapParams | None = None) -> DataFrame:
@@ -276,36 +309,57 @@ def map_queries(queries: DataFrame, index: Index, params: MapParams | None = Non
         seeds = seeds.join(turns, "rid", "left").withColumn("turn", F.coalesce("turn", F.lit(0)))
     chains = chain_seeds(seeds, len(index.occ), params.window, params.gap)
     chains = chains.where(F.col("plen") * F.lit(params.coefficient) >= 2.0 * params.min_score)
-    r = index.refs.select(F.col("rid").cast("long").alias("rid"), "circular", F.col("len").cast("long").alias("ref_len"), F.col("seq").alias("ref_seq"))
-    with_query = chains.join(q.withColumnRenamed("seq", "qseq"), "qid")
-    size = F.length("qseq")
+    r = index.refs.select(F.col("rid").cast("long").alias("rid"), "circular", F.col("len").cast("long").alias("ref_len"))
+    size = F.col("size")
     margin = F.floor(F.lit(MARGIN) + F.lit(MARGIN_SHARE) * size)
     place = lambda x: F.when(x < 0, x + 1 + size).otherwise(x)  # noqa: E731  on the query as aligned
     low = F.col("r_first") - place(F.col("q_first")) - margin
     high = F.col("r_last") + (size - place(F.col("q_last"))) + margin
-    spans = with_query.withColumn("low", low).withColumn("high", high).join(r, "rid")
+    spans = chains.join(q.select("qid", F.length("seq").cast("long").alias("size")), "qid").join(r, "rid")
     end = F.when(F.col("circular"), F.col("ref_len") * 2).otherwise(F.col("ref_len"))
-    text = F.when(F.col("circular"), F.concat("ref_seq", "ref_seq")).otherwise(F.col("ref_seq"))
-    start = F.greatest(F.col("low"), F.lit(0))
-    sliced = spans.select(
-        "qid", "round", "cid", "rid", "plen", "seeds", "qseq", start.alias("slice_start"), end.alias("ref_end"),
-        F.substring(text, (start + 1).cast("int"), (F.least(F.col("high"), end) - start).cast("int")).alias("slice"),
-    )
-    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64("qid"), F.lit(max(n, 1))).cast("int")
+    spans = spans.select("qid", "round", "cid", "rid", "plen", "seeds", F.greatest(low, F.lit(0)).alias("slice_start"), F.least(high, end).alias("slice_end"), end.alias("ref_end"))
+    first, last = F.floor(F.col("slice_start") / TILE), F.floor((F.col("slice_end") - 1) / TILE)
+    pieces = spans.withColumn("tile", F.explode(F.sequence(first, last))).join(tiles(index.refs), ["rid", "tile"])
+    begin = F.greatest(F.col("slice_start") - F.col("tile") * TILE, F.lit(0))
+    stop = F.least(F.col("slice_end") - F.col("tile") * TILE, F.lit(TILE))
+    text = F.substring("bases", (begin + 1).cast("int"), (stop - begin).cast("int")).alias("text")
+    seeds_once = F.when(F.col("tile") == first, F.col("seeds")).alias("seeds")  # a chain's first piece brings them
+    pieces = pieces.select("qid", "round", "cid", "tile", "rid", "plen", seeds_once, "slice_start", "ref_end", text)
+    own = q.select("qid", F.lit(-1).alias("round"), F.col("seq").alias("text"))
+    rows = pieces.unionByName(own, allowMissingColumns=True).repartition("qid").sortWithinPartitions("qid", "round", "cid", "tile")
     schema = to_arrow_schema(StructType.fromDDL(ALIGNMENTS))
-    return sliced.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(lambda t: _aligned(t, params, schema), ALIGNMENTS)
+
+    def run(batches):
+        waiting, n, now = {}, 0, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["qid"] != now:
+                    if n >= BATCH_BASES:
+                        yield _aligned(waiting, params, schema)
+                        waiting, n = {}, 0
+                    now, seq, chains = row["qid"], None, {}
+                n += len(row["text"])
+                if row["round"] < 0:
+                    seq = row["text"]
+                    continue
+                if not chains:
+                    waiting[now] = (seq, chains)
+                known = chains.setdefault((row["round"], row["cid"]), row)
+                known.setdefault("parts", []).append(row["text"])
+        if waiting:
+            yield _aligned(waiting, params, schema)
+
+    return rows.select("qid", "round", "cid", "rid", "plen", "seeds", "slice_start", "ref_end", "text").mapInArrow(run, ALIGNMENTS)
 
 
 def described(alignments: DataFrame, queries: DataFrame, index: Index) -> DataFrame:
-    """Alignment rows with the names, lengths and sequences that the text formats need; ordinal is the query's place."""
+    """Alignment rows with the names and lengths that the text formats need, and the query; ordinal is the query's place.
+
+    The aligned parts of both (rpart, qpart), which MAF needs, come with the alignments if their parameters name that format.
+    """
     has = set(queries.columns)
     q = queries.select(F.col("qid").cast("long").alias("qid"), (F.col("name") if "name" in has else F.col("qid").cast("string")).alias("qname"), F.col("seq").alias("qseq"), F.length("seq").alias("qlen"), (F.col("qual") if "qual" in has else F.lit(None).cast("string")).alias("qual"), *(["tags"] if "tags" in has else []))
-    r = index.refs.select(F.col("rid").cast("long").alias("rid"), F.col("name").alias("rname"), F.col("len").alias("rlen"), F.col("seq").alias("rseq"), "circular")
+    r = index.refs.select(F.col("rid").cast("long").alias("rid"), F.col("name").alias("rname"), F.col("len").alias("rlen"))
     out = alignments.join(q, "qid").join(r, "rid").withColumn("ordinal", F.col("qid")).withColumn("gaps", F.col("gaps_r") + F.col("gaps_q"))
-    around = F.when(F.col("circular"), F.concat("rseq", "rseq")).otherwise(F.col("rseq"))
-    out = out.withColumn("rpart", F.substring(around, (F.col("rs") + 1).cast("int"), (F.col("re") - F.col("rs")).cast("int")))
-    part = F.substring("qseq", (F.col("qs") + 1).cast("int"), (F.col("qe") - F.col("qs")).cast("int"))
-    out = out.withColumn("qpart", F.when(F.col("strand") == 1, reverse_complement(part)).otherwise(part))
     second = F.max(F.when(F.col("aid") == 1, F.col("score"))).over(Window.partitionBy("qid"))
-    return out.withColumn("xs", F.coalesce(second, F.lit(0))).drop("rseq")
+    return out.withColumn("xs", F.coalesce(second, F.lit(0)))

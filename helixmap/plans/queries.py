@@ -281,12 +281,12 @@ def diagonal_bins(spark, sf_dir):
 
 @query(
     "chainable_pairs",
-    f"""WITH {SEEDS}, c AS (SELECT * FROM s WHERE round IS NOT NULL AND qid < 20)
+    f"""WITH {SEEDS}, c AS (SELECT * FROM s WHERE round IS NOT NULL)
     SELECT a.qid, a.rid, a.u AS u0, a.v AS v0, b.u AS u1, b.v AS v1 FROM c a JOIN c b ON a.qid = b.qid AND a.rid = b.rid AND b.v > a.v AND b.v <= a.v + 50 AND b.u >= a.u AND b.u <= a.u + 50""",
 )
 def chainable_pairs(spark, sf_dir):
     """The chaining window as a range join: u is cut into cells as wide as the window, and a seed meets its cell and the next."""
-    s = seeded(spark, sf_dir).where("qid < 20").select("qid", "rid", "u", "v").withColumn("cell", F.floor(F.col("u") / 50))
+    s = seeded(spark, sf_dir).select("qid", "rid", "u", "v").withColumn("cell", F.floor(F.col("u") / 50))
     a = s.select("qid", "rid", F.col("u").alias("u0"), F.col("v").alias("v0"), F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"))
     b = s.select("qid", "rid", F.col("u").alias("u1"), F.col("v").alias("v1"), "cell")
     inside = (F.col("v1") > F.col("v0")) & (F.col("v1") <= F.col("v0") + 50) & (F.col("u1") >= F.col("u0")) & (F.col("u1") <= F.col("u0") + 50)
@@ -502,24 +502,20 @@ def paf_records(spark, sf_dir):
     return _lines(spark, sf_dir, MapParams(format="paf", tags=("AS", "ID", "NM", "CG")))
 
 
-@query("conversations_mapped")
-def conversations_mapped(spark, sf_dir):
-    """Turns of conversations onto the documents: every turn of every conversation is a query."""
-    from helixmap.operators.mapping import map_queries
-
-    c = table(spark, sf_dir, "conversations").withColumn("qid", F.col("conv_id") * 10_000 + F.col("turn"))
-    return map_queries(bases(c, "qid", "qid"), _index(spark, sf_dir))
-
-
 # files: written to the session's shared folder, read back by the sources
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``, or in a temporary folder where a session has none (local mode)."""
+    """A new path in ``spark.checkpoint.dir``; only in local mode may a session have none, and a temporary folder serves."""
+    import re
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="helixmap-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="helixmap-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

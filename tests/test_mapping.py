@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from helixmap.functions.codec import codes_of
 from helixmap.operators import dp
 from helixmap.operators.index import build_index, read_index, thresholds
-from helixmap.operators.mapping import described, map_queries, uniques
+from helixmap.operators.mapping import described, map_queries, tiles, uniques
 from helixmap.plans.params import MapParams, Scoring
 from helixmap.sinks import formats
 from helixmap.sources.seqfile import read_sequences, sniff
@@ -195,6 +195,31 @@ def test_greedy_choice_of_unique_sets():
     assert uniques([(0, 100), (90, 300), (100, 180)]) == [0, 1] and uniques([(0, 100), (10, 90), (120, 200)]) == [0, 2]
 
 
+def test_unique_sets_match_counting_by_base():
+    r = random.Random(4)
+    for _ in range(300):
+        spans = [(a := r.randrange(60), a + r.randrange(1, 40)) for _ in range(r.randrange(1, 9))]
+        left, chosen, taken = list(range(1, len(spans))), [0], set(range(*spans[0]))
+        while True:
+            new = {i: len(set(range(*spans[i])) - taken) for i in left}
+            left = [i for i in left if new[i] and not 1.2 * new[i] < spans[i][1] - spans[i][0] - 1e-9]
+            if not left:
+                break
+            best = max(left, key=lambda i: (new[i], -i))
+            chosen.append(best)
+            taken |= set(range(*spans[best]))
+            left.remove(best)
+        assert uniques(spans) == chosen
+
+
+def test_tiles_give_back_the_references(spark):
+    refs = [(0, False, genome(1000, 31)), (1, True, genome(130, 32)), (2, None, ""), (3, False, genome(64, 33))]
+    rows = tiles(spark.createDataFrame(refs, "rid long, circular boolean, seq string"), 64).orderBy("rid", "tile").collect()
+    for rid, ring, seq in refs:
+        assert "".join(x.bases for x in rows if x.rid == rid) == seq * (2 if ring else 1)
+    assert all(len(x.bases) <= 64 for x in rows)
+
+
 def test_streaming(spark, world, tmp_path):
     index, queries, *_ = world
     queries.select("qid", "seq").write.parquet(str(tmp_path / "in"))

@@ -83,6 +83,33 @@ def link_circular(chains: list[tuple[int, list[int]]], rid: np.ndarray, u: np.nd
     return sorted(out, key=lambda x: -x[0])
 
 
+def by_query(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows dealt by qid and sorted by it, then by ``order``: over as many tasks as shuffles have, however few bytes they are.
+
+    What follows costs far more than its bytes tell, so partitions are not merged by size.
+    """
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, "qid").sortWithinPartitions("qid", *order)
+
+
+def whole_queries(batches):
+    """Tables of batches that are sorted by qid, so that none ends within a query."""
+    kept = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if kept is None else pa.concat_tables([kept, table])
+        qid = table.column("qid").to_numpy()
+        end = int(np.searchsorted(qid, qid[-1]))
+        if end:
+            yield table.slice(0, end)
+        kept = table.slice(end)
+    if kept is not None:
+        yield kept
+
+
 def chain_seeds(seeds: DataFrame, n_rounds: int, window: int, gap: int = 0, compat: bool = False) -> DataFrame:
     """The chains of every query and round; round i uses the seeds whose own round is at most i.
 
@@ -93,11 +120,12 @@ def chain_seeds(seeds: DataFrame, n_rounds: int, window: int, gap: int = 0, comp
     to the one before are left out.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        qid = table.column("qid")[0].as_py()
-        rid, r, q, u, v, own = (table.column(c).to_numpy() for c in ("rid", "rpos", "qpos", "u", "v", "round"))
+    names = ["qid", "round", "cid", "rid", "plen", "n_seeds", "r_first", "q_first", "r_last", "q_last", "seeds"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.struct([("r", pa.int64()), ("q", pa.int64())]))]
+
+    def of_query(qid: int, rid, r, q, u, v, own, turn) -> list[tuple]:
         order = np.lexsort((v, u, rid))
-        turns = {int(k): int(n) for k, n in zip(rid, table.column("turn").to_numpy(), strict=True) if n}
+        turns = {int(k): int(n) for k, n in zip(rid, turn, strict=True) if n} if turn.any() else {}
         rid, r, q, u, v, own = (x[order] for x in (rid, r, q, u, v, own))
         rows = []
         for i in range(n_rounds):
@@ -110,10 +138,15 @@ def chain_seeds(seeds: DataFrame, n_rounds: int, window: int, gap: int = 0, comp
                 s = at[members]
                 here = r[s] + np.where(np.arange(len(s)) < straight, 0, turns.get(int(rid[s[0]]), 0))
                 rows.append((qid, i, cid, int(rid[s[0]]), length, len(s), int(here[0]), int(q[s[0]]), int(here[-1]), int(q[s[-1]]), [{"r": int(a), "q": int(b)} for a, b in zip(here, q[s], strict=True)]))
-        names = ["qid", "round", "cid", "rid", "plen", "n_seeds", "r_first", "q_first", "r_last", "q_last", "seeds"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.struct([("r", pa.int64()), ("q", pa.int64())]))]
-        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        return rows
+
+    def run(batches):
+        for table in whole_queries(batches):
+            qid, *rest = (table.column(c).to_numpy() for c in ("qid", "rid", "rpos", "qpos", "u", "v", "round", "turn"))
+            edges = np.flatnonzero(np.diff(qid, prepend=qid[0] - 1, append=qid[-1] + 1))
+            rows = [row for a, b in zip(edges[:-1], edges[1:], strict=True) for row in of_query(int(qid[a]), *(x[a:b] for x in rest))]
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     rows = seeds.select(F.col("qid").cast("long").alias("qid"), F.col("rid").cast("long").alias("rid"), "rpos", "qpos", "u", "v", "round", (F.col("turn").cast("long") if "turn" in seeds.columns else F.lit(0).cast("long")).alias("turn"))
-    return rows.groupBy("qid").applyInArrow(run, CHAINS)
+    return by_query(rows).mapInArrow(run, CHAINS)

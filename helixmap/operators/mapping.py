@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from helixmap.functions.codec import bases_of, codes_of, complement_codes
-from helixmap.operators.chains import chain_seeds
+from helixmap.operators.chains import by_query, chain_seeds
 from helixmap.operators.dp import extend, mismatch_text, rescore, runs
 from helixmap.operators.index import Index
 from helixmap.operators.seeds import join_seeds
@@ -326,7 +326,7 @@ def map_queries(queries: DataFrame, index: Index, params: MapParams | None = Non
     seeds_once = F.when(F.col("tile") == first, F.col("seeds")).alias("seeds")  # a chain's first piece brings them
     pieces = pieces.select("qid", "round", "cid", "tile", "rid", "plen", seeds_once, "slice_start", "ref_end", text)
     own = q.select("qid", F.lit(-1).alias("round"), F.col("seq").alias("text"))
-    rows = pieces.unionByName(own, allowMissingColumns=True).repartition("qid").sortWithinPartitions("qid", "round", "cid", "tile")
+    rows = by_query(pieces.unionByName(own, allowMissingColumns=True), "round", "cid", "tile")
     schema = to_arrow_schema(StructType.fromDDL(ALIGNMENTS))
 
     def run(batches):

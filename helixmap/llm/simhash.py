@@ -185,7 +185,8 @@ def edit_and_compare(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     counts = rows.groupBy("fp").agg(F.count("*").alias("n"))
     asked = rows.where(F.pmod("doc_id", F.lit(QUERY_STEP)) == 0).select("fp").distinct()
     pairs = within_radius(asked, counts.select("fp"), radius)
-    near = pairs.join(counts.select("fp", "n").hint("merge"), "fp").groupBy("q").agg(F.sum("n").alias("n_near"))
+    # a side of its own, one row a query, so that the rows of a hot fingerprint can be split over tasks
+    near = cut(pairs.join(counts.select("fp", "n").hint("merge"), "fp").groupBy("q").agg(F.sum("n").alias("n_near")))
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     out = rows.join(near.withColumnRenamed("q", "fp").hint("merge"), "fp", "left")  # grows with the queries: never sent to all
     return out.select(

@@ -31,6 +31,8 @@ from helixmap.llm.common import cut, tidy, whole_text
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
+#: About how many pairs one copy of a hub's text serves: the hub of a hot bucket has many copies.
+COPY_PAIRS = 1_000
 #: Components of a signature; the bands use the first of them, the comparison of signatures all.
 SIZE = 384
 #: Standard deviations below the threshold's expectation at which a comparison of signatures gives up.
@@ -236,13 +238,19 @@ class Likeness:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """``pairs`` (a, a_id, b, b_id: digests and ids of documents that have them) with ``similar``.
+    """``pairs`` (a, a_id, b, b_id, n: digests, ids of documents that have them, size of their bucket) with ``similar``.
 
-    ``texts``: doc_id, digest, text. The texts of a are joined first; they are sorted by b before the likeness.
+    ``texts``: doc_id, digest, text; a row of each is used, however often it repeats. The texts of a are joined first, the
+    text of b has copies by the size of the bucket; pairs are sorted by b before the likeness.
     """
-    own = texts.select(F.col("doc_id").alias("a_id"), F.col("digest").alias("a"), F.col("text").alias("a_text"))
-    other = texts.select(F.col("doc_id").alias("b_id"), F.col("digest").alias("b"), F.col("text").alias("b_text"))
-    both = pairs.join(own, ["a_id", "a"]).join(other, ["b_id", "b"]).select("a", "b", "a_text", "b_text")
+    pairs = pairs.groupBy("a", "a_id", "b", "b_id").agg(F.ceil(F.max("n") / COPY_PAIRS).cast("int").alias("copies"))
+    one = texts.groupBy("doc_id", "digest").agg(F.first("text").alias("text"))
+    copies = pairs.groupBy(F.col("b_id").alias("doc_id"), F.col("b").alias("digest")).agg(F.max("copies").alias("copies"))
+    other = one.join(copies, ["doc_id", "digest"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    other = other.select(F.col("doc_id").alias("b_id"), F.col("digest").alias("b"), "copy", F.col("text").alias("b_text"))
+    own = one.select(F.col("doc_id").alias("a_id"), F.col("digest").alias("a"), F.col("text").alias("a_text"))
+    dealt = pairs.withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int"))
+    both = dealt.join(own, ["a_id", "a"]).join(other, ["b_id", "b", "copy"]).select("a", "b", "a_text", "b_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         like = Likeness()
@@ -259,15 +267,15 @@ def links(sketches: DataFrame, docs: DataFrame, threshold: float) -> DataFrame |
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
     classes = sketches.where("keys is not null").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("doc_id"), F.first("keys").alias("keys"))
     rows = classes.select("digest", "doc_id", F.posexplode("keys").alias("band", "key"))
-    shared = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = cut(rows.join(shared, ["band", "key"]))
+    shared = cut(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))  # sides of their own, so that a hot
+    rows = cut(rows.join(shared, ["band", "key"]))  # bucket's rows can be split over tasks
     if rows.isEmpty():
         return None
     degree = rows.groupBy("digest").agg(F.sum("n").alias("degree"))
     hubs = rows.join(degree, "digest").groupBy("band", "key").agg(F.max(F.struct("degree", "digest", "doc_id")).alias("h"))
-    hubs = hubs.select("band", "key", F.col("h.digest").alias("b"), F.col("h.doc_id").alias("b_id"))
-    spokes = cut(rows.join(hubs, ["band", "key"]).where("digest <> b").select("band", "key", F.col("digest").alias("a"), F.col("doc_id").alias("a_id"), "b", "b_id"))
-    done = cut(verify(spokes.select("a", "a_id", "b", "b_id").distinct(), texts, threshold))
+    hubs = cut(hubs.select("band", "key", F.col("h.digest").alias("b"), F.col("h.doc_id").alias("b_id")))
+    spokes = cut(rows.join(hubs, ["band", "key"]).where("digest <> b").select("band", "key", F.col("digest").alias("a"), F.col("doc_id").alias("a_id"), "b", "b_id", "n"))
+    done = cut(verify(spokes.select("a", "a_id", "b", "b_id", "n"), texts, threshold))
     good = done.where("similar").select("a", "b")
     failed = done.where(~F.col("similar")).select("a", "b")
     if failed.isEmpty():
@@ -275,7 +283,7 @@ def links(sketches: DataFrame, docs: DataFrame, threshold: float) -> DataFrame |
 
     label = components(good).withColumnRenamed("node", "digest")
     lost = cut(spokes.join(failed, ["a", "b"]).select("band", "key", F.col("a").alias("digest"), F.col("a_id").alias("doc_id")))
-    near = rows.join(lost.select("band", "key").distinct(), ["band", "key"], "left_semi").select("band", "key", "digest", "doc_id")
+    near = rows.join(lost.select("band", "key").distinct(), ["band", "key"], "left_semi").select("band", "key", "digest", "doc_id", "n")
     near = near.join(lost.select("band", "key", "digest", F.lit(True).alias("lost")), ["band", "key", "digest"], "left")
     of = near.select("digest").distinct().join(sketches.select("digest", "keys", "bits").dropDuplicates(["digest"]), "digest").join(label, "digest", "left")
     of = of.select("digest", "keys", "bits", F.coalesce("label", "digest").alias("label"))
@@ -286,8 +294,8 @@ def links(sketches: DataFrame, docs: DataFrame, threshold: float) -> DataFrame |
     once = (F.col("l.digest") != F.col("r.digest")) & (~F.col("r.lost") | (F.col("l.digest") > F.col("r.digest")))
     a, b = col("label")
     close = (a != b) & (differing(*col("bits")) <= most_differing(threshold)) & ~met_before(*col("keys"), F.col("l.band"))
-    pairs = left.join(right, same & once & close).select(F.col("l.digest").alias("a"), F.col("l.doc_id").alias("a_id"), F.col("r.digest").alias("b"), F.col("r.doc_id").alias("b_id"))
-    pairs = pairs.distinct().join(failed, ["a", "b"], "left_anti")
+    pairs = left.join(right, same & once & close).select(F.col("l.digest").alias("a"), F.col("l.doc_id").alias("a_id"), F.col("r.digest").alias("b"), F.col("r.doc_id").alias("b_id"), F.col("l.n").alias("n"))
+    pairs = pairs.join(failed, ["a", "b"], "left_anti")
     more = cut(verify(pairs, texts, threshold)).where("similar").select("a", "b")
     return good.unionByName(more)
 

@@ -217,6 +217,32 @@ def test_bagminhash_classes_match_brute_force(spark):
     assert bagminhash.groups(empty(spark)).count() == 0 and bagminhash.dedup(empty(spark)).count() == 0
 
 
+def test_bagminhash_verifies_a_pair_once_however_often_its_rows_repeat(spark):
+    rows = [(1, prose(200, 1)), (2, prose(200, 1) + " end")] * 300 + [(None, prose(60, 5))] * 40
+    docs = spark.createDataFrame(rows, SCHEMA)
+    text = bagminhash.whole_text()
+    texts = docs.select("doc_id", bagminhash.F.md5(text.cast("binary")).alias("digest"), text.alias("text"))
+    ids = {r.doc_id: r.digest for r in texts.distinct().collect()}
+    pairs = spark.createDataFrame([(ids[1], 1, ids[2], 2, 5_000), (ids[1], 1, ids[2], 2, 2)], "a string, a_id long, b string, b_id long, n long")
+    pairs = pairs.withColumn("a", pairs.a.cast("binary")).withColumn("b", pairs.b.cast("binary"))
+    done = bagminhash.verify(pairs, texts.withColumn("digest", texts.digest.cast("binary")), 0.8)
+    assert [r.similar for r in done.collect()] == [True]
+    got = Counter((r.doc_id, r.class_id, r.class_size) for r in bagminhash.groups(docs).collect())
+    assert got == Counter({(1, 1, 600): 300, (2, 1, 600): 300, (None, None, 40): 40})
+    assert bagminhash.dedup(docs).count() == 2
+
+
+def test_bagminhash_hot_bucket(spark):
+    r, base = random.Random(2), prose(120, 9).split()
+    rows = []
+    for i in range(400):  # near copies of one text, each with one edit of its own
+        w = list(base)
+        w[r.randrange(len(w))] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    got = bagminhash.groups(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(x.class_id, x.class_size) for x in got} == {(0, 400)}
+
+
 def test_bagminhash_estimates_weighted_jaccard():
     r = np.random.default_rng(3)
     element = r.integers(0, 1 << 63, 60).astype(np.uint64)

@@ -326,6 +326,9 @@ def covered_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return cut(aligned.groupBy("key", "digest").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.sort_array(F.collect_set("home_id")).alias("partners")))
 
 
+ADDED = ["kept_chars", "removed_lines", "removed_words", "removed_text", "partners"]
+
+
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with its text cut, and kept_chars, removed_lines, removed_words, removed_text and partners added.
 
@@ -339,13 +342,12 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     document that has fewer of its words. A word at a block's end may go wrongly with a chance of 1 in 65,536, as 16 bits
     of its hash are compared.
     """
-    added = ["kept_chars", "removed_lines", "removed_words", "removed_text", "partners"]
-    docs = docs.drop(*added)
+    docs = docs.drop(*ADDED)
     key, digest, covered = fresh(docs, "__key", "__digest", "__covered")
     verdict = covered_words(docs.select("doc_id", "text"), min_words).select(F.col("key").alias(key), F.col("digest").alias(digest), F.col("covered").alias(covered), "partners")
     rows = docs.withColumn(key, _key("doc_id")).withColumn(digest, _digest())
     rows = rows.join(verdict, [key, digest], "left").drop(key, digest)
-    names = [*docs.columns, *added]
+    names = [*docs.columns, *ADDED]
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,3 +371,13 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in docs.columns] + ["kept_chars long", "removed_lines int", "removed_words int", "removed_text string", "partners array<long>"])
     return rows.select(*[f"`{c}`" for c in docs.columns], covered, "partners").mapInArrow(tidy(run), schema)
+
+
+def cut_texts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with its text cut, and n_chars, if there is one, following it; all other columns stay, whatever their names."""
+    own = fresh(docs, *(f"__own_{i}" for i in range(len(ADDED))))
+    away = {c: o for c, o in ((c, own[ADDED.index(c.lower())]) for c in docs.columns if c.lower() in ADDED)}
+    rows = dedup(docs.withColumnsRenamed(away), min_words)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.col("kept_chars")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.drop(*ADDED).withColumnsRenamed({o: c for c, o in away.items()}).select(*[f"`{c}`" for c in docs.columns])

@@ -31,8 +31,6 @@ class Targets:
     lang: dict[str, float] = field(default_factory=dict)
     topic: dict[str, float] = field(default_factory=dict)
     rounds: int = 50
-    #: Only ``mix_sql`` holds factors to this bound and its inverse; ``rake`` has none.
-    most: float = 16.0
 
 
 def token_count(text: Column) -> Column:
@@ -81,14 +79,18 @@ def rake(cells: dict[tuple[str, str, str], float], targets: Targets) -> dict[tup
     return {k: weight[k] / (v / total) if v else 1.0 for k, v in cells.items()}
 
 
+ADDED = ["topic", "tokens", "probability", "draw", "kept"]
+
+
 def mix(docs: DataFrame, targets: Targets, seed: int = 11) -> DataFrame:
     """``docs`` with topic, tokens, probability, draw and kept of each row (in this order, after its own columns).
 
     ``docs`` has doc_id, text, source and lang; columns that bear one of the added names are replaced. Null sources
-    and languages count as other; null and empty texts have no tokens and keep their cell's probability; a null
-    doc_id draws by the text. Rows that repeat a doc_id and a text are kept or dropped together. An empty table gives no rows.
+    and languages count as other; null and empty texts have no tokens and keep their cell's probability; texts may be of
+    any length; a null doc_id draws by the text. Rows that repeat a doc_id and a text are kept or dropped together. Factors
+    that tie give equal probabilities. An empty table gives no rows.
     """
-    docs = docs.drop("topic", "tokens", "probability", "draw", "kept")
+    docs = docs.drop(*ADDED)
     s, c, t, p = fresh(docs, "__source", "__lang", "__topic", "__factor")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumn("topic", topic_of(text)).withColumn("tokens", token_count(text))
@@ -101,7 +103,15 @@ def mix(docs: DataFrame, targets: Targets, seed: int = 11) -> DataFrame:
     key = F.when(F.col("doc_id").isNull(), text).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}")))
     draw = F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     out = rows.join(table, [s, c, t], "left").withColumn("probability", F.coalesce(F.col(p), F.lit(1.0))).withColumn("draw", draw).withColumn("kept", F.col("draw") < F.col("probability"))
-    return out.select(*[f"`{x}`" for x in docs.columns], "topic", "tokens", "probability", "draw", "kept")
+    return out.select(*[f"`{x}`" for x in docs.columns], *ADDED)
+
+
+def sample(docs: DataFrame, targets: Targets, seed: int = 11) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` keeps, with all their own columns, whatever their names."""
+    own = fresh(docs, *(f"__own_{i}" for i in range(len(ADDED))))
+    away = {c: o for c, o in ((c, own[ADDED.index(c.lower())]) for c in docs.columns if c.lower() in ADDED)}
+    rows = mix(docs.withColumnsRenamed(away), targets, seed).where("kept").drop(*ADDED)
+    return rows.withColumnsRenamed({o: c for c, o in away.items()}).select(*[f"`{c}`" for c in docs.columns])
 
 
 #: Production targets: every source of the corpus alike, languages and topics near their natural shares.
@@ -148,7 +158,7 @@ WITH RECURSIVE rows AS (
   FROM fit JOIN goal ON axis = step % 3 AND label = CASE step % 3 WHEN 0 THEN s WHEN 1 THEN l ELSE t END
   WHERE step < {3 * targets.rounds}
 ), factors AS (
-  SELECT c.s, c.l, c.t, least(greatest(coalesce(f.w / o.w, 1.0), 1.0 / {targets.most}), {targets.most}) AS factor
+  SELECT c.s, c.l, c.t, coalesce(f.w / o.w, 1.0) AS factor
   FROM cells c LEFT JOIN (SELECT * FROM fit WHERE step = {3 * targets.rounds}) f USING (s, l, t) LEFT JOIN shares o USING (s, l, t)
 ), chances AS (
   SELECT s, l, t, round(factor / (SELECT max(factor) FROM factors), 12) AS p FROM factors

@@ -1,8 +1,8 @@
 """Toxicity by a small bidirectional gated recurrent network, trained and run in numpy.
 
 A word enters as its own hashed embedding beside the mean of its hashed character n-grams' embeddings, so a word that
-was never seen is read by its parts. A word of more than 64 bytes, as in writing without spaces, enters in pieces. Two gated recurrent layers run over a window, forward and backward; attention
-pools their states to one logit. A text is read whole in windows that overlap by half; its logit is that of its worst
+was never seen is read by its parts. A word of more than 64 bytes, as in writing without spaces, enters in pieces. Two
+gated recurrent layers run over a window, forward and backward; attention pools their states to one logit. A text is read whole in windows that overlap by half; its logit is that of its worst
 window, mapped to a probability by a logistic fit on labelled documents that training didn't use.
 
 Labels hold for documents, not for windows: training begins with windows at random and goes on with each document's
@@ -22,11 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmap.llm.common import tidy, whole_text
+from helixmap.llm.common import inline, tidy, whole_text
 
 WINDOW, STRIDE = 32, 16
 #: Training uses at most so many labelled documents of each label, least hash of the doc_id first.
 SAMPLE_DOCS = 1_500
+#: And at most so many bytes of text, in the same order; a document counts whole or not at all.
+SAMPLE_BYTES = 64 << 20
 WORD_ROWS, CHAR_ROWS, WORD_DIM, CHAR_DIM, HIDDEN = 8_192, 16_384, 8, 8, 8
 NGRAMS = (3, 4, 5)
 ROUNDS, FIRST_ROUNDS, BATCH, RATE = 14, 4, 64, 0.01
@@ -402,24 +404,34 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5, F.lit(0)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network:
-    """Trains on at most ``sample_docs`` labelled documents of each label that aren't held out."""
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Network:
+    """Trains on at most ``sample_docs`` labelled documents of each label, and ``sample_bytes``, that aren't held out.
+
+    A document that any of its labels calls toxic is toxic. Rows without an id or a label are left aside; of rows that
+    repeat an id each different text counts. Sizes come to the driver first, then the texts that are chosen.
+    """
     order = F.md5(F.col("doc_id").cast("string"))
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     sample = rows.where("toxic = 1").orderBy(order).limit(sample_docs).unionByName(rows.where("toxic = 0").orderBy(order).limit(sample_docs))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    got = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in texts.join(F.broadcast(sample), "doc_id").collect()})
-    got.sort(key=lambda r: xxhash.xxh3_64_intdigest(str(r[0]).encode()))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), F.xxhash64(whole_text()).alias("digest"))
+    found = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "digest").agg(F.max(F.octet_length("text")).alias("size"), F.max("toxic").alias("toxic"))
+    chosen, size = {}, 0
+    for r in sorted(found.orderBy(order, "digest").limit(2 * sample_docs).collect(), key=lambda r: (xxhash.xxh3_64_intdigest(str(r["doc_id"]).encode()), r["digest"])):
+        if size + r["size"] <= sample_bytes:
+            chosen[r["doc_id"], r["digest"]] = r["toxic"]
+            size += r["size"]
+    few = inline(docs.sparkSession, [{"doc_id": i, "digest": d} for i, d in chosen], "doc_id long, digest long")
+    text_of = {(r["doc_id"], r["digest"]): r["text"] for r in texts.join(F.broadcast(few), ["doc_id", "digest"]).groupBy("doc_id", "digest").agg(F.first("text").alias("text")).collect()}
     share = {k: counts.get(k, 0) / max(1, min(counts.get(k, 0), sample_docs)) for k in (0, 1)}
-    return train([r[1] for r in got], [r[2] for r in got], (share[0] or 1.0, share[1] or 1.0))
+    return train([text_of[k] for k in chosen], list(chosen.values()), (share[0] or 1.0, share[1] or 1.0))
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:
     """doc_id, held_out, score and predicted of every row, from its whole text alone.
 
-    A null or empty text is one window without words; it has a score too. Repeated rows are scored as often as they
-    occur; an empty table gives no rows; extra columns are ignored.
+    A null or empty text is one window without words; it has a score too. Texts may be of any length, as may words. Repeated
+    rows are scored as often as they occur, equal texts alike; an empty table gives no rows; extra columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +444,7 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, network: Network) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below one half."""
+    """The rows of ``docs``, all columns, whose score is below one half; null texts count as empty, repeated rows each."""
     names = docs.columns
     at = names.index("text")
 

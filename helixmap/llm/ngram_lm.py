@@ -272,15 +272,16 @@ def score_corpus(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Scores every whole text; learns from the documents whose crc32(doc_id as text) mod 10 isn't 0.
 
     Null and empty texts are one end token. Rows without a doc_id are held out; repeated rows count, and are scored, as
-    often as they occur. Without training documents every probability is that of order zero. An empty table gives no
-    rows; extra columns are ignored.
+    often as they occur. Documents are dealt by id and text, so one id with many texts makes no large chunk; a chunk holds
+    whole texts, the longest of any length. Without training documents every probability is that of order zero. An
+    empty table gives no rows; extra columns are ignored.
     """
     text = whole_text()
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_chunks = max(2 * SET_ASIDE, math.ceil(size / chunk_bytes))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10, F.lit(0)) == 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), text.alias("text"))
-    chunk = F.pmod(F.xxhash64(F.lit("chunk"), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(n_chunks)).cast("long")
+    chunk = F.pmod(F.xxhash64(F.lit("chunk"), F.col("doc_id"), F.col("text")), F.lit(n_chunks)).cast("long")
     chunked = rows.withColumn("chunk", chunk).withColumn("train", (~F.col("held_out")).cast("int"))
     answers = cut(replies(requests(chunked, n_chunks)))
     total = answers.where("kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_distinct", "n_train", "n_aside")]).first()

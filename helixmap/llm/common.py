@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import inspect
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -20,17 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only where the session names none (a test in local mode) is a temporary one made.
+    Only in local mode may a session name none: then a temporary one is made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = getattr(spark.sparkContext, "_helixmap_shared", None)
-        if base is None:
+        sc = spark.sparkContext
+        known = sc._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            base = known.get()
+        elif re.match(r"local(\[|$)", sc.master):
             base = "file://" + tempfile.mkdtemp(prefix="helixmap-")
-            spark.sparkContext._helixmap_shared = base
-            spark.sparkContext.setCheckpointDir(base)
+            sc.setCheckpointDir(base)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return base.rstrip("/")
 
 

@@ -2,8 +2,8 @@
 
 A batch is a table of signed events. Committing it sums the events to one row a group and writes that small table
 under the batch's id; Spark's own success marker, written last, is the commit. A batch whose marker is there is not
-written again, so a repeated commit changes nothing, and one that died half-way is overwritten. Totals are the sum
-over the committed batches, or over a snapshot of some and the rest.
+written again, so a repeated commit changes nothing, whatever its events, and one that died half-way is overwritten. Totals
+are the sum over all committed batches, each of which has one row a group.
 """
 
 from __future__ import annotations
@@ -80,7 +80,11 @@ def revisions(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, vocabularies: list[str], folder: str | None = None) -> DataFrame:
-    """doc_id, source, lang, text_md5, n_bytes and ``tokens``, an array by vocabulary, of every whole text."""
+    """doc_id, source, lang, text_md5, n_bytes and ``tokens``, an array by vocabulary, of every whole text.
+
+    A null text is empty and has no tokens; each repeated row is counted; null ids and labels stay null; extra columns are
+    ignored; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -139,6 +140,19 @@ def test_stages_keep_the_columns_of_documents(spark, folder):
     assert docs.where("text is not null and n_chars <> length(text)").count() == 0
 
 
+def test_stages_keep_columns_whose_names_they_use(spark, folder):
+    names = ["topic", "Tokens", "draw", "kept", "kept_chars", "partners", "removed_text", "digest", "_row", "__own_0", "bucket"]
+    docs = spark.read.parquet(folder + "/documents.parquet").where("doc_id < 60")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, folder)
+        assert after.columns == docs.columns and after.dtypes == docs.dtypes, name
+        for r in after.collect():
+            assert [r[c] for c in names] == [f"{c}-{r.doc_id}" for c in names], name
+        docs = after
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() > 0
+
+
 def test_empty_corpus(spark, folder, tmp_path):
     spark.read.parquet(folder + "/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(folder + "/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))

@@ -58,6 +58,62 @@ def test_language_model(spark):
     assert ngram_lm.score_corpus(empty(spark)).count() == 0
 
 
+def test_language_model_scores_match_a_plain_model(spark):
+    rows = [(i, prose(3 + i % 40, 300 + i % 90) + (" Rare%d" % i if i % 3 == 0 else "")) for i in range(200)] + [(None, "no id"), (500, None), (501, ""), (7, "seven again"), (7, "seven again")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    f = bagminhash.F
+    dealt = docs.select("doc_id", f.coalesce("text", f.lit("")).alias("text")).withColumn("aside", f.pmod(f.xxhash64(f.lit("chunk"), "doc_id", "text"), f.lit(20)) % 10 == 0).collect()
+    docs_of = []
+    for r in dealt:
+        words = [w for w in re.split("[\\x20\\x09-\\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in r.text)) if w]
+        held = r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 10 == 0
+        docs_of.append((r.doc_id, r.text, ["", *words, ""], held, r.aside))
+
+    def counted(which):
+        one, two = Counter(), Counter()
+        for _, _, words, held, aside in docs_of:
+            if not held and which(aside):
+                one.update(words[1:])
+                two.update(zip(words[:-1], words[1:], strict=True))
+        return one, two
+
+    one, two = counted(lambda aside: True)
+    n, v = sum(one.values()), len(one)
+    level = lambda x: round(math.log2(x) * 4) if x > 0 else None
+    of = lambda c: c.bit_length()
+    rest_one, rest_two = counted(lambda aside: not aside)
+    left = sum(rest_one.values())
+    seen = defaultdict(Counter)
+    for _, _, words, held, aside in docs_of:
+        if not held and aside:
+            for u, w in zip(words[:-1], words[1:], strict=True):
+                c = rest_one[u]
+                seen[of(c)][level(rest_two[u, w] / max(c, 1) * (v + 1)), level(rest_one[w] / left * (v + 1))] += 1
+    weights = {}
+    for b, table in seen.items():
+        x = [1 / 3] * 3
+        for _ in range(100):
+            sums = [0.5] * 3
+            for (p, q), k in table.items():
+                parts = [x[0] * 2 ** (p / 4) if p is not None else 0, x[1] * 2 ** (q / 4) if q is not None else 0, x[2]]
+                for i in range(3):
+                    sums[i] += k * parts[i] / sum(parts)
+            x = [y / sum(sums) for y in sums]
+        weights[b] = x
+    nearest = {b: weights[min(weights, key=lambda k: (abs(k - b), k))] for b in range(20)}
+    nearest[0] = [0, nearest[0][1] / sum(nearest[0][1:]), nearest[0][2] / sum(nearest[0][1:])]
+    want = Counter()
+    for i, text, words, held, _ in docs_of:
+        score = 0.0
+        for u, w in zip(words[:-1], words[1:], strict=True):
+            a, b, c = nearest[of(one[u])]
+            score += math.log10(a * two[u, w] / max(one[u], 1) + b * one[w] / n + c / (v + 1))
+        base = sum(math.log10((one[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words[1:])
+        want[i, held, len(words) - 1, sum(one[w] > 0 for w in words[1:]), n, round(base, 6), round(score, 5)] += 1
+    got = ngram_lm.score_corpus(docs).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 5)) for r in got) == want
+
+
 def test_language_model_probabilities_sum_to_one():
     own, pair, before = np.array([3.0, 1, 0]), np.array([2.0, 1, 0]), np.array([3.0, 3, 3])
     two, one, zero = ngram_lm.estimates(own, pair, before, 4, 2)  # a vocabulary of two words and the unknown one
@@ -286,6 +342,71 @@ def test_toxicity(spark):
     assert {x.score for x in toxicity.score(docs, nothing).collect()} == {0.5}
 
 
+def plain_score(network, text):
+    """One word, one window, one step at a time, in double precision."""
+    p = {k: v.astype(np.float64) for k, v in network.p.items()}
+    mask, times = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def vector(word):
+        marked = b"<" + toxicity.core(word).encode() + b">"
+        grams = []
+        for size in (3, 4, 5):
+            for i in range(len(marked) - size + 1):
+                h = size
+                for c in marked[i : i + size]:
+                    h = (h * times + c + 1) & mask
+                h = ((h ^ (h >> 29)) * times) & mask
+                grams.append(p["char"][(h >> 40) % toxicity.CHAR_ROWS])
+        return np.concatenate([p["word"][xxhash.xxh3_64_intdigest(marked) % toxicity.WORD_ROWS], np.mean(grams, axis=0)])
+
+    words = toxicity.words_of(text)
+    best = -np.inf
+    for at in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        inputs = [vector(w) for w in words[at : at + toxicity.WINDOW]]
+        att, out = np.zeros(toxicity.WINDOW), np.zeros(toxicity.WINDOW)
+        for side in "fb":
+            h = np.zeros(toxicity.HIDDEN)
+            for t in range(toxicity.WINDOW) if side == "f" else reversed(range(toxicity.WINDOW)):
+                gate = lambda g: (inputs[t] @ p[f"{side}x{g}"] if t < len(inputs) else 0) + p[f"{side}c{g}"]  # noqa: E731, B023
+                z, r = (1 / (1 + np.exp(-(gate(g) + h @ p[f"{side}h{g}"]))) for g in "zr")
+                c = np.tanh(gate("n") + r * (h @ p[f"{side}hn"]))
+                h = z * h + (1 - z) * c
+                att[t] += h @ p[f"{side}_att"]
+                out[t] += h @ p[f"{side}_out"]
+        n = len(inputs) or toxicity.WINDOW
+        share = np.exp(att[:n] - att[:n].max())
+        best = max(best, share @ out[:n] / share.sum() + p["out_b"][0])
+    return 1 / (1 + np.exp(-(network.scale * best + network.shift)))
+
+
+def test_toxicity_scores_match_plain_windows():
+    network = toxicity.Network.fresh(4)
+    network.scale, network.shift = 1.7, -0.3
+    r = np.random.default_rng(8)
+    for k in network.p:
+        if k[1] == "c":
+            network.p[k] = r.standard_normal(network.p[k].shape).astype(np.float32)
+    texts = ["one", prose(32, 1), prose(33, 2), prose(48, 3), prose(49, 4), prose(200, 5), "\u65e5\u672c\u8a9e" * 40, "a_b" * 60 + " end", "!!! ... x", prose(31, 6) + " \n"]
+    got = toxicity.Reader(network).score(texts)
+    assert np.abs(got - [plain_score(network, t) for t in texts]).max() < 2e-5
+
+
+def test_toxicity_labels_that_conflict_and_the_bound_of_bytes(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 50) for i in range(60)], SCHEMA)
+    labels = [(i, int(i % 2)) for i in range(60)]
+    marks = spark.createDataFrame(labels + [(i, 0) for i in range(60)], "doc_id long, toxic int")
+    seen = {}
+    original = toxicity.train
+    try:
+        toxicity.train = lambda texts, own, weights: seen.update(texts=texts, labels=own, weights=weights) or original(texts, own, weights)
+        toxicity.fit(docs, marks.repartition(5), sample_bytes=10_000)
+    finally:
+        toxicity.train = original
+    learnt = [int(t.split()[0].removeprefix("word")) for t in seen["texts"]]
+    assert 0 < sum(map(len, seen["texts"])) <= 10_000 and [i % 2 for i in learnt] == seen["labels"]
+    assert all(zlib.crc32(str(i).encode()) % 5 for i in learnt)
+
+
 def test_toxicity_gradients():
     n = toxicity.Network.fresh(1)
     n.p = {k: v.astype(np.float64) for k, v in n.p.items()}

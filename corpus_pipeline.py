@@ -1,13 +1,17 @@
 """The pipeline from raw documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; ``run`` writes it as Parquet in the shared folder and
-reads it again as the next stage's docs. All stages but the last return the columns of documents.
+reads it again as the next stage's docs. All stages but the last return the columns of documents, and columns that a table
+has besides keep their names and values.
+
+Null and empty texts pass all stages (they are near copies of each other, so one of each stays); rows without an id count
+as the earliest in line dedup and as the last among near copies; rows that repeat are near copies. Texts may be of any
+length. An empty table gives no pieces.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from helixmap.llm import bagminhash, line_dedup, mixing, packing, toxicity
 from helixmap.llm.common import shared_folder, table
@@ -19,11 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the blocks of lines that an earlier one has; n_chars follows the text."""
-    rows = line_dedup.dedup(docs)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.col("kept_chars")).otherwise(F.col("n_chars")))
-    return rows.select(*[f"`{c}`" for c in docs.columns])
+    """All documents, without the passages that an earlier one has; n_chars follows the text."""
+    return line_dedup.cut_texts(docs)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of the documents, drawn so that token weights meet the targets."""
-    return mixing.mix(docs, mixing.PRODUCTION).where("kept").select(*[f"`{c}`" for c in docs.columns])
+    return mixing.sample(docs, mixing.PRODUCTION)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,19 @@ def quality_all_vs_all(length: Column) -> Column:
     """Mapping quality times 16 where every sequence is a query and a reference: the error is one over the length plus one."""
     error = F.lit(1.0) / (length + F.lit(1.0))
     return F.least(F.greatest(F.floor(F.lit(-160.0) * F.log10(error)), F.lit(0)), F.lit(QUALITY_MOST)).cast("int")
+
+
+def secondary_scores(df: DataFrame, query: str, score: str, is_uniq: str = "is_uniq") -> DataFrame:
+    """``query`` with the greatest, least and summed score of its secondary alignments; 0 where it has none."""
+    other = F.when(~F.col(is_uniq), F.col(score))
+    return df.groupBy(query).agg(*[F.coalesce(f(other), F.lit(0)).cast("long").alias(name) for f, name in ((F.max, "usc"), (F.min, "lsc"), (F.sum, "tsc"))])
+
+
+def error_of(mapq16: Column) -> Column:
+    """The probability that a quality times 16 stands for."""
+    return F.pow(F.lit(10.0), -mapq16 / F.lit(160.0))
+
+
+def combined_error(error: Column) -> Column:
+    """An aggregate: the chance that at least one of independent errors happens; exactly 1 where one is certain."""
+    return F.when(F.max(error) >= 1, F.lit(1.0)).otherwise(F.lit(1.0) - F.exp(F.sum(F.when(error < 1, F.log1p(-error)))))

@@ -448,7 +448,7 @@ def length_weighted_identity(spark, sf_dir):
     A small offset keeps exact halves from rounding by the order of the sum.
     """
     d = table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
-    return d.agg(F.round(F.sum(F.col("l_quantity") * F.col("l_discount")) / F.sum("l_quantity") + 1e-10, 8).alias("identity"), F.round(1 - F.exp(F.sum(F.log1p(-F.col("l_tax")))) + 1e-10, 8).alias("combined_error"), F.count("*").alias("n_aln"))
+    return d.agg(F.round(F.sum(F.col("l_quantity") * F.col("l_discount")) / F.sum("l_quantity") + 1e-10, 8).alias("identity"), F.round(ranking.combined_error(F.col("l_tax")) + 1e-10, 8).alias("combined_error"), F.count("*").alias("n_aln"))
 
 
 PARAMS = MapParams(k=15, w=10, codec="text2bit", scoring=Scoring(match=2, mismatch=4, gi=4, ge=2, xdrop=50), min_score=50)
@@ -573,6 +573,12 @@ def seed_extent(spark, sf_dir):
     return seeded(spark, sf_dir).groupBy("qid", "rid").agg(F.min("rpos").alias("lb"), F.max("rpos").alias("ub"), F.count("*").alias("n"), F.floor((1 - F.lit(1.0) / F.count("*")) * span).cast("long").alias("plen"))
 
 
+@query("secondary_scores", f"WITH {RANKED} SELECT qid, CAST(coalesce(max(n_seeds) FILTER (WHERE aid > 0), 0) AS BIGINT) AS usc, CAST(coalesce(min(n_seeds) FILTER (WHERE aid > 0), 0) AS BIGINT) AS lsc, CAST(coalesce(sum(n_seeds) FILTER (WHERE aid > 0), 0) AS BIGINT) AS tsc FROM k GROUP BY qid")
+def secondary_scores(spark, sf_dir):
+    """Of each item the greatest, least and summed score of all hits but the best."""
+    return ranking.secondary_scores(binned(spark, sf_dir).withColumn("is_uniq", F.col("aid") == 0), "qid", "n_seeds")
+
+
 @query("all_vs_all_quality", f"WITH {RANKED} SELECT qid, CAST(aid AS INTEGER) AS aid, CAST(least(greatest(floor(-160.0 * log10(1.0 / (greatest(n_seeds - xs, 0) + 1.0::DOUBLE))), 0), 960) AS INTEGER) AS mapq16 FROM k WHERE aid = 0")
 def all_vs_all_quality(spark, sf_dir):
     """The quality of table-against-itself mapping: the margin is not squared."""

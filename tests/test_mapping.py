@@ -245,7 +245,7 @@ def test_registered_queries_have_matching_sql(spark):
     con = duckdb.connect()
     for f in os.listdir(folder):
         con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{folder}/{f}'")
-    for name in ("minimizers", "index_filtered", "seed_join", "paf_lines", "sam_flags", "fasta_parse_text"):
+    for name in ("minimizers", "secondary_scores", "chainable_pairs", "index_filtered", "seed_join", "paf_lines", "sam_flags", "fasta_parse_text"):
         mine = queries[name](spark, folder)
         theirs = con.execute(sql[name])
         order = [d[0] for d in theirs.description]

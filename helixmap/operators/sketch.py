@@ -151,18 +151,39 @@ def _window(key: np.ndarray, pos: np.ndarray, w: int) -> tuple[np.ndarray, np.nd
     return least, where
 
 
-#: Bases that are sketched at once.
+#: Bases that are sketched at once, and of a part of a longer sequence.
 BLOCK_BASES = 1 << 17
+PART_BASES = 1 << 20
 
 
-def sketch(df: DataFrame, id_name: str, k: int, w: int, seq: str = "seq", circular: str | None = None, mixing: bool = False) -> DataFrame:
+def parts_of(seq: str, w: int, k: int, size: int) -> Iterator[tuple[int, int, int, str]]:
+    """Overlapping parts of a sequence: first position, the range of positions that are the part's own, and its bases.
+
+    A position's choice depends on the windows that it is in and the one before them, so a part goes on for a window and a
+    k-mer behind its range, and begins two windows before it, at a multiple of the window as local indexes need it.
+    """
+    step = max(1, size // w) * w
+    for low in range(0, len(seq), step):
+        begin = max(0, low - 2 * w)
+        yield begin, low, low + step, seq[begin : low + step + w + k]
+
+
+def sketch(df: DataFrame, id_name: str, k: int, w: int, seq: str = "seq", circular: str | None = None, mixing: bool = False, part_bases: int = PART_BASES) -> DataFrame:
     """(id, hash, pos, strand) of the minimizers of each row's sequence of base characters.
 
-    Null sequences and those shorter than k have none; k-mers with N are left out.
+    Null sequences and those shorter than k have none; k-mers with N are left out. Long sequences, unless they are
+    circular, are worked on in parts, so memory is bounded by a part and the sequence itself.
     """
     id_type = dict(df.dtypes)[id_name]
     schema = f"`{id_name}` {id_type}, hash long, pos int, strand int"
 
+    def long(id_: pa.Array, seq: str) -> Iterator[pa.RecordBatch]:
+        for begin, low, high, part in parts_of(seq, w, k, part_bases):
+            _, h, pos, strand = minimizers([codes_of(part)], k, w, None, mixing)
+            pos += begin
+            own = (pos >= low) & (pos < high)
+            yield pa.RecordBatch.from_arrays([id_.take(pa.array(np.zeros(int(own.sum()), np.int64))), pa.array(h[own]), pa.array(pos[own], pa.int32()), pa.array(strand[own], pa.int32())], [id_name, "hash", "pos", "strand"])
+
     def block(ids: pa.Array, seqs: list, flags: list) -> pa.RecordBatch:
         owner, h, pos, strand = minimizers([codes_of(s or "") for s in seqs], k, w, flags, mixing)
         return pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(h), pa.array(pos, pa.int32()), pa.array(strand, pa.int32())], [id_name, "hash", "pos", "strand"])
@@ -172,6 +193,12 @@ def sketch(df: DataFrame, id_name: str, k: int, w: int, seq: str = "seq", circul
             seqs, flags = batch.column(1).to_pylist(), [bool(x) for x in batch.column(2).to_pylist()]
             start, size = 0, 0
             for i, s in enumerate(seqs):
+                if s and len(s) > part_bases and not flags[i]:
+                    if start < i:
+                        yield block(batch.column(0).slice(start, i - start), seqs[start:i], flags[start:i])
+                    yield from long(batch.column(0).slice(i, 1), s)
+                    start, size = i + 1, 0
+                    continue
                 size += len(s or "")
                 if size >= BLOCK_BASES:
                     yield block(batch.column(0).slice(start, i + 1 - start), seqs[start : i + 1], flags[start : i + 1])

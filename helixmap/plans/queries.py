@@ -483,8 +483,11 @@ def alignments(spark, sf_dir):
 def _lines(spark, sf_dir, params: MapParams) -> DataFrame:
     from helixmap.operators.mapping import described, map_queries
 
+    from dataclasses import replace
+
     index, q = _index(spark, sf_dir), _queries(spark, sf_dir)
-    return formats.lines_of(described(map_queries(q, index), q, index), params)
+    rows = described(map_queries(q, index, replace(PARAMS, format=params.format)), q, index)
+    return formats.lines_of(rows, params, q)
 
 
 @query("sam_records")
@@ -502,6 +505,68 @@ def paf_records(spark, sf_dir):
     return _lines(spark, sf_dir, MapParams(format="paf", tags=("AS", "ID", "NM", "CG")))
 
 
+# the whole way from seeds to text, where SQL can say what must come out: items that lie in a document base by base
+
+OCCURRENCES = f"""i AS ({ITEMS}), j AS ({DOCS}),
+o AS (SELECT i.id AS qid, j.id AS rid, 0 AS strand, i.seq AS qseq, i.seq AS hit, j.seq AS rseq FROM i JOIN j ON contains(j.seq, i.seq)
+  UNION ALL SELECT qid, rid, 1, qseq, hit, rseq FROM (SELECT i.id AS qid, j.id AS rid, i.seq AS qseq, translate(reverse(i.seq), 'ACGT', 'TGCA') AS hit, j.seq AS rseq FROM i, j) WHERE contains(rseq, hit)),
+p AS (SELECT *, unnest(range(length(rseq) - length(qseq) + 1)) AS rs FROM o WHERE length(qseq) * {PARAMS.scoring.match} >= {PARAMS.min_score}),
+x AS (SELECT *, length(qseq) AS n, 'item' || qid AS qname, 'doc' || rid AS rname, length(rseq) AS rlen, length(qseq) * {PARAMS.scoring.match} AS score FROM p WHERE substr(rseq, CAST(rs + 1 AS BIGINT), length(qseq)) = hit)"""
+
+
+def _exact(spark, sf_dir, params: MapParams) -> DataFrame:
+    """Alignments of whole items without a mismatch or gap: each place where an item lies in a document, on either strand."""
+    from helixmap.operators.mapping import described, map_queries
+
+    index, q = _index(spark, sf_dir), _queries(spark, sf_dir)
+    rows = described(map_queries(q, index, params), q, index)
+    return rows.where("matches = dcnt and dcnt = qlen and gaps = 0")
+
+
+@query("exact_alignments", f"WITH {OCCURRENCES} SELECT qid, rid, CAST(strand AS INTEGER) AS strand, CAST(rs AS BIGINT) AS rs, CAST(rs + n AS BIGINT) AS re, 0::BIGINT AS qs, CAST(n AS BIGINT) AS qe, CAST(score AS BIGINT) AS score, 1.0::DOUBLE AS identity, n || 'M' AS cigar, CAST(n AS VARCHAR) AS md FROM x")
+def exact_alignments(spark, sf_dir):
+    return _exact(spark, sf_dir, PARAMS).select("qid", "rid", "strand", "rs", "re", "qs", "qe", "score", "identity", formats.cigar_text(F.col("cigar")).alias("cigar"), "md")
+
+
+def _without(line: str, *fields: int) -> Column:
+    """A line without some of its fields, which depend on what else was found."""
+    cells = F.split(line, "\t")
+    return F.concat_ws("\t", F.filter(cells, lambda _, i: ~i.isin(*fields))).alias(line)
+
+
+@query("exact_sam", f"WITH {OCCURRENCES} SELECT concat_ws(chr(9), qname, rname, CAST(rs + 1 AS VARCHAR), n || 'M', '*', '0', '0', hit, '*', 'AS:i:' || score, 'NM:i:0', 'MD:Z:' || n) AS line FROM x")
+def exact_sam(spark, sf_dir):
+    """SAM lines of exact alignments, without flag and quality."""
+    return formats.lines_of(_exact(spark, sf_dir, PARAMS), MapParams(tags=("AS", "NM", "MD"))).select(_without("line", 1, 4))
+
+
+@query("exact_paf", f"WITH {OCCURRENCES} SELECT concat_ws(chr(9), qname, CAST(n AS VARCHAR), '0', CAST(n AS VARCHAR), CASE strand WHEN 1 THEN '-' ELSE '+' END, rname, CAST(rlen AS VARCHAR), CAST(rs AS VARCHAR), CAST(rs + n AS VARCHAR), CAST(n AS VARCHAR), CAST(n AS VARCHAR), 'AS:i:' || score, 'ID:f:1.0000', 'NM:i:0', 'CG:Z:' || n || 'M') AS line FROM x")
+def exact_paf(spark, sf_dir):
+    """PAF lines of exact alignments, without quality."""
+    return formats.lines_of(_exact(spark, sf_dir, PARAMS), MapParams(format="paf", tags=("AS", "ID", "NM", "CG"))).select(_without("line", 11))
+
+
+@query("exact_maf", f"""WITH {OCCURRENCES} SELECT 'a score=' || score || chr(10) || 's ' || rpad(rname, CAST(greatest(length(rname), length(qname)) + 1 AS INTEGER), ' ') || lpad(CAST(rs AS VARCHAR), CAST(greatest(length(CAST(rs AS VARCHAR)), 1) AS INTEGER), ' ') || ' ' || n || ' + ' || lpad(CAST(rlen AS VARCHAR), CAST(greatest(length(CAST(rlen AS VARCHAR)), length(CAST(n AS VARCHAR))) AS INTEGER), ' ') || ' ' || hit || chr(10)
+  || 's ' || rpad(qname, CAST(greatest(length(rname), length(qname)) + 1 AS INTEGER), ' ') || lpad('0', CAST(greatest(length(CAST(rs AS VARCHAR)), 1) AS INTEGER), ' ') || ' ' || n || CASE strand WHEN 1 THEN ' - ' ELSE ' + ' END || lpad(CAST(n AS VARCHAR), CAST(greatest(length(CAST(rlen AS VARCHAR)), length(CAST(n AS VARCHAR))) AS INTEGER), ' ') || ' ' || hit || chr(10) AS line FROM x""")
+def exact_maf(spark, sf_dir):
+    """MAF blocks of exact alignments."""
+    from dataclasses import replace
+
+    maf = replace(PARAMS, format="maf")
+    return formats.lines_of(_exact(spark, sf_dir, maf), maf).select("line")
+
+
+@query("primary_lines", "SELECT item_id AS qid, 1::BIGINT AS n_primary FROM benchmark")
+def primary_lines(spark, sf_dir):
+    """Every item has one line in SAM that is neither secondary nor supplementary, whether it is mapped or not."""
+    from helixmap.operators.mapping import described, map_queries
+
+    index, q = _index(spark, sf_dir), _queries(spark, sf_dir)
+    lines = formats.lines_of(described(map_queries(q, index), q, index), MapParams(), q)
+    flag = F.split("line", "\t")[1].cast("int")
+    return lines.groupBy(F.col("ordinal").alias("qid")).agg(F.count_if(flag.bitwiseAND(formats.SECONDARY | formats.SUPPLEMENTARY) == 0).alias("n_primary"))
+
+
 # files: written to the session's shared folder, read back by the sources
 
 

@@ -12,11 +12,13 @@ from helixmap.functions.codec import codes_of
 from helixmap.operators import dp
 from helixmap.operators.index import build_index, read_index, thresholds
 from helixmap.operators.mapping import described, map_queries, tiles, uniques
+from helixmap.operators.sketch import sketch
 from helixmap.plans.params import MapParams, Scoring
 from helixmap.sinks import formats
 from helixmap.sources.seqfile import read_sequences, sniff
 from helixmap.streaming.mapping import map_stream, seed_stream
 
+# Inputs of the parsers.
 FASTA = b">test0\nAAAA\n> test1\nATAT\nCGCG\r\n\r\n>  test2\n\nAAAA\n>test3 comment\tcomment  \nACGT\n\n"
 FASTQ = b"@test0\nAAAA\n+test0\nNNNN\n@ test1\nATAT\nCGCG\n+ test1\n12+3\n+123\r\n@  test2\n\nAAAA\n+  test2\n\n\n12@3\n\n@test3  comment comment   \nACGT\n\n+ test3\n@123"
 P = MapParams(k=15, w=10, scoring=Scoring(2, 4, 4, 2, xdrop=80), min_score=60)
@@ -212,6 +214,16 @@ def test_unique_sets_match_counting_by_base():
         assert uniques(spans) == chosen
 
 
+def test_long_sequences_are_sketched_in_parts(spark):
+    r = random.Random(6)
+    seqs = [(0, genome(3000, 41)), (1, "A" * 500), (2, "AC" * 300 + "N" * 40 + genome(400, 42)), (3, genome(20, 43)), (4, None), (5, "".join(r.choice("ACGTN") for _ in range(900))), (6, "ACGTTA" * 120)]
+    df = spark.createDataFrame(seqs, "rid long, seq string").coalesce(1)
+    for k, w in ((15, 10), (5, 4), (28, 31)):
+        whole = sorted(map(tuple, sketch(df, "rid", k, w).collect()))
+        for size in (1, 64, 333):
+            assert sorted(map(tuple, sketch(df, "rid", k, w, part_bases=size).collect())) == whole
+
+
 def test_tiles_give_back_the_references(spark):
     refs = [(0, False, genome(1000, 31)), (1, True, genome(130, 32)), (2, None, ""), (3, False, genome(64, 33))]
     rows = tiles(spark.createDataFrame(refs, "rid long, circular boolean, seq string"), 64).orderBy("rid", "tile").collect()

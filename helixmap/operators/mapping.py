@@ -25,8 +25,8 @@ from helixmap.operators.seeds import join_seeds
 from helixmap.operators.sketch import sketch
 from helixmap.plans.params import MapParams
 
-#: Bases beyond a chain's reach that a slice has, besides a share of the query's length.
-MARGIN, MARGIN_SHARE = 64, 0.2
+#: Bases that a slice has beyond what an alignment can reach: a band's width.
+MARGIN = 64
 #: Band widths of the first try and of those after a known end point, and seeds that are tried for a chain.
 BANDS, TRIALS = (64, 32, 16), 8
 #: Bases of a tile of a reference, and of queries and slices that are extended together.
@@ -232,7 +232,7 @@ def together(searches: dict[int, object], params: MapParams) -> dict[int, object
     for key in searches:
         step(key, None)
     while waiting:
-        pairs = sorted(((band, trace, len(a) + len(b), key, a, b) for key, (a, b, band, trace) in waiting.items()), key=lambda x: x[:4])
+        pairs = sorted(((band, trace, 2 * min(len(a), len(b)), key, a, b) for key, (a, b, band, trace) in waiting.items()), key=lambda x: x[:4])
         waiting.clear()
         while pairs:
             kind, n = pairs[0][:2], 1
@@ -297,7 +297,8 @@ def tiles(refs: DataFrame, size: int = TILE) -> DataFrame:
 def map_queries(queries: DataFrame, index: Index, params: MapParams | None = None) -> DataFrame:
     """Alignments of ``queries`` (qid, seq) on the index's references: columns as in ``ALIGNMENTS``.
 
-    Queries shorter than k, or too short to reach the least score, have none. On a circular reference positions count
+    Queries shorter than k, or too short to reach the least score, have none. Slices reach as far as any alignment of their
+    chain can, so none ends at a slice's border (``clipped`` would tell). On a circular reference positions count
     on past the end by less than one turn; a slice never holds more than one turn and the query's reach.
     """
     params = params or index.params
@@ -311,7 +312,8 @@ def map_queries(queries: DataFrame, index: Index, params: MapParams | None = Non
     chains = chains.where(F.col("plen") * F.lit(params.coefficient) >= 2.0 * params.min_score)
     r = index.refs.select(F.col("rid").cast("long").alias("rid"), "circular", F.col("len").cast("long").alias("ref_len"))
     size = F.col("size")
-    margin = F.floor(F.lit(MARGIN) + F.lit(MARGIN_SHARE) * size)
+    # each reference base without a partner costs an extension; all of them together no more than the query can win and a drop
+    margin = F.ceil((size * params.scoring.match + params.scoring.xdrop) / params.scoring.ge) + MARGIN
     place = lambda x: F.when(x < 0, x + 1 + size).otherwise(x)  # noqa: E731  on the query as aligned
     low = F.col("r_first") - place(F.col("q_first")) - margin
     high = F.col("r_last") + (size - place(F.col("q_last"))) + margin

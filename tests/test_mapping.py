@@ -112,7 +112,7 @@ def test_planted_reads_are_found(spark, world):
         qs = x.qs if not x.strand else len(q) - x.qe
         a, b = codes_of(chromosomes[x.rid][x.rs : x.re]), codes_of(q[qs : qs + x.qe - x.qs])
         assert dp.rescore("".join(c["op"] * c["len"] for c in x.cigar), a, b, P.scoring)["score"] == x.score
-        assert 0.85 < x.identity <= 1 and 0 <= x.mapq16 <= 960
+        assert 0.85 < x.identity <= 1 and 0 <= x.mapq16 <= 960 and not x.clipped
     assert sum(x.qe - x.qs > 1000 for x in first.values()) >= 35
     turned_rows = map_queries(queries.withColumn("seq", F.reverse(F.translate("seq", "ACGT", "TGCA"))), index).where("aid = 0").collect()
     same = {x.qid: x for x in turned_rows}
@@ -214,6 +214,15 @@ def test_unique_sets_match_counting_by_base():
         assert uniques(spans) == chosen
 
 
+def test_reads_with_many_deletions_are_not_cut_short(spark):
+    whole = genome(6000, 51)
+    read = whole[1000:1100] + "".join(whole[i : i + 25] for i in range(1100, 4000, 36)) + whole[4000:4100]
+    index = build_index(spark.createDataFrame([(0, "x", whole)], "rid long, name string, seq string"), P)
+    for text in (read, turned(read)):
+        (x,) = map_queries(spark.createDataFrame([(0, text)], "qid long, seq string"), index).collect()
+        assert (x.rs, x.re) == (1000, 4100) and x.qe - x.qs == len(read) and not x.clipped
+
+
 def test_long_sequences_are_sketched_in_parts(spark):
     r = random.Random(6)
     seqs = [(0, genome(3000, 41)), (1, "A" * 500), (2, "AC" * 300 + "N" * 40 + genome(400, 42)), (3, genome(20, 43)), (4, None), (5, "".join(r.choice("ACGTN") for _ in range(900))), (6, "ACGTTA" * 120)]

@@ -165,25 +165,29 @@ class Network:
 
     def backward(self, gates: dict[str, np.ndarray], windows: np.ndarray, label: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], float]:
         """Gradients of the mean log loss: of the parameters after the inputs, and of ``gates``."""
+        gates = {side: np.concatenate([gates[side + g] for g in "zrn"], axis=1) for side in "fb"}
         n, t = windows.shape
         kept: dict[str, list] = {}
         att, out = np.zeros((t, n), np.float32), np.zeros((t, n), np.float32)
         sigmoid = lambda x: 0.5 * np.tanh(0.5 * x) + 0.5
+        first = slice(0, 2 * HIDDEN)  # z and r
+        last = slice(2 * HIDDEN, None)  # n
+        by_step = np.ascontiguousarray(windows.T)
+        weights = {side: np.concatenate([self.p[f"{side}h{g}"] for g in "zrn"], axis=1) for side in "fb"}
         for side in "fb":
             h = np.zeros((n, HIDDEN), np.float32)
             kept[side] = [None] * t
             for i in range(t) if side == "f" else reversed(range(t)):
-                ids = windows[:, i]
-                z = sigmoid(h @ self.p[f"{side}hz"] + gates[side + "z"][ids])
-                r = sigmoid(h @ self.p[f"{side}hr"] + gates[side + "r"][ids])
-                g = h @ self.p[f"{side}hn"]
-                c = np.tanh(gates[side + "n"][ids] + r * g)
+                x, a = gates[side][by_step[i]], h @ weights[side]
+                zr = sigmoid(a[:, first] + x[:, first])
+                z, r, g = zr[:, :HIDDEN], zr[:, HIDDEN:], a[:, last]
+                c = np.tanh(x[:, last] + r * g)
                 new = c + z * (h - c)
                 kept[side][i] = (h, z, r, g, c, new)
                 att[i] += new @ self.p[f"{side}_att"]
                 out[i] += new @ self.p[f"{side}_out"]
                 h = new
-        att = np.where(windows.T > 0, att, np.float32(-1e9))
+        att = np.where(by_step > 0, att, np.float32(-1e9))
         share = np.exp(att - att.max(axis=0))
         share /= share.sum(axis=0)
         pooled = (share * out).sum(axis=0)
@@ -192,27 +196,41 @@ class Network:
         d = (sigmoid(logit) - label) / n
         grad = {"out_b": np.array([d.sum()], np.float32)}
         d_out = share * d
-        d_att = share * (out - pooled) * d * (windows.T > 0)
-        d_gates = {k: np.zeros_like(v) for k, v in gates.items()}
+        d_att = share * (out - pooled) * d * (by_step > 0)
+        d_gates = {}
         for side in "fb":
-            for name in ("hz", "hr", "hn", "_att", "_out"):
-                grad[side + name] = np.zeros_like(self.p[side + name])
+            p_att, p_out, w = self.p[f"{side}_att"], self.p[f"{side}_out"], weights[side]
+            grad[f"{side}_att"], grad[f"{side}_out"], d_w = np.zeros_like(p_att), np.zeros_like(p_out), np.zeros_like(w)
             dh = np.zeros((n, HIDDEN), np.float32)
+            inputs = np.empty((t, n, 3 * HIDDEN), w.dtype)
+            back = np.empty((n, 3 * HIDDEN), w.dtype)
             for i in reversed(range(t)) if side == "f" else range(t):
                 h, z, r, g, c, new = kept[side][i]
-                ids = windows[:, i]
-                grad[side + "_att"] += d_att[i] @ new
-                grad[side + "_out"] += d_out[i] @ new
-                dh = dh + d_att[i][:, None] * self.p[f"{side}_att"] + d_out[i][:, None] * self.p[f"{side}_out"]
+                grad[f"{side}_att"] += d_att[i] @ new
+                grad[f"{side}_out"] += d_out[i] @ new
+                dh = dh + d_att[i][:, None] * p_att + d_out[i][:, None] * p_out
                 dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (h - c) * z * (1 - z)
-                dr = dc * g * r * (1 - r)
-                dg = dc * r
-                for gate, own, back in (("z", dz, dz), ("r", dr, dr), ("n", dc, dg)):
-                    np.add.at(d_gates[side + gate], ids, own)
-                    grad[f"{side}h{gate}"] += h.T @ back
-                dh = dh * z + dz @ self.p[f"{side}hz"].T + dr @ self.p[f"{side}hr"].T + dg @ self.p[f"{side}hn"].T
-        return grad, d_gates, loss
+                back[:, :HIDDEN] = dh * (h - c) * z * (1 - z)
+                back[:, HIDDEN : 2 * HIDDEN] = dc * g * r * (1 - r)
+                inputs[i, :, first] = back[:, first]
+                inputs[i, :, last] = dc
+                back[:, last] = dc * r
+                d_w += h.T @ back
+                dh = dh * z + back @ w.T
+            d_gates[side] = summed(by_step.ravel(), inputs.reshape(-1, 3 * HIDDEN), len(gates[side]))
+            for k, gate in enumerate("zrn"):
+                grad[f"{side}h{gate}"] = d_w[:, k * HIDDEN : (k + 1) * HIDDEN]
+        return grad, {side + gate: d_gates[side][:, k * HIDDEN : (k + 1) * HIDDEN] for side in "fb" for k, gate in enumerate("zrn")}, loss
+
+
+def summed(places: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """``n`` rows: at each place the sum of the rows that belong there."""
+    order = np.argsort(places, kind="stable")
+    own = places[order]
+    starts = np.flatnonzero(np.diff(own, prepend=-1))
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[own[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    return out
 
 
 def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -371,11 +389,9 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1
                     grad[f"{side}c{gate}"] = d.sum(axis=0)
                     dx += d[1:] @ network.p[f"{side}x{gate}"].T
             rows, back = np.unique(word_rows[ids], return_inverse=True)
-            grad["word"] = np.zeros((len(rows), WORD_DIM), np.float32)
-            np.add.at(grad["word"], back, dx[:, :WORD_DIM])
+            grad["word"] = summed(back, dx[:, :WORD_DIM], len(rows))
             char_rows, back = np.unique(own_grams, return_inverse=True)
-            grad["char"] = np.zeros((len(char_rows), CHAR_DIM), np.float32)
-            np.add.at(grad["char"], back, np.repeat(dx[:, WORD_DIM:] / n[:, None], n, axis=0))
+            grad["char"] = summed(back, np.repeat(dx[:, WORD_DIM:] / n[:, None], n, axis=0), len(char_rows))
             adam.step(grad, {"word": rows, "char": char_rows})
     worst = np.maximum.reduceat(all_logits(), first)
     part = np.flatnonzero(kept) if len(set(y[kept])) == 2 else np.arange(len(y))

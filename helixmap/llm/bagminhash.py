@@ -44,6 +44,8 @@ DEVIATIONS = 3.5
 NIBBLES = 0x1111111111111111
 #: Shingles that are worked on at once, and words whose hashes a task keeps.
 BLOCK_SHINGLES = 60_000
+#: Points of processes that are made at once, where one of each process is fewer.
+BLOCK_POINTS = 1 << 13
 KEEP_WORDS = 150_000
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -125,16 +127,21 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
     time = np.zeros(len(owner))
     n = 0
     while len(owner):
-        n += 1
-        first = mix64(seed + stride(n))
+        # few processes that go on for long, as those of short texts do, make many points at once; points too many change nothing
+        steps = min(64, max(1, BLOCK_POINTS // len(owner)))
+        first = mix64(seed[:, None] + (np.arange(n + 1, n + steps + 1, dtype=np.uint64) * STEP)[None, :])
         second = mix64(first ^ MIX2)
-        time = time - np.log(((first >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53) / width
+        n += steps
+        points = -(np.log(((first >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53) / width[:, None])
+        points[:, 0] += time
+        points = np.cumsum(points, axis=1)
         component = ((second >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
         # the low bits choose halves of the interval, from the whole down to one unit of weight
-        inside = low + ((second & np.uint64(0xFFFFFFFF)) * width.astype(np.uint64) >> np.uint64(32)).astype(np.int64) < above
-        slot = owner * size + component
-        inside &= time < out[slot]
-        np.minimum.at(out, slot[inside], time[inside])
+        inside = low[:, None] + ((second & np.uint64(0xFFFFFFFF)) * width.astype(np.uint64)[:, None] >> np.uint64(32)).astype(np.int64) < above[:, None]
+        slot = owner[:, None] * size + component
+        inside &= points < out[slot]
+        np.minimum.at(out, slot[inside], points[inside])
+        time = points[:, -1]
         active = np.unique(owner)
         least[active] = out.reshape(n_docs, size)[active].max(axis=1)
         go = time < least[owner]

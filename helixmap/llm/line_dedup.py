@@ -265,6 +265,15 @@ def common_blocks(home: np.ndarray, own: np.ndarray, seeds: list[tuple[int, int]
     return out
 
 
+def words_in(spans: list[tuple[int, int]]) -> int:
+    """How many words lie in spans, which may overlap."""
+    total = end = 0
+    for a, b in sorted(spans):
+        total += max(0, b - max(a, end))
+        end = max(end, b)
+    return total
+
+
 def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true values."""
     change = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
@@ -296,17 +305,18 @@ def drop_words(text: str, drop: np.ndarray) -> tuple[str, int, int, str]:
     return b"\n".join(kept).decode(), touched, int(drop.sum()), b"\n".join(removed).decode()
 
 
-def covered_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def covered_words(docs: DataFrame, min_words: int = MIN_WORDS, copies: float | None = None) -> DataFrame:
     """key, digest, covered, partners: for each document with a pair, its blocks and the earlier documents' ids.
 
-    A block is the number of its first word, shifted by 32 bits, and the number of the first word after it.
+    A block is the number of its first word, shifted by 32 bits, and the number of the first word after it. ``copies``: the
+    share of the longer document's words from which on all words of the later one are a block.
     """
     lines = cut(line_table(docs, min_words))
     pairs = cut(homes(lines))
     # dealt once by document for both joins; rows that repeat are one document
     keyed = lines.select(_key("doc_id").alias("key"), "digest", "tokens").groupBy("key", "digest").agg(F.first("tokens").alias("tokens"))
-    copies = pairs.groupBy(F.col("home_key").alias("key"), F.col("home_digest").alias("digest")).agg(F.max("copies").alias("copies"))
-    home = keyed.join(copies, ["key", "digest"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    wanted = pairs.groupBy(F.col("home_key").alias("key"), F.col("home_digest").alias("digest")).agg(F.max("copies").alias("copies"))
+    home = keyed.join(wanted, ["key", "digest"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     home = home.select(F.col("key").alias("home_key"), F.col("digest").alias("home_digest"), "copy", F.col("tokens").alias("home"))
     pairs = pairs.drop("copies").join(home, ["home_key", "home_digest", "copy"])
     pairs = pairs.join(keyed, ["key", "digest"]).select("key", "digest", "home_id", "seeds", "home", "tokens")
@@ -319,6 +329,9 @@ def covered_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for i, (home, own) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
                 s = seeds[at[i] : at[i + 1]]
                 found = common_blocks(np.frombuffer(home.as_buffer(), "<u2"), np.frombuffer(own.as_buffer(), "<u2"), list(zip((s >> 32).tolist(), (s & 0xFFFFFFFF).tolist(), strict=True)), min_words)
+                longer = max(len(home.as_buffer()), len(own.as_buffer())) // 2
+                if copies is not None and found and words_in(found) >= copies * longer:
+                    found = [(0, len(own.as_buffer()) // 2)]
                 out.append([a << 32 | b for a, b in found])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int64()))], ["key", "digest", "home_id", "covered"])
 
@@ -329,14 +342,15 @@ def covered_words(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 ADDED = ["kept_chars", "removed_lines", "removed_words", "removed_text", "partners"]
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, copies: float | None = None) -> DataFrame:
     """``docs`` with its text cut, and kept_chars, removed_lines, removed_words, removed_text and partners added.
 
     ``docs`` has doc_id and text; columns with an added name are replaced. Documents are ordered by doc_id (null
     first), then by a digest of the text; rows alike in both are one document, and each such row gets its result. Of
     an exact copy all words go, if it has ``min_words``. Null and empty texts have no words and stay as they are;
     texts may be of any length. removed_text holds the deleted words, by line; partners the ids of the earlier documents
-    it was aligned with. An empty table gives no rows.
+    it was aligned with. An empty table gives no rows. With ``copies`` a document goes whole if its blocks with one earlier
+    document are so large a share of the longer one of both: of a near copy else only shreds would stay.
 
     A passage of ``min_words`` words that an earlier document has goes, unless each of its hashes stood in a still earlier
     document that has fewer of its words. A word at a block's end may go wrongly with a chance of 1 in 65,536, as 16 bits
@@ -344,7 +358,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     docs = docs.drop(*ADDED)
     key, digest, covered = fresh(docs, "__key", "__digest", "__covered")
-    verdict = covered_words(docs.select("doc_id", "text"), min_words).select(F.col("key").alias(key), F.col("digest").alias(digest), F.col("covered").alias(covered), "partners")
+    verdict = covered_words(docs.select("doc_id", "text"), min_words, copies).select(F.col("key").alias(key), F.col("digest").alias(digest), F.col("covered").alias(covered), "partners")
     rows = docs.withColumn(key, _key("doc_id")).withColumn(digest, _digest())
     rows = rows.join(verdict, [key, digest], "left").drop(key, digest)
     names = [*docs.columns, *ADDED]
@@ -373,11 +387,12 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return rows.select(*[f"`{c}`" for c in docs.columns], covered, "partners").mapInArrow(tidy(run), schema)
 
 
-def cut_texts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with its text cut, and n_chars, if there is one, following it; all other columns stay, whatever their names."""
+def cut_texts(docs: DataFrame, min_words: int = MIN_WORDS, copies: float | None = None) -> DataFrame:
+    """``docs`` with its text cut as by ``dedup``, and n_chars, if there is one, following it; all other columns stay,
+    whatever their names."""
     own = fresh(docs, *(f"__own_{i}" for i in range(len(ADDED))))
     away = {c: o for c, o in ((c, own[ADDED.index(c.lower())]) for c in docs.columns if c.lower() in ADDED)}
-    rows = dedup(docs.withColumnsRenamed(away), min_words)
+    rows = dedup(docs.withColumnsRenamed(away), min_words, copies)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.col("kept_chars")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return rows.drop(*ADDED).withColumnsRenamed({o: c for c, o in away.items()}).select(*[f"`{c}`" for c in docs.columns])

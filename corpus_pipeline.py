@@ -22,9 +22,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+#: Share of the longer document's words from which on a later document is a copy: nothing of it stays.
+COPIES = 0.8
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that an earlier one has; n_chars follows the text."""
-    return line_dedup.cut_texts(docs)
+    """All documents, without the passages that an earlier one has; n_chars follows the text.
+
+    A document that shares four fifths of its words, or of the other's if that is longer, with one earlier document is left
+    empty: shreds of a near copy are no near copy any more, which the next stage could tell.
+    """
+    return line_dedup.cut_texts(docs, copies=COPIES)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,8 +101,19 @@ def release() -> None:
         pass
 
 
+#: Rows of an Arrow batch at most: ten thousand texts, Spark's own bound, are too many for a small worker and its JVM.
+BATCH_ROWS = 1_000
+
+
 def tidy(run: Callable) -> Callable:
-    """``run``, a function of one partition's batches, of one table or of two, with ``release`` at its end."""
+    """``run``, a function of one partition's batches, of one table or of two, with ``release`` at its end.
+
+    From here on batches of the session have at most ``BATCH_ROWS`` rows, unless it asks for fewer.
+    """
+    spark = SparkSession.getActiveSession()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and not 0 < int(spark.conf.get(name, "0")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
     if inspect.isgeneratorfunction(run):
 
         @functools.wraps(run)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmap.llm.common import inline, tidy, whole_text
+from helixmap.llm.common import inline, release, tidy, whole_text
 
 WINDOW, STRIDE = 32, 16
 #: Training uses at most so many labelled documents of each label, least hash of the doc_id first.
@@ -351,7 +351,12 @@ def train(texts: list[str], labels: list[int], weights: tuple[float, float] = (1
     adam = Adam(network.p, RATE)
 
     def all_logits() -> np.ndarray:
-        gates = network.gates(network.embed(word_rows, grams, starts))
+        parts = []
+        for i in range(0, len(starts), CHUNK_WORDS // 2):  # the n-grams of all words at once would take hundreds of megabytes
+            own = starts[i : i + CHUNK_WORDS // 2]
+            end = starts[i + len(own)] if i + len(own) < len(starts) else len(grams)
+            parts.append(network.gates(network.embed(word_rows[i : i + len(own)], grams[own[0] : end], own - own[0])))
+        gates = {k: np.concatenate([parts[0][k][:1], *(part[k][1:] for part in parts)]) for k in parts[0]}
         return np.concatenate([network.logits(gates, windows[i : i + 4096]) for i in range(0, len(windows), 4096)])
 
     for round_ in range(ROUNDS):
@@ -440,7 +445,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
     few = inline(docs.sparkSession, [{"doc_id": i, "digest": d} for i, d in chosen], "doc_id long, digest long")
     text_of = {(r["doc_id"], r["digest"]): r["text"] for r in texts.join(F.broadcast(few), ["doc_id", "digest"]).groupBy("doc_id", "digest").agg(F.first("text").alias("text")).collect()}
     share = {k: counts.get(k, 0) / max(1, min(counts.get(k, 0), sample_docs)) for k in (0, 1)}
-    return train([text_of[k] for k in chosen], list(chosen.values()), (share[0] or 1.0, share[1] or 1.0))
+    network = train([text_of.pop(k) for k in chosen], list(chosen.values()), (share[0] or 1.0, share[1] or 1.0))
+    release()
+    return network
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:

@@ -8,8 +8,7 @@ A component keeps the least time of its points, so two texts agree in it with th
 Jaccard similarity, sum of minima over sum of maxima. Processes stop once their time passes all of a text's components.
 
 Signatures are banded. In each bucket every text is held against the bucket's hub, the text that shares most buckets
-with others (in a large one a text drawn by a hash that changes with the band), and the pair is verified exactly by the
-multisets: copies of one text make a star, never all pairs. A text that fails against its hub, and got into a class with it
+with others, and the pair is verified exactly by the multisets: copies of one text make a star, never all pairs. A text that fails against its hub, and got into a class with it
 by no other bucket, is then held against the bucket's other texts, first by four bits of each signature component inside
 the join, where pairs that lie far below the threshold, are linked already or met in an earlier band go no further, then
 exactly. Links are joined to groups by alternating large-star and small-star steps, cut by checkpoints.
@@ -34,9 +33,6 @@ THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 #: About how many pairs one copy of a hub's text serves: the hub of a hot bucket has many copies.
 COPY_PAIRS = 1_000
-#: In a bucket of more texts than this the hub is drawn by one of so many hashes, by band: a text of a large group that
-#: fails against one of them is then likely linked by another.
-LARGE_BUCKET, FAMILIES = 64, 3
 #: Components of a signature; the bands use the first of them, the comparison of signatures all.
 SIZE = 384
 #: Standard deviations below the threshold's expectation at which a comparison of signatures gives up.
@@ -283,8 +279,7 @@ def links(sketches: DataFrame, docs: DataFrame, threshold: float) -> DataFrame |
     if rows.isEmpty():
         return None
     degree = rows.groupBy("digest").agg(F.sum("n").alias("degree"))
-    rank = F.when(F.col("n") <= LARGE_BUCKET, F.col("degree")).otherwise(F.xxhash64(F.col("band") % FAMILIES, "digest"))
-    hubs = rows.join(degree, "digest").groupBy("band", "key").agg(F.max(F.struct(rank.alias("rank"), "digest", "doc_id")).alias("h"))
+    hubs = rows.join(degree, "digest").groupBy("band", "key").agg(F.max(F.struct("degree", "digest", "doc_id")).alias("h"))
     hubs = cut(hubs.select("band", "key", F.col("h.digest").alias("b"), F.col("h.doc_id").alias("b_id")))
     spokes = cut(rows.join(hubs, ["band", "key"]).where("digest <> b").select("band", "key", F.col("digest").alias("a"), F.col("doc_id").alias("a_id"), "b", "b_id", "n"))
     done = cut(verify(spokes.select("a", "a_id", "b", "b_id", "n"), texts, threshold))

@@ -20,11 +20,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmap.llm.bagminhash import mix64
@@ -32,7 +32,9 @@ from helixmap.llm.common import cut, fresh, tidy, whole_text
 
 #: Words of the shortest block that is deleted.
 MIN_WORDS = 25
-#: About how many pairs one copy of a home's words serves: the home of a hot hash has many copies.
+#: Bytes of an Arrow batch, about: Spark's own bound of 64 MB is held several times over, by the JVM and by its Python workers.
+BATCH_BYTES = 4 << 20
+#: About how many pairs one copy of a home's words serves: a home with more pairs has more copies.
 COPY_PAIRS = 1_000
 
 LINES = "doc_id long, digest long, tokens binary, hashes array<long>, places array<int>"
@@ -51,6 +53,15 @@ BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+def small_batches(run: Callable) -> Callable:
+    """``tidy(run)``; from here on batches of the session have about ``BATCH_BYTES`` too, unless it has set a bound."""
+    spark = SparkSession.getActiveSession()
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark is not None and spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return tidy(run)
+
+
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A hash of each word, the number of the line it is in, over all texts, and the number of its text.
 
@@ -146,7 +157,7 @@ def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64), kind)) for i, kind in ((1, pa.int64()), (2, pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.binary()), *lists], ["doc_id", "digest", "tokens", "hashes", "places"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), whole_text().alias("text")).mapInArrow(tidy(run), LINES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), whole_text().alias("text")).mapInArrow(small_batches(run), LINES)
 
 
 def _digest():
@@ -161,17 +172,28 @@ def _key(doc_id: str):
 def homes(lines: DataFrame) -> DataFrame:
     """Pairs of a document and the home of hashes it has, with the ``seeds``: where these runs start in both.
 
-    Columns: key, digest, home_id, home_key, home_digest, seeds (a long each: place shifted by 32 bits, place in the home),
-    copies and copy: into how many the pairs of hashes as frequent as these are split, and which of these the pair is in.
+    Columns: key, digest, home_id, home_key, home_digest, seeds (a long each: place shifted by 32 bits, place in the home).
     """
     rows = lines.select("doc_id", "digest", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select(F.col("x.hashes").alias("h"), F.struct("doc_id", "digest").alias("k"), F.col("x.places").alias("place"))
-    first = rows.groupBy("h").agg(F.min(F.struct("k", "place")).alias("home"), F.count("*").alias("n")).where("n > 1")
+    first = rows.groupBy("h").agg(F.min(F.struct("k", "place")).alias("home"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = cut(first)  # a side of its own, so that a hot hash's rows can be split over tasks
     seed = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("home.place").cast("long"))
-    met = rows.join(first, "h").where("k <> home.k").select("k", F.col("home.k").alias("home"), seed.alias("seed"), "n")
-    pairs = met.groupBy("k", "home").agg(F.collect_list("seed").alias("seeds"), F.ceil(F.sum("n") / COPY_PAIRS).cast("int").alias("copies"))  # at most a document's own hashes
-    pairs = pairs.withColumn("copy", F.pmod(F.xxhash64("k"), F.col("copies")).cast("int"))
-    return pairs.select(_key("k.doc_id").alias("key"), F.col("k.digest").alias("digest"), F.col("home.doc_id").alias("home_id"), _key("home.doc_id").alias("home_key"), F.col("home.digest").alias("home_digest"), "seeds", "copies", "copy")
+    met = rows.join(first, "h").where("k <> home.k").select("k", F.col("home.k").alias("home"), seed.alias("seed"))
+    pairs = met.groupBy("k", "home").agg(F.collect_list("seed").alias("seeds"))  # at most a document's own hashes
+    return pairs.select(_key("k.doc_id").alias("key"), F.col("k.digest").alias("digest"), F.col("home.doc_id").alias("home_id"), _key("home.doc_id").alias("home_key"), F.col("home.digest").alias("home_digest"), "seeds")
+
+
+def dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` with ``copy``, the copy of its home's words that a pair meets, and ``copies`` of each home.
+
+    There are as many copies as the pairs of a home ask for, however many hashes a pair has and however frequent they are:
+    all copies together are no more than the homes and a ``COPY_PAIRS``-th of the pairs.
+    """
+    home = ["home_key", "home_digest"]
+    wanted = cut(pairs.groupBy(*home).agg(F.ceil(F.count("*") / COPY_PAIRS).cast("int").alias("copies")))
+    # a side of its own, so that a hot home's pairs can be split over tasks
+    rows = pairs.join(wanted.where("copies > 1"), home, "left")
+    return rows.withColumn("copy", F.pmod(F.xxhash64("key", "digest"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies"), wanted
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -315,10 +337,10 @@ def covered_words(docs: DataFrame, min_words: int = MIN_WORDS, copies: float | N
     pairs = cut(homes(lines))
     # dealt once by document for both joins; rows that repeat are one document
     keyed = lines.select(_key("doc_id").alias("key"), "digest", "tokens").groupBy("key", "digest").agg(F.first("tokens").alias("tokens"))
-    wanted = pairs.groupBy(F.col("home_key").alias("key"), F.col("home_digest").alias("digest")).agg(F.max("copies").alias("copies"))
-    home = keyed.join(wanted, ["key", "digest"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    pairs, wanted = dealt(pairs)
+    home = keyed.join(wanted.withColumnsRenamed({"home_key": "key", "home_digest": "digest"}), ["key", "digest"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     home = home.select(F.col("key").alias("home_key"), F.col("digest").alias("home_digest"), "copy", F.col("tokens").alias("home"))
-    pairs = pairs.drop("copies").join(home, ["home_key", "home_digest", "copy"])
+    pairs = pairs.join(home, ["home_key", "home_digest", "copy"])
     pairs = pairs.join(keyed, ["key", "digest"]).select("key", "digest", "home_id", "seeds", "home", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +357,7 @@ def covered_words(docs: DataFrame, min_words: int = MIN_WORDS, copies: float | N
                 out.append([a << 32 | b for a, b in found])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int64()))], ["key", "digest", "home_id", "covered"])
 
-    aligned = pairs.mapInArrow(tidy(run), "key string, digest long, home_id long, covered array<long>")
+    aligned = pairs.mapInArrow(small_batches(run), "key string, digest long, home_id long, covered array<long>")
     return cut(aligned.groupBy("key", "digest").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.sort_array(F.collect_set("home_id")).alias("partners")))
 
 
@@ -384,7 +406,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, copies: float | None = No
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in docs.columns] + ["kept_chars long", "removed_lines int", "removed_words int", "removed_text string", "partners array<long>"])
-    return rows.select(*[f"`{c}`" for c in docs.columns], covered, "partners").mapInArrow(tidy(run), schema)
+    return rows.select(*[f"`{c}`" for c in docs.columns], covered, "partners").mapInArrow(small_batches(run), schema)
 
 
 def cut_texts(docs: DataFrame, min_words: int = MIN_WORDS, copies: float | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -202,6 +203,31 @@ def test_every_passage_has_an_anchor_of_its_own():
         assert alone & set(line_dedup.anchors(*line_dedup.words_of([text.encode()]), 25)[0].tolist())
 
 
+def test_homes_have_copies_by_their_pairs_and_not_by_their_hashes(spark, monkeypatch):
+    long = prose(4000, 60)
+    rows = [(i, long + " " + prose(30, 61 + i)) for i in range(10)] + [(20 + i, prose(30, 80 + i)) for i in range(3)]
+    lines = line_dedup.line_table(spark.createDataFrame(rows, SCHEMA).select("doc_id", "text")).localCheckpoint()
+    pairs = line_dedup.homes(lines).localCheckpoint()  # nine pairs of one home, by hundreds of hashes that ten documents have
+    for size, copies in ((1000, 1), (9, 1), (4, 3)):
+        monkeypatch.setattr(line_dedup, "COPY_PAIRS", size)
+        met, wanted = line_dedup.dealt(pairs)
+        assert [x.copies for x in wanted.collect()] == [copies]
+        got = [(x.home_id, x.copy) for x in met.collect()]
+        assert len(got) == 9 and {i for i, _ in got} == {0} and {c for _, c in got} <= set(range(copies))
+        words = {x.doc_id: x.removed_words for x in line_dedup.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert all(words[i] == (4000 if 0 < i < 10 else 0) for i, _ in rows)
+
+
+def test_batches_of_long_texts_are_small(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    rows = spark.range(0, 300, 1, 1).selectExpr("repeat('word ', 20000) AS text")
+    got = [x.n for x in rows.mapInArrow(line_dedup.small_batches(sizes), "n long").collect()]
+    assert sum(got) > 30_000_000 and max(got) < line_dedup.BATCH_BYTES + 1_000_000
+
+
 def test_lines_of_different_documents_make_no_block(spark):
     parts = [prose(8, 800 + i) for i in range(5)]
     rows = [(i, prose(40, 810 + i) + "\n" + p + "\n" + prose(40, 820 + i)) for i, p in enumerate(parts)] + [(9, prose(30, 830) + "\n" + "\n".join(parts))]
